@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, secrets, sharding
+from tidemark.llm import bpe, html, quality, secrets, sharding
 
-QUERIES = {**sharding.QUERIES, **secrets.QUERIES, **bpe.QUERIES}
+QUERIES = {**sharding.QUERIES, **secrets.QUERIES, **bpe.QUERIES, **quality.QUERIES, **html.QUERIES}
 SQL = {"op7_shards": sharding.op7_sql()}
