@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, html, neardup, quality, secrets, sharding, urls
+from tidemark.llm import bpe, decontaminate, html, neardup, quality, repeats, secrets, sharding, urls
 
-QUERIES = {**urls.QUERIES, **sharding.QUERIES, **secrets.QUERIES, **bpe.QUERIES, **quality.QUERIES, **html.QUERIES, **decontaminate.QUERIES, **neardup.QUERIES}
+QUERIES = {**repeats.QUERIES, **urls.QUERIES, **sharding.QUERIES, **secrets.QUERIES, **bpe.QUERIES, **quality.QUERIES, **html.QUERIES, **decontaminate.QUERIES, **neardup.QUERIES}
 SQL = {"op7_shards": sharding.op7_sql(), **decontaminate.SQL}
