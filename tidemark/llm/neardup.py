@@ -35,7 +35,9 @@ WIDTH, PERCENT = 5, 85
 REGISTERS, BAND = 160, 5
 #: Equal registers from which a pair may reach the similarity: its mean at 0.85 less six deviations.
 ALIKE = 109
-#: Members and shingles of a block; a group of more is compared by pairs of blocks.
+#: Members of a block of signatures (some 200 bytes each); a band value with more is compared by pairs of blocks.
+SIGNED_BLOCK = 1024
+#: Members and shingles of a block of texts.
 BLOCK, BLOCK_SHINGLES = 128, 2_000_000
 #: Ids up to which the rows that go are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
@@ -217,7 +219,9 @@ def _signature_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             a.append(i)
             b.append(i + d)
         if a:
-            yield _star_rows(ids, stars(np.concatenate(a), np.concatenate(b), len(ids)))
+            # one document meets the same others in many bands: its rows are one node here
+            known, node = np.unique(ids, return_inverse=True)
+            yield _star_rows(known, stars(node[np.concatenate(a)], node[np.concatenate(b)], len(known)))
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
@@ -284,7 +288,7 @@ def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: Da
     )
     banded = unique.select("uid", F.explode("bands").alias("band_key"))
     # written apart, so that the join's hot keys can be split
-    several = scratch.write(banded.groupBy("band_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "several")
+    several = scratch.write(banded.groupBy("band_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band_key", F.ceil(F.col("n") / SIGNED_BLOCK).cast("int").alias("blocks")), "several")
     met = banded.join(several, "band_key").join(unique.select("uid", "signature"), "uid")
     candidates = (
         dealt(met, "band_key", "blocks", "uid").repartition(tasks, "band_key", "lo", "hi").sortWithinPartitions("band_key", "lo", "hi").mapInArrow(_signature_stars, "a long, b long")
