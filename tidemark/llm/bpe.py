@@ -251,11 +251,11 @@ def decode(rows: DataFrame, ids: str = "token_ids", path: str | None = None) ->
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGESTS = (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"))
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text, without moving the ids between processes."""
+def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
+    """``keep``, n_tokens and digests of ids and decoded text, without moving the ids between processes."""
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +270,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for x in enc.vocabulary.decode(np.frombuffer(raw, "<u4")):
                     digest.update(x)
                 text_sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            added = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], names=[*keep, *(k for k, _ in DIGESTS)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    kept = docs.select(*dict.fromkeys((*keep, "text")))
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} {t}" for k, t in DIGESTS)])
+    return kept.mapInArrow(run, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

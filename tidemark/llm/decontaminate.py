@@ -253,7 +253,8 @@ def _mark(rows: DataFrame, block: Broadcast, text: str, keep: list[str]) -> Data
 
 
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` of all rows with n_words, merged hit_words (word positions) and the item_ids found."""
+    """``keep`` of all rows with n_words, merged hit_words (word positions) and the item_ids found, which replace kept columns of these names."""
+    keep = tuple(c for c in keep if c not in ADDED)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -277,13 +278,15 @@ def cut(text: str, spans: list) -> str:
 
 def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the hit words cut out of their texts; other columns stay, ``n_chars`` is recounted."""
-    marked = find(spark, docs, benchmark, keep=tuple(docs.columns))
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]  # no clash with what is added
+    marked = find(spark, docs.toDF(*own), benchmark, keep=tuple(own), text=own[names.index("text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, names = batch.column("hit_words").to_pylist(), docs.columns
-            columns = [batch.column(c) for c in names]
-            texts = batch.column("text").to_pylist()
+            spans = batch.column("hit_words").to_pylist()
+            columns = [batch.column(c) for c in own]
+            texts = columns[names.index("text")].to_pylist()
             new = [cut(x, s) if s else x for x, s in zip(texts, spans, strict=True)]
             columns[names.index("text")] = pa.array(new, columns[names.index("text")].type)
             if "n_chars" in names:

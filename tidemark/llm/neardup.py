@@ -318,9 +318,9 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     out = groups(spark, docs.select("doc_id", "text"))
-    gone = Scratch(spark, "neardup-gone").write(out.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = Scratch(spark, "neardup-gone").write(out.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

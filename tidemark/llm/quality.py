@@ -145,10 +145,11 @@ def _grouped(stats: DataFrame, least_rows: int, scratch: Scratch) -> tuple[DataF
     sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     own = F.col("n") >= least_rows
     pool = sizes.filter(~own).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    rest = pool.filter(F.col("n_lang") < least_rows).agg(F.sum("n_lang").alias("n_rest"))
+    rest = pool.filter(F.col("n_lang") < least_rows).groupBy(F.lit("rest").alias("_rest")).agg(F.sum("n_lang").alias("n_rest"))
     named = (
         sizes.join(pool.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        .crossJoin(F.broadcast(rest))  # one row
+        .withColumn("_rest", F.lit("rest"))
+        .join(F.broadcast(rest), "_rest", "left")  # one row
         .select(
             F.col("lang").alias("_lang"),
             F.col("source").alias("_source"),
@@ -202,13 +203,13 @@ def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    body = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select("doc_id", "text", "lang", "source", body.alias("_hash"))
-    bad = judge(spark, keyed, keys=("doc_id", "_hash")).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_bad")).distinct()
-    scratch = Scratch(spark, "quality-bad")
-    bad = scratch.write(bad, "bad")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (body == F.col("_bad")), "left_anti")
+    keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    # language and source belong to the key: rows that share id and text may stand in different groups
+    judged = judge(spark, keyed.select("*", F.to_json(F.struct("lang", "source")).alias("_group")), keys=("doc_id", "_hash", "_group"))
+    bad = Scratch(spark, "quality-bad").write(judged.filter(~F.col("kept")).select("doc_id", "_hash", "_group").distinct(), "bad")
+    few = bad.count() <= BROADCAST_KEYS
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_hash"]) & (F.to_json(F.struct(docs["lang"], docs["source"])) == bad["_group"])
+    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
