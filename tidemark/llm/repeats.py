@@ -6,6 +6,8 @@ one text in the order of their ids, but no string crosses a document.
 1. Every window of ``LENGTH`` bytes has an anchor, its smallest-hashed ``GRAM``-byte part, so equal
    windows have equal anchors at equal offsets. One scan lists the anchors with the stretch of
    bytes whose windows they own, as hashes only.
+   Among the rows that a task holds at once, all but the first of equal stretches are known
+   repeats; they skip the next step, so a stretch sends it few rows however frequent it is.
 2. Sorted by anchor, stretch and place, the list streams through tasks: anchors that occur once go,
    all but the first of equal stretches are repeats as a whole, and anchors with different
    stretches stay open. The state is one row, so an anchor of any frequency passes.
@@ -37,7 +39,7 @@ from tidemark.llm.tables import Scratch, read
 
 LENGTH, GRAM = 100, 32
 #: Starts per piece of a scan; a longer text is scanned in pieces that overlap.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Open stretches of one anchor that are sorted together.
 OPEN = 1_000
 #: Window starts that a task sorts at once, at least.
@@ -104,7 +106,7 @@ def anchors(data: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, n
     return value[anchor].view(np.int64), start, count, (stretch << np.uint64(7) | count.astype(np.uint64)).view(np.int64)
 
 
-LISTED = "anchor long, stretch long, doc_id long, place long"
+LISTED = "known boolean, anchor long, stretch long, doc_id long, place long"
 
 
 def list_anchors(docs: DataFrame) -> DataFrame:
@@ -117,9 +119,21 @@ def list_anchors(docs: DataFrame) -> DataFrame:
             out: list[list[np.ndarray]] = [[], [], [], []]
             size = 0
 
+            missing, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            order = np.lexsort((number, ~missing))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], (number[order][1:] != number[order][:-1]) | (missing[order][1:] != missing[order][:-1])]))[: len(order)]
+
             def rows() -> pa.RecordBatch:
                 a, s, k, p = (np.concatenate(x) for x in out)
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), ids.take(pa.array(k)), pa.array(p)], names=["anchor", "stretch", "doc_id", "place"])
+                order = np.lexsort((p, rank[k], s, a))
+                a, s, k, p = a[order], s[order], k[order], p[order]
+                again = np.concatenate([[False], (a[1:] == a[:-1]) & (s[1:] == s[:-1])])
+                first = np.maximum.accumulate(np.where(again, 0, np.arange(len(a))))
+                twice = again & (rank[k] == rank[k[first]]) & (p == p[first])  # a repeated row of the table
+                a = np.where(again, _mix((p + k).view(np.uint64)).view(np.int64), a)  # known repeats go anywhere
+                keep = pa.array(~twice)
+                return pa.RecordBatch.from_arrays([pa.array(again), pa.array(a), pa.array(s), ids.take(pa.array(k)), pa.array(p)], names=["known", "anchor", "stretch", "doc_id", "place"]).filter(keep)
 
             for k, x in enumerate(batch.column("text").cast(pa.binary())):
                 raw = x.as_py() or b""
@@ -144,10 +158,19 @@ def list_anchors(docs: DataFrame) -> DataFrame:
 FOUND = "doc_id long, crc long, start long, n long, anchor long, open boolean"
 
 
+def _same_document(rows: pa.RecordBatch, other: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
+    """Where rows and the rows of ``other`` (as many, or one) agree in doc_id (null or not) and the columns."""
+    out = rows.column("doc_id").is_null().to_numpy(zero_copy_only=False) == other.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+    out &= rows.column("doc_id").fill_null(0).to_numpy() == other.column("doc_id").fill_null(0).to_numpy()
+    for c in columns:
+        out = out & (rows.column(c).to_numpy() == other.column(c).to_numpy())
+    return out
+
+
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats and open stretches of rows sorted by anchor, stretch, doc_id and place."""
-    last: tuple[int, int] | None = None  # anchor and stretch of the row before
-    held: pa.RecordBatch | None = None  # an anchor's only stretch so far, not yet given out
+    """Repeats and open stretches of rows sorted by known, anchor, stretch, doc_id and place."""
+    top: pa.RecordBatch | None = None  # the first row of the current stretch
+    alone = False  # whether that stretch is its anchor's only one so far, and so not yet given out
 
     def shaped(rows: pa.RecordBatch, open_: bool) -> pa.RecordBatch:
         place, stretch = rows.column("place").to_numpy(), rows.column("stretch").to_numpy()
@@ -157,32 +180,38 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
+        border = int(np.searchsorted(batch.column("known").to_numpy(zero_copy_only=False), True))
+        if border < len(batch):
+            yield shaped(batch.slice(border), False)
+        batch = batch.slice(0, border)
         if not len(batch):
             continue
         anchor, stretch = batch.column("anchor").to_numpy(), batch.column("stretch").to_numpy()
-        new_anchor = np.concatenate([[last is None or anchor[0] != last[0]], anchor[1:] != anchor[:-1]])
-        new_stretch = new_anchor | np.concatenate([[last is None or stretch[0] != last[1]], stretch[1:] != stretch[:-1]])
+        before = (top.column("anchor").to_numpy()[0], top.column("stretch").to_numpy()[0]) if top is not None else None
+        new_anchor = np.concatenate([[before is None or anchor[0] != before[0]], anchor[1:] != anchor[:-1]])
+        new_stretch = new_anchor | np.concatenate([[before is None or stretch[0] != before[1]], stretch[1:] != stretch[:-1]])
+        firsts = np.flatnonzero(new_stretch)
         repeats = np.flatnonzero(~new_stretch)
         if len(repeats):
-            yield shaped(batch.take(pa.array(repeats)), False)
-        # first rows of stretches: open if their anchor has another stretch, before or after
-        firsts = np.flatnonzero(new_stretch)
+            # repeated rows of the table are one document: the first row again is no repeat of it
+            at = np.searchsorted(firsts, repeats, side="right") - 1
+            rows = batch.take(pa.array(repeats))
+            tops = batch.take(pa.array(firsts[np.maximum(at, 0)])) if len(firsts) else batch.slice(0, 1)
+            twice = _same_document(rows, tops, ("place",)) & (at >= 0)
+            if top is not None:
+                twice |= _same_document(rows, top, ("place",)) & (at < 0)
+            if not twice.all():
+                yield shaped(rows.filter(pa.array(~twice)), False)
         if len(firsts):
             begins = new_anchor[firsts]
             follows = np.concatenate([~begins[1:], [False]])
-            if held is not None and not begins[0]:
-                yield shaped(held, True)
-                held = None
-            elif begins[0]:
-                held = None
+            if alone and not begins[0]:
+                yield shaped(top, True)
+            # open if the anchor has another stretch, before or after
             open_ = ~begins | follows
             if open_.any():
                 yield shaped(batch.take(pa.array(firsts[open_])), True)
-            if begins[-1]:  # alone so far
-                held = batch.slice(int(firsts[-1]), 1)
-            else:
-                held = None
-        last = (anchor[-1], stretch[-1])
+            top, alone = batch.slice(int(firsts[-1]), 1), bool(begins[-1])
 
 
 PACKED = "doc_id long, crc long, packed binary"
@@ -277,7 +306,7 @@ SPANS = "doc_id long, crc long, a long, b long"
 def _factor_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of repeats among rows sorted by hot, key, doc_id, crc and start."""
     held: list[pa.RecordBatch] = []
-    starts, last = 0, None
+    starts, last = 0, None  # window starts held; the first row of the current window's contents
 
     def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = table.column("key").to_pylist()
@@ -310,12 +339,19 @@ def _factor_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def windows(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         nonlocal last
         keys = table.column("key").to_pylist()
-        again = np.array([x == y for x, y in zip(keys, [last, *keys[:-1]], strict=True)])
-        last = keys[-1]
-        if again.any():
-            rows = table.filter(pa.array(again))
-            start = rows.column("start").to_numpy()
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("crc"), rows.column("start"), pa.array(start + LENGTH)], names=["doc_id", "crc", "a", "b"])
+        again = np.array([x == y for x, y in zip(keys, [last and last.column("key")[0].as_py(), *keys[:-1]], strict=True)])
+        firsts, repeats = np.flatnonzero(~again), np.flatnonzero(again)
+        if len(repeats):
+            at = np.searchsorted(firsts, repeats, side="right") - 1
+            rows = table.take(pa.array(repeats))
+            tops = table.take(pa.array(firsts[np.maximum(at, 0)])) if len(firsts) else table.slice(0, 1)
+            twice = _same_document(rows, tops, ("crc", "start")) & (at >= 0)
+            if last is not None:
+                twice |= _same_document(rows, last, ("crc", "start")) & (at < 0)
+            rows = rows.filter(pa.array(~twice))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("crc"), rows.column("start"), pa.array(rows.column("start").to_numpy() + LENGTH)], names=["doc_id", "crc", "a", "b"])
+        if len(firsts):
+            last = table.slice(int(firsts[-1]), 1)
 
     for batch in batches:
         hot = batch.column("hot").to_numpy(zero_copy_only=False)
@@ -340,7 +376,7 @@ def _factor_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def spans_of(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, crc and spans (array of start and end) of the documents that lose bytes."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ("anchor", "stretch", "doc_id", "place")
+    order = ("known", "anchor", "stretch", "doc_id", "place")
     found = scratch.write(list_anchors(docs).repartition(tasks, "anchor").sortWithinPartitions(*order).mapInArrow(_sift, FOUND), "found")
     opened = found.filter("open").select("doc_id", "crc", "start", "n", "anchor")
     crowded = scratch.write(opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > OPEN).select("anchor", F.lit(True).alias("hot")), "crowded")
