@@ -1,4 +1,9 @@
 """All registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from tidemark.plans import q_intervals, q_sequence
+
+MODULES = (q_sequence, q_intervals)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
