@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -38,12 +41,13 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 #: Below this character all editions of Unicode agree on letters, numbers and cases.
 PLAIN = "\u0530"
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 STRETCH = re.compile(f"[^{SPACE}]+")
 #: Characters that Python, but not the pattern engine, takes for white space (fixed values).
 ODD = re.compile("[\x1c-\x1f]")
-#: Entries of a worker's memory of stretches; it is emptied when full, which costs time only.
-REMEMBERED = 400_000
+#: Entries of a worker's memories of stretches, pieces and pairs; they are emptied when full, which costs time only.
+REMEMBERED = 200_000
 
 
 def default_vocabulary() -> str:
@@ -79,7 +83,8 @@ class Vocabulary:
         for s, i in [*ids.items(), *self.special.items()]:
             self.spelling[i] = s
         letters = byte_letters()
-        self.library, self.byte_of = Tokenizer.from_file(path), {c: b for b, c in enumerate(letters)}
+        self.path, self.byte_of = path, {c: b for b, c in enumerate(letters)}
+        self._library: Tokenizer | None = None
         self.inner = [ids[c] for c in letters]  # a byte within a piece
         self.last = [ids[c + self.end] for c in letters]  # the last byte of a piece
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -107,8 +112,11 @@ class Vocabulary:
             blob += s.encode() + b" "
             offsets.append(len(blob))
         self.blob, self.offsets = np.frombuffer(bytes(blob), np.uint8), np.array(offsets, np.int64)
+        self.mark = os.path.commonprefix(list(self.special)) or ""
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._fits: dict[tuple[int, int], bool] = {}
+        self._pieces: dict[bytes, list[int]] = {}
+        self._inner_letters = {b: chr(i) for b, i in enumerate(self.inner)}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging a's and b's symbols together would leave exactly a and b.
@@ -119,6 +127,8 @@ class Vocabulary:
         """
         known = self._fits.get((a, b))
         if known is None:
+            if len(self._fits) >= REMEMBERED:
+                self._fits.clear()
             known = self._fits[a, b] = self._border_holds(a, b)
         return known
 
@@ -138,35 +148,56 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[bytes]:
         """The UTF-8 pieces of text without white space."""
+        if text.isascii():
+            return [x.encode() for x in PIECES.findall(text.lower())]
         if max(text) < PLAIN:
             return [x.encode() for x in PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())]
         # later scripts: letters and cases as the library's edition of Unicode has them
-        said = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        said = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(map(self.byte_of.__getitem__, x)) for x, _ in said]
 
     def piece(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
-        s = "".join([*(chr(self.inner[b]) for b in data[:-1]), chr(self.last[data[-1]])])
-        starts: list[list[tuple[int, int]]] = [[] for _ in s]
+        known = self._pieces.get(data)
+        if known is None:
+            if len(self._pieces) >= REMEMBERED:
+                self._pieces.clear()
+            known = self._pieces[data] = self._backtrack(data)
+        return known
+
+    def _backtrack(self, data: bytes) -> list[int]:
+        s = data[:-1].decode("latin-1").translate(self._inner_letters) + chr(self.last[data[-1]])
+        # the longest token at each place in turn, if all neighbours are compatible: nothing to step back from
+        greedy = [i for _, (_, i) in self.automaton.iter_long(s)]
+        fits = self._fits
+        for pair in zip(greedy, greedy[1:]):  # noqa: B905
+            if not (fits[pair] if pair in fits else self.compatible(*pair)):
+                break
+        else:
+            return greedy
+        end = len(s)
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(end)]
+        # matches come by their ends, so each list is in order of length, the longest last
         for at, (n, i) in self.automaton.iter(s):
             starts[at - n + 1].append((n, i))
-        for found in starts:
-            found.sort()  # the longest last
-        left, out, places, at = [list(x) for x in starts], [], [0], 0
-        dead = bytearray(len(s) + 1)
-        while at < len(s):
+        out: list[int] = []
+        places, dead, at = [0], set(), 0
+        left = {0: starts[0].copy()}
+        while at < end:
             tries = left[at]
             while tries:
                 n, i = tries.pop()
-                if not dead[at + n] and (not out or self.compatible(out[-1], i)):
+                if at + n not in dead and (not out or self.compatible(out[-1], i)):
                     out.append(i)
                     at += n
                     places.append(at)
-                    if at < len(s):
-                        left[at] = list(starts[at])
+                    if at < end:
+                        left[at] = starts[at].copy()
                     break
             else:
-                dead[at] = 1
+                dead.add(at)
                 places.pop()
                 out.pop()
                 at = places[-1]
@@ -175,13 +206,13 @@ class Vocabulary:
     def stretch(self, text: str) -> bytes:
         """Little-endian ids of text without white space."""
         ids: list[int] = []
-        for part in self.cut.split(text):
+        for part in self.cut.split(text) if self.mark in text else (text,):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
                 for x in self.pieces(part):
                     ids += self.piece(x)
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
     def decode(self, ids: np.ndarray, block: int = 1 << 18) -> Iterator[bytes]:
         """The spelling of ids with a space between tokens, in blocks."""
@@ -211,14 +242,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(Vocabulary(path))
-    return _encoders[path]
+    """A new one for each task: what a task remembers is freed with it, so idle workers hold nothing."""
+    return Encoder(Vocabulary(path))
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
