@@ -162,14 +162,23 @@ def score_events(timeline: DataFrame, sport: Sport) -> DataFrame:
 def clips(timeline: DataFrame, events: DataFrame, sport: Sport, team: str, rate: float = 2.0, least: float = 0.4) -> DataFrame:
     """Clips of a side: from the latest sign of a new possession to just after the score, without what is not live.
 
-    The signs are the other score, the own score before, and the bug's return after a break of four seconds.
+    The signs are a shot clock reset, the game clock starting after a stoppage, the other score,
+    the own score before, and the bug's return after a break of four seconds. They join by game
+    and time; the latest start wins, of equal ones the last cause by name.
     """
     tl = timeline.withColumnRenamed("t_video", "t")
     out = sequence.widened(tl, KEY, ORDER, F.col("live"), "t", 1.0 / rate)
     own = events.filter(F.col("team") == team).select(*KEY, "event_index", "t", "t_prev", "points", "period", "clock", F.col("conf").alias("confidence"), "notes")
     signs = events.select(*KEY, F.col("t").alias("at"), (F.col("t") + sport.rolls[0]).alias("start"), F.when(F.col("team") == team, "own_score").otherwise("opponent_score").alias("cause"))
     back = out.filter(F.col("b") - F.col("a") >= 4.0).select(*KEY, F.col("b").alias("at"), (F.col("b") + sport.rolls[0]).alias("start"), F.lit("bug_returned").alias("cause"))
-    cand = signs.unionByName(back)
+    step = 1.0 / rate
+    jumps = sequence.upward_jumps(tl.filter("live"), KEY, ORDER, "shot_clock", "t", 1.0, 40.0).filter(F.col("shot_clock").isin(*sport.resets) if sport.resets else F.lit(True))
+    at = F.col("t") - step / 2
+    # a reset value stands for a full second before it first falls
+    resets = jumps.select(*KEY, at.alias("at"), F.greatest(at, F.coalesce(F.col("fall_at") - step / 2 - 1.0, at)).alias("start"), F.lit("shot_clock").alias("cause"))
+    went = sequence.restarts(tl.filter("live AND clock IS NOT NULL"), KEY, ORDER, "clock", "t", 2.4, 2.5)
+    starts = went.select(*KEY, (F.col("t") - (step + 1.0) / 2).alias("at"), (F.col("t") - (step + 1.0) / 2).alias("start"), F.lit("clock_start").alias("cause"))
+    cand = signs.unionByName(back).unionByName(resets).unionByName(starts)
     sign = own.join(cand, KEY).filter(F.col("at") <= F.col("t") - 2.5).groupBy(*KEY, "event_index").agg(F.max(F.struct("start", "cause")).alias("s"))
     timed = own.join(sign, [*KEY, "event_index"], "left")
     end = F.col("t") + sport.rolls[1]
