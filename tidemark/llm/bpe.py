@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm.tables import read
+from tidemark.llm.tables import read, tidied
 
 #: White space as the tokenizer's pattern engine counts it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*batch.schema.names, "token_ids"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, ids: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -274,7 +274,7 @@ def decode(rows: DataFrame, ids: str = "token_ids", path: str | None = None) ->
             texts = [b"".join(vocabulary.decode(np.array(x or [], np.int64))).decode() for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(tidied(run), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 DIGESTS = (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"))
@@ -301,7 +301,7 @@ def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | No
 
     kept = docs.select(*dict.fromkeys((*keep, "text")))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} {t}" for k, t in DIGESTS)])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

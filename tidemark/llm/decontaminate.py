@@ -19,7 +19,7 @@ Empty documents or benchmark: no hits. Extra columns are kept by ``find`` if nam
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.tables import read
+from tidemark.llm.tables import read, tidied
 
 WINDOW = 10
 #: Symbols of a shard from which the next document starts a new one.
@@ -201,8 +201,11 @@ ADDED = {
 }
 
 
-def _mark(rows: DataFrame, block: Broadcast, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` and the added columns, which hold what earlier blocks found if they are there already."""
+def _mark(rows: DataFrame, block: Broadcast, text: str, keep: list[str], finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """``keep`` and the added columns, which hold what earlier blocks found if they are there already.
+
+    ``finish`` makes the rows that leave the task (of ``schema``) from these, in the same pass.
+    """
     again = "hit_words" in rows.columns
 
     def judge(phrases: Phrases, held: list[tuple[pa.RecordBatch, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +230,8 @@ def _mark(rows: DataFrame, block: Broadcast, text: str, keep: list[str]) -> Data
                 spans.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
                 items.append(sorted(known))
             added = [pa.array([len(d) for d in ds], pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], names=[*keep, *ADDED])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], names=[*keep, *ADDED])
+            yield finish(out) if finish else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = block.value
@@ -249,10 +253,13 @@ def _mark(rows: DataFrame, block: Broadcast, text: str, keep: list[str]) -> Data
         yield from judge(phrases, held)
 
     kept = [rows.schema[c] for c in keep]
-    return rows.mapInArrow(run, T.StructType([*kept, *(T.StructField(k, v) for k, v in ADDED.items())]))
+    return rows.mapInArrow(tidied(run), schema or T.StructType([*kept, *(T.StructField(k, v) for k, v in ADDED.items())]))
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def find(
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+    finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None,
+) -> DataFrame:
     """``keep`` of all rows with n_words, merged hit_words (word positions) and the item_ids found, which replace kept columns of these names."""
     keep = tuple(c for c in keep if c not in ADDED)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -263,7 +270,7 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         phrases = Phrases([(r.item_id, r.text) for r in part.toLocalIterator()])  # a block's bytes are bounded
         last = k == blocks - 1
-        rows = _mark(rows, spark.sparkContext.broadcast(phrases), text, list(keep) if last else list(dict.fromkeys((*keep, text))))
+        rows = _mark(rows, spark.sparkContext.broadcast(phrases), text, list(keep) if last else list(dict.fromkeys((*keep, text))), finish if last else None, schema if last else None)
     return rows
 
 
@@ -280,21 +287,20 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFr
     """``docs`` with the hit words cut out of their texts; other columns stay, ``n_chars`` is recounted."""
     names = docs.columns
     own = [f"c{i}" for i in range(len(names))]  # no clash with what is added
-    marked = find(spark, docs.toDF(*own), benchmark, keep=tuple(own), text=own[names.index("text")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("hit_words").to_pylist()
-            columns = [batch.column(c) for c in own]
-            texts = columns[names.index("text")].to_pylist()
-            new = [cut(x, s) if s else x for x, s in zip(texts, spans, strict=True)]
-            columns[names.index("text")] = pa.array(new, columns[names.index("text")].type)
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                columns[k] = pa.array([len(x) if s else n for x, s, n in zip(new, spans, columns[k].to_pylist(), strict=True)], columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return marked.mapInArrow(run, docs.schema)
+    at = names.index("text")
+
+    def without(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = batch.column("hit_words").to_pylist()
+        columns = [batch.column(c) for c in own]
+        texts = columns[at].to_pylist()
+        new = [cut(x, s) if s else x for x, s in zip(texts, spans, strict=True)]
+        columns[at] = pa.array(new, columns[at].type)
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            columns[k] = pa.array([len(x) if s else n for x, s, n in zip(new, spans, columns[k].to_pylist(), strict=True)], columns[k].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return find(spark, docs.toDF(*own), benchmark, keep=tuple(own), text=own[at], finish=without, schema=docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

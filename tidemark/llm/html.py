@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.tables import read
+from tidemark.llm.tables import read, tidied
 
 #: Frequent function words of four languages.
 STOP_WORDS = frozenset(
@@ -234,7 +234,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = [main_text(x.as_py()) for x in batch.column(html)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "main_text"])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))
+    return pages.mapInArrow(tidied(run), T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

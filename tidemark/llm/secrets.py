@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.tables import read
+from tidemark.llm.tables import read, tidied
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -144,7 +144,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in find(x.as_py(), novelty)] for x in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _SPAN)], names=[*batch.schema.names, "secret_spans"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("secret_spans", SPANS)]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField("secret_spans", SPANS)]))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -163,7 +163,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns[k] = pa.array(counts, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
@@ -180,7 +180,7 @@ def report(docs: DataFrame) -> DataFrame:
             base = [hashlib.sha256(joined([s for s in r if s[2] != "novel"]).encode()).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts[:3], pa.array(base, pa.string()), pa.array([joined(r) for r in rows], pa.string()), counts[3]], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), RESULT)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

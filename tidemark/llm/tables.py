@@ -1,52 +1,35 @@
-"""Reading tables and keeping intermediate results where every executor sees them."""
+"""Reading tables, keeping intermediate results, and leaving workers tidy."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.scratch import Scratch, shared_dir
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["Scratch", "read", "shared_dir", "tidied"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local master gets a temporary
-    folder (one machine, removed at exit) and any other master a folder in the warehouse.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        made = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, made, True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-        return f"file://{made}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Scratch:
-    """Written tables of one operator run; they cut the lineage and outlive lost executors."""
+Batches = Iterator[pa.RecordBatch]
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for a task; when it ends, what it held goes back to the machine, as its worker lives on idle."""
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+    @functools.wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
-    def drop(self, *names: str) -> None:
-        """Remove tables that no later result reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+    return task
