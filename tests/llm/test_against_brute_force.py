@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -296,3 +297,17 @@ def test_urls_mine_planted_rules(spark):
     got = urls.judge(spark, pages, labels).collect()
     assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got)
     assert {r.mined_rule for r in got if r.verdict == "block"} == {"host:bad-shop"}
+
+
+def test_mined_rules_equal_sql(spark, tables):
+    hosts = ["bad-shop", "paper", "notes", "win-big"]
+    rows = [(i, f"http://w{i % 9}.{hosts[i % 4]}.example.{'com' if i % 3 else 'org'}/{'xx' if i % 5 else 'en'}/{i}{'.html' if i % 2 else ''}{'?a=1' if i % 7 == 0 else ''}") for i in range(1500)]
+    bad = lambda i: i % 4 == 0 or (i % 4 == 3 and i % 3 == 0)
+    labels = spark.createDataFrame([(i, 1 - int(bad(i)), 0) for i in range(0, 1500) if i % 8 < 6], "doc_id long, quality int, toxic int")
+    sf_dir = tables(pages=spark.createDataFrame(rows, "page_id long, url string"), labels=labels)
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet/*.parquet'")
+    found = urls.op1_url_filter(spark, sf_dir)
+    assert found.filter("mined_rule LIKE '% %'").count() > 0  # a combination of tokens, not one alone
+    same(found, con, urls.op1_sql())

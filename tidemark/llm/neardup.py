@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components, stars
-from tidemark.llm.tables import Scratch, read
+from tidemark.llm.tables import Scratch, read, tidied
 
 WIDTH, PERCENT = 5, 85
 REGISTERS, BAND = 160, 5
@@ -51,7 +51,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied when large, which costs time only."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -137,7 +137,7 @@ def sign(docs: DataFrame) -> DataFrame:
             start = 0
             while start < len(texts):
                 sets, total = [], 0
-                while start + len(sets) < len(texts) and (not sets or total < 200_000):
+                while start + len(sets) < len(texts) and (not sets or total < 100_000):
                     sets.append(shingle_set(texts[start + len(sets)].as_py(), words))
                     total += len(sets[-1])
                 full = [s for s in sets if len(s)]
@@ -157,7 +157,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 )
                 start += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), SIGNED)
 
 
 def dealt(rows: DataFrame, key: str, blocks: str, member: str) -> DataFrame:
@@ -291,7 +291,7 @@ def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: Da
     several = scratch.write(banded.groupBy("band_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band_key", F.ceil(F.col("n") / SIGNED_BLOCK).cast("int").alias("blocks")), "several")
     met = banded.join(several, "band_key").join(unique.select("uid", "signature"), "uid")
     candidates = (
-        dealt(met, "band_key", "blocks", "uid").repartition(tasks, "band_key", "lo", "hi").sortWithinPartitions("band_key", "lo", "hi").mapInArrow(_signature_stars, "a long, b long")
+        dealt(met, "band_key", "blocks", "uid").repartition(tasks, "band_key", "lo", "hi").sortWithinPartitions("band_key", "lo", "hi").mapInArrow(tidied(_signature_stars), "a long, b long")
     )
     found = scratch.write(components(candidates, scratch, "candidates").join(unique.select(F.col("uid").alias("node"), "n_shingles"), "node"), "candidate-groups")
     sizes = scratch.write(
@@ -299,7 +299,7 @@ def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: Da
     )
     members = scratch.write(found.join(sizes, "component").select(F.col("node").alias("uid"), "component", "blocks"), "members")
     texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("uid")).drop("doc_id")
-    exact = dealt(texts, "component", "blocks", "uid").repartition(tasks, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_exact_stars, "a long, b long")
+    exact = dealt(texts, "component", "blocks", "uid").repartition(tasks, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(tidied(_exact_stars), "a long, b long")
     return components(exact, scratch, "links")
 
 
@@ -328,3 +328,19 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_neardup": op4_neardup}
+SQL = {
+    "op4_neardup": f"""
+WITH RECURSIVE base AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+long_ AS (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS k FROM base WHERE len(w) >= {WIDTH}),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + {WIDTH - 1}], ' ') AS s FROM long_
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM base WHERE len(w) BETWEEN 1 AND {WIDTH - 1}),
+sizes AS MATERIALIZED (SELECT b.doc_id, count(s) AS n FROM (SELECT DISTINCT doc_id FROM base) b LEFT JOIN shingles USING (doc_id) GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT base.doc_id, n::BIGINT AS n_shingles, c.component_id, base.doc_id = c.component_id AS kept
+FROM base JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c ON c.doc_id = base.doc_id"""
+}

@@ -5,4 +5,4 @@ from __future__ import annotations
 from tidemark.llm import bpe, decontaminate, html, lm, neardup, quality, repeats, secrets, sharding, urls
 
 QUERIES = {**lm.QUERIES, **repeats.QUERIES, **urls.QUERIES, **sharding.QUERIES, **secrets.QUERIES, **bpe.QUERIES, **quality.QUERIES, **html.QUERIES, **decontaminate.QUERIES, **neardup.QUERIES}
-SQL = {"op7_shards": sharding.op7_sql(), **decontaminate.SQL}
+SQL = {"op7_shards": sharding.op7_sql(), **decontaminate.SQL, **neardup.SQL, **repeats.SQL, **urls.SQL}

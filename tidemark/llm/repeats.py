@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import Scratch, read
+from tidemark.llm.tables import Scratch, read, tidied
 
 LENGTH, GRAM = 100, 32
 #: Starts per piece of a scan; a longer text is scanned in pieces that overlap.
@@ -152,7 +152,7 @@ def list_anchors(docs: DataFrame) -> DataFrame:
             if size:
                 yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, LISTED)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), LISTED)
 
 
 FOUND = "doc_id long, crc long, start long, n long, anchor long, open boolean"
@@ -228,7 +228,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([squeeze.compress(x) for x in raw], pa.binary())], names=["doc_id", "crc", "packed"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), PACKED)
 
 
 def _unpacked(x: bytes, squeeze: zstandard.ZstdDecompressor) -> bytes:
@@ -377,7 +377,7 @@ def spans_of(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFram
     """doc_id, crc and spans (array of start and end) of the documents that lose bytes."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("known", "anchor", "stretch", "doc_id", "place")
-    found = scratch.write(list_anchors(docs).repartition(tasks, "anchor").sortWithinPartitions(*order).mapInArrow(_sift, FOUND), "found")
+    found = scratch.write(list_anchors(docs).repartition(tasks, "anchor").sortWithinPartitions(*order).mapInArrow(tidied(_sift), FOUND), "found")
     opened = found.filter("open").select("doc_id", "crc", "start", "n", "anchor")
     crowded = scratch.write(opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > OPEN).select("anchor", F.lit(True).alias("hot")), "crowded")
     per_doc = (
@@ -388,9 +388,9 @@ def spans_of(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFram
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc"))
     # equal rows are one document: their stretches count once
-    cut = pack(docs).join(per_doc, same).select("doc_id", "crc", "packed", "opened").mapInArrow(_cut_stretches, CUT)
+    cut = pack(docs).join(per_doc, same).select("doc_id", "crc", "packed", "opened").mapInArrow(tidied(_cut_stretches), CUT)
     keys = ("hot", "key", "doc_id", "crc", "start")
-    factors = cut.repartition(tasks, "hot", "key").sortWithinPartitions(*keys).mapInArrow(_factor_spans, SPANS)
+    factors = cut.repartition(tasks, "hot", "key").sortWithinPartitions(*keys).mapInArrow(tidied(_factor_spans), SPANS)
     repeats = found.filter("NOT open").select("doc_id", "crc", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("b"))
     return repeats.unionByName(factors).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -420,7 +420,7 @@ def kept_bytes(spark: SparkSession, docs: DataFrame, with_bytes: bool = False) -
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return joined.mapInArrow(run, RESULT)
+    return joined.mapInArrow(tidied(run), RESULT)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,3 +428,17 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_repeats": op6_repeats}
+SQL = {
+    "op6_repeats": f"""
+WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS s FROM h WHERE length(h) >= {2 * LENGTH})),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM starts) WHERE r > 1),
+runs AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM again)),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + {LENGTH} AS b FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT h.doc_id, length(h) // 2 AS n_bytes, coalesce(len(a), 0) AS n_spans,
+    CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i: substr(h, 2 * coalesce(b[i], 0) + 1, 2 * (coalesce(a[i + 1], length(h) // 2) - coalesce(b[i], 0)))), '') END AS left_
+  FROM h LEFT JOIN cuts USING (doc_id))
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, (n_bytes - length(left_) // 2)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(left_)) AS kept_sha256 FROM kept"""
+}

@@ -142,3 +142,41 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_url_filter": op1_url_filter}
+
+
+def op1_sql(support: float = SUPPORT, confidence: float = CONFIDENCE, z: float = DEVIATIONS) -> str:
+    """The listed rules, and mining by all token subsets of the labelled pages."""
+    fits = lambda at, prefix: f"((host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{prefix}'))"
+    order = sorted(LISTED, key=lambda r: len(r[1] + r[2]), reverse=True)
+    rule = " ".join(f"WHEN {fits(at, prefix)} THEN '{at + prefix}'" for _, at, prefix in order)
+    verdict = " ".join(f"WHEN {fits(at, prefix)} THEN '{said}'" for said, at, prefix in order)
+    kind = "CASE WHEN regexp_full_match(x, '[0-9]+') THEN 'number' WHEN regexp_matches(x, '\\.[A-Za-z]+$') THEN 'file.' || regexp_extract(x, '\\.([A-Za-z]+)$', 1) ELSE 'name' END"
+    return f"""
+WITH urls AS MATERIALIZED (
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+    regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1) AS query FROM (SELECT DISTINCT coalesce(url, '') AS url FROM pages)),
+split_ AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS p, list_filter(string_split(query, '&'), lambda x: x <> '') AS q FROM urls),
+items AS MATERIALIZED (
+  SELECT url, list_sort(list_distinct(
+    CASE WHEN len(l) >= 1 THEN ['top:' || l[len(l)]] ELSE [] END || CASE WHEN len(l) >= 2 THEN ['site:' || l[len(l) - 1] || '.' || l[len(l)]] ELSE [] END
+    || list_transform(l[1:greatest(len(l) - 2, 0)], lambda x: 'host:' || x)
+    || list_transform(range(1, least(len(p), 2) + 1), lambda i: 'path' || (i - 1) || ':' || CASE WHEN regexp_full_match(p[i], '[0-9]+') THEN '0' ELSE p[i] END)
+    || CASE WHEN len(p) >= 1 THEN list_transform([p[len(p)]], lambda x: 'last:' || {kind}) ELSE [] END
+    || list_transform(q, lambda x: 'query:' || string_split(x, '=')[1]) || CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END)) AS t FROM split_),
+bad AS (SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+labelled AS MATERIALIZED (SELECT row_number() OVER () AS rn, t, bad FROM pages JOIN items ON items.url = coalesce(pages.url, '') JOIN bad ON page_id = doc_id),
+total AS (SELECT count(*) AS n FROM labelled),
+subsets AS (SELECT rn, bad, list_transform(list_filter(range(0, len(t)), lambda i: (m >> i) & 1 = 1), lambda i: t[i + 1]) AS a FROM (SELECT *, unnest(range(1, (1 << len(t))::BIGINT)) AS m FROM labelled)),
+counted AS (SELECT a, count(*) AS seen, count(*) FILTER (bad) AS hit FROM subsets GROUP BY a),
+scored AS (SELECT a, hit / seen::DOUBLE AS c, seen, hit, n FROM counted, total WHERE hit >= ceil({support} * n)),
+bounded AS MATERIALIZED (SELECT a, c, (c + {z * z} / (2 * seen) - {z} * sqrt(c * (1 - c) / seen + {z * z} / (4.0::DOUBLE * seen * seen))) / (1 + {z * z} / seen::DOUBLE) AS bound FROM scored WHERE c >= {confidence}),
+sure AS MATERIALIZED (SELECT * FROM bounded WHERE bound >= {confidence}),
+stale AS (SELECT DISTINCT s.a FROM (SELECT a, bound, unnest(list_transform(a, lambda x: list_filter(a, lambda y: y <> x))) AS part FROM sure) s JOIN sure o ON o.a = s.part WHERE o.bound >= s.bound),
+rules AS MATERIALIZED (SELECT * FROM sure WHERE a NOT IN (SELECT a FROM stale)),
+fired AS (SELECT url, max({{'c': c, 'a': a}}) AS best FROM items JOIN rules ON list_has_all(t, a) GROUP BY url)
+SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN best IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  array_to_string(best.a, ' ') AS mined_rule, best.c AS confidence
+FROM pages JOIN urls ON urls.url = coalesce(pages.url, '') LEFT JOIN fired ON fired.url = urls.url"""
+
+
+SQL = {"op1_url_filter": op1_sql()}
