@@ -18,8 +18,8 @@ def first_at(rows: DataFrame, targets: DataFrame, key: list[str], at: str, reach
     as-of lookup on it.
     """
     top = F.max(reached).over(Window.partitionBy(*key).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    steps = rows.filter(F.col(reached).isNotNull()).withColumn("_top", top).groupBy(*key, "_top").agg(F.min(at).alias(at)).withColumnRenamed("_top", target)
-    return asof(targets, steps, key, target, [at], forward=True).withColumnRenamed(f"match_{at}", "found_t").drop("match_t")
+    steps = rows.filter(F.col(reached).isNotNull()).withColumn("_top", top).groupBy(*key, "_top").agg(F.min(at).alias("first")).withColumnRenamed("_top", target)
+    return asof(targets, steps, key, target, ["first"], forward=True).withColumnRenamed("match_first", "found_t").drop("match_t")
 
 
 def unchanged_since(rows: DataFrame, key: list[str], at: str, value: str, seconds: float, most: float = 180.0) -> DataFrame:
