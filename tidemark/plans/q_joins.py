@@ -107,8 +107,8 @@ def source_fallback(spark, sf_dir):
 
 def edit_carryover(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    clips = o.filter(F.col("o_orderkey") % 3 != 0).select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("play"), "o_orderstatus", (micros(F.col("o_orderdate")) / 1e6).alias("at"), "o_custkey")
-    edits = o.filter(F.col("o_orderkey") % 5 != 0).select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("play"), "o_orderstatus", (micros(F.col("o_orderdate")) / 1e6).alias("at"), "o_custkey", F.col("o_orderpriority").alias("note"), F.col("o_orderkey").alias("id"))
+    clips = o.filter("o_orderstatus <> 'P'").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("play"), "o_orderstatus", (micros(F.col("o_orderdate")) / 1e6).alias("at"), "o_custkey")
+    edits = o.filter("o_orderpriority <> '1-URGENT'").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("play"), "o_orderstatus", (micros(F.col("o_orderdate")) / 1e6).alias("at"), "o_custkey", F.col("o_orderpriority").alias("note"), F.col("o_orderkey").alias("id"))
     key = alignment.play_key(F.col("play"), F.col("o_orderstatus"), F.round("at", 1).cast("long"), F.col("o_custkey"))
     return alignment.carried_edits(clips, edits, key, key, ["note", "id"]).select("o_orderkey", "edit_note", "edit_id")
 
@@ -295,7 +295,7 @@ SQL = {
     "fuzzy_code_join": "SELECT a.n_name, left(b.n_name, 3) AS code FROM nation a, nation b WHERE starts_with(upper(a.n_name), upper(left(b.n_name, 3))) OR left(upper(a.n_name), 2) = left(upper(b.n_name), 2)",
     "source_fallback": f"WITH {EV}, p AS (SELECT *, floor(t / {DAY})::BIGINT AS day, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS priority FROM ev) SELECT user_id, day, event_id, priority FROM (SELECT *, min(priority) OVER (PARTITION BY user_id, day) AS best FROM p) WHERE priority = best",
     "edit_carryover": """WITH k AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'play|' || o_orderkey ELSE 'seen|' || o_orderstatus || '|' || round(epoch_us(o_orderdate) / 1e6, 1)::BIGINT || '|' || o_custkey END AS key FROM orders)
-      SELECT c.o_orderkey, e.o_orderpriority AS edit_note, e.o_orderkey AS edit_id FROM (SELECT * FROM k WHERE o_orderkey % 3 <> 0) c FULL JOIN (SELECT * FROM k WHERE o_orderkey % 5 <> 0) e ON c.key = e.key""",
+      SELECT c.o_orderkey, e.o_orderpriority AS edit_note, e.o_orderkey AS edit_id FROM (SELECT * FROM k WHERE o_orderstatus <> 'P') c FULL JOIN (SELECT * FROM k WHERE o_orderpriority <> '1-URGENT') e ON c.key = e.key""",
     "prefix_cutlist": "WITH c AS (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM orders) SELECT o_custkey, o_orderkey, (e - cents)::BIGINT AS out_start, e::BIGINT AS out_end FROM (SELECT *, sum(cents) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS e FROM c)",
     "latest_with_count": "SELECT o_custkey, o_orderkey, n FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
     "oldest_until_room": "WITH c AS (SELECT *, coalesce(sum(round(o_totalprice * 100)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS freed_before FROM orders) SELECT o_custkey, o_orderkey, freed_before FROM c WHERE freed_before < 50000000",

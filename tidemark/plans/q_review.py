@@ -65,14 +65,14 @@ def source_time(spark, sf_dir):
 
 def template_match(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("px", F.transform("embedding", lambda x: x.cast("double")))
-    t = e.filter(F.col("vec_id") % 10 == 0).select(F.col("label").alias("shape"), F.col("vec_id").alias("template_id"), F.col("vec_id").alias("made_at"), F.col("px").alias("ref"))
+    t = e.select(F.col("label").alias("shape"), F.col("vec_id").alias("template_id"), F.col("vec_id").alias("made_at"), F.col("px").alias("ref"))
     dot = F.aggregate(F.zip_with("px", "ref", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     return review.first_template(e.withColumn("shape", F.col("label")), t, ["label"], F.round(dot, 6) >= 0.1).select("label", "template_id", "n_alike", "n")
 
 
 def nearest_label(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("frame", F.floor(F.col("vec_id") / 10)).select("frame", F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return review.nearest_box(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), ["frame"]).select("frame", "id", "label_id", F.round("distance", 9).alias("distance"))
+    e = table(spark, sf_dir, "embeddings").withColumn("frame", F.floor(F.col("vec_id") / 10)).select("frame", F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), (F.col("embedding")[2] > 0).alias("number"))
+    return review.nearest_box(e.filter("number"), e.filter("NOT number"), ["frame"]).select("frame", "id", "label_id", F.round("distance", 9).alias("distance"))
 
 
 def box_clusters(spark, sf_dir):
@@ -112,10 +112,10 @@ SQL = {
       SELECT event_id, rank FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN near THEN 0 ELSE 1 END, i)::INT AS rank FROM k) WHERE rank <= 5""",
     "source_time": f"""WITH {SPANS}, m AS ({merged_sql('spans')}), p AS (SELECT *, sum(b - a) OVER (PARTITION BY user_id ORDER BY a) - (b - a) AS o FROM m), q AS (SELECT DISTINCT user_id, unnest([0.0, 30000.0, 200000.0, 900000.0]::DOUBLE[]) AS off_ FROM m)
       SELECT q.user_id, off_ AS "offset", round(least(a + (off_ - o), b), 3) AS source_t FROM q ASOF LEFT JOIN p ON q.user_id = p.user_id AND q.off_ >= p.o""",
-    "template_match": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS px FROM embeddings), p AS (SELECT e.label, t.vec_id AS template_id, (round(list_sum(list_transform(range(1, len(e.px) + 1), lambda i: e.px[i] * t.px[i])), 6) >= 0.1)::INT AS a FROM e JOIN e t ON e.label = t.label AND t.vec_id % 10 = 0),
+    "template_match": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS px FROM embeddings), p AS (SELECT e.label, t.vec_id AS template_id, (round(list_sum(list_transform(range(1, len(e.px) + 1), lambda i: e.px[i] * t.px[i])), 6) >= 0.1)::INT AS a FROM e JOIN e t ON e.label = t.label),
       g AS (SELECT label, template_id, sum(a)::BIGINT AS n_alike, count(*) AS n FROM p GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY template_id DESC) AS r FROM g WHERE n_alike >= greatest(2, ceil(n * 0.2)))
       SELECT label, template_id, n_alike, n FROM k WHERE r = 1""",
-    "nearest_label": """WITH e AS (SELECT vec_id // 10 AS frame, vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), p AS (SELECT a.frame, a.id, b.id AS label_id, abs(a.x - b.x) + 2 * abs(a.y - b.y) AS d FROM e a JOIN e b ON a.frame = b.frame AND a.id % 2 = 0 AND b.id % 2 = 1)
+    "nearest_label": """WITH e AS (SELECT vec_id // 10 AS frame, vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3] > 0 AS num FROM embeddings), p AS (SELECT a.frame, a.id, b.id AS label_id, abs(a.x - b.x) + 2 * abs(a.y - b.y) AS d FROM e a JOIN e b ON a.frame = b.frame AND a.num AND NOT b.num)
       SELECT frame, id, label_id, round(d, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY frame, id ORDER BY d, label_id) AS r FROM p) WHERE r = 1""",
     "clip_filter": "SELECT o_custkey::VARCHAR AS game_id, o_orderkey AS clip_order, o_orderkey % 100 / 100.0::DOUBLE AS confidence, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 100, o_orderkey)::INT AS place FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0 AND o_orderkey % 100 / 100.0::DOUBLE < 0.7",
     "caption_text": """WITH o AS (SELECT *, o_orderkey % 25 AS d, CASE WHEN o_custkey % 2 = 0 THEN ' vs ' || o_orderstatus ELSE '' END AS v FROM orders)
