@@ -25,3 +25,8 @@ def test_unclosed_menu_before_the_article():
 
 def test_text_without_stop_words_in_an_article():
     assert main_text("<article><p>Zyx%%% wvu*** tsr$$$</p><p>qpo</p></article>") == "Zyx%%% wvu*** tsr$$$\nqpo"
+
+
+def test_links_within_an_article():
+    page = f"<article><p>{PROSE}</p><p><a href=x>A whole sentence that is a link.</a></p><ul><li><a href=y>More</a></li><li><a href=z>Other pages</a></li></ul><ul><li>A point of the text.</li></ul><p>{PROSE}</p></article>"
+    assert main_text(page) == f"{PROSE}\nA whole sentence that is a link.\nA point of the text.\n{PROSE}"

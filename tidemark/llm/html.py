@@ -61,6 +61,7 @@ class Block:
     text: str
     linked: int
     heading: bool
+    item: bool  # of a list
     out: bool
     scope: int  # 0 outside of an article, else its number
 
@@ -89,12 +90,12 @@ def blocks(page: str) -> list[Block]:
     # open elements: name, whether it puts its content out, whether it starts an article
     stack: list[tuple[str, bool, bool]] = []
     text: list[str] = []
-    state = {"linked": 0, "out": 0, "articles": 0, "scope": 0, "links": 0, "heading": 0}
+    state = {"linked": 0, "out": 0, "articles": 0, "scope": 0, "links": 0, "heading": 0, "items": 0}
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, state["linked"], state["heading"] > 0, state["out"] > 0, state["scope"] if state["articles"] else 0))
+            out.append(Block(joined, state["linked"], state["heading"] > 0, state["items"] > 0, state["out"] > 0, state["scope"] if state["articles"] else 0))
         text.clear()
         state["linked"] = 0
 
@@ -104,6 +105,7 @@ def blocks(page: str) -> list[Block]:
             state["articles"] -= article
             state["links"] -= name == "a"
             state["heading"] -= name in HEADINGS
+            state["items"] -= name == "li"
         del stack[k:]
 
     def said(raw: str) -> None:
@@ -165,6 +167,7 @@ def blocks(page: str) -> list[Block]:
         state["articles"] += article
         state["links"] += name == "a"
         state["heading"] += name in HEADINGS
+        state["items"] += name == "li"
         stack.append((name, puts_out, article))
     flush()
     return out
@@ -179,7 +182,8 @@ def first_pass(found: list[Block]) -> list[bool | None]:
         if b.out or (marked and not b.scope):
             labels.append(False)
         elif links > MUCH_LINK:
-            labels.append(None if marked and length < SHORT and b.heading else False)
+            # lists of links are menus; a linked sentence or heading within an article goes with what stands around it
+            labels.append(None if marked and not b.item else False)
         elif length >= SHORT and stops >= STOPS_LOW:
             labels.append(True if marked or length >= LONG or stops >= STOPS_HIGH else None)
         elif marked or length < SHORT or stops >= STOPS_LOW:
