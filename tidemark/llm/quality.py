@@ -33,7 +33,7 @@ FLOORS = (0.12, 0.04, 0.3, 0.12)
 #: Quantiles of the chi-square distribution with four degrees of freedom (fixed values).
 CHI_MEDIAN, CHI_975, CHI_REJECT = 3.357, 11.143, 40.0
 NEAREST, STEPS, LEAST_ROWS = 0.75, 3, 60
-#: Groups up to which estimates are broadcast (about 200 bytes each).
+#: Groups up to which estimates are broadcast (about 200 bytes each), and rejected rows up to which their keys are (16 bytes each).
 BROADCAST_GROUPS, BROADCAST_KEYS = 50_000, 1_000_000
 
 
@@ -203,13 +203,12 @@ def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    # language and source belong to the key: rows that share id and text may stand in different groups
-    judged = judge(spark, keyed.select("*", F.to_json(F.struct("lang", "source")).alias("_group")), keys=("doc_id", "_hash", "_group"))
-    bad = Scratch(spark, "quality-bad").write(judged.filter(~F.col("kept")).select("doc_id", "_hash", "_group").distinct(), "bad")
+    # text, language and source are in the key: rows that share an id may be judged differently
+    key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")), df["lang"], df["source"])
+    keyed = docs.select("doc_id", "text", "lang", "source", key(docs).alias("_key"))
+    bad = Scratch(spark, "quality-bad").write(judge(spark, keyed, keys=("doc_id", "_key")).filter(~F.col("kept")).select("doc_id", "_key").distinct(), "bad")
     few = bad.count() <= BROADCAST_KEYS
-    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_hash"]) & (F.to_json(F.struct(docs["lang"], docs["source"])) == bad["_group"])
-    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (key(docs) == bad["_key"]), "left_anti")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
