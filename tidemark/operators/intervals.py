@@ -119,8 +119,8 @@ def fold_clips(clips: DataFrame, key: list[str], least: float = 0.4) -> DataFram
         for r in rows.sort_values(["a", "b", "team"], kind="stable").to_dict("records"):
             last = out[-1] if out else None
             if last and r["a"] <= last["b"] and r["team"] == last["team"]:
-                last["b"] = max(last["b"], r["b"])
-                last["n"] += 1
+                # a clip that was cut may be reached back over by one that joins it
+                last["a"], last["b"], last["n"] = min(last["a"], r["a"]), max(last["b"], r["b"]), last["n"] + 1
             elif last and r["a"] <= last["b"]:
                 r["a"] = last["b"]
                 if r["b"] - r["a"] >= least:

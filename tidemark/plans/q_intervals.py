@@ -90,6 +90,14 @@ PIECES = f"""m AS ({merged_sql('spans')}), h AS ({merged_sql('holes')}),
     UNION ALL SELECT user_id, h1, b FROM cuts WHERE h1 IS NOT NULL AND later IS NULL)"""
 
 SQL = {
+    "merge_fold": f"""WITH RECURSIVE {EV}, c AS (SELECT user_id, t AS a, t + {6 * HOUR} AS b, event_type AS team, row_number() OVER (PARTITION BY user_id ORDER BY t, t + {6 * HOUR}, event_type) AS k FROM ev WHERE event_type IN ('click', 'purchase')),
+      f AS (
+        SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS clip, -1e18::DOUBLE AS e, ''::VARCHAR AS last, NULL::DOUBLE AS a, NULL::DOUBLE AS b, false AS kept FROM (SELECT DISTINCT user_id FROM c)
+        UNION ALL
+        SELECT user_id, k, CASE WHEN kept AND NOT joins THEN clip + 1 ELSE clip END, CASE WHEN joins THEN greatest(e, b) WHEN kept THEN b ELSE e END, CASE WHEN kept THEN team ELSE last END, a, b, kept FROM (
+          SELECT c.user_id, c.k, f.clip, f.e, f.last, c.team, c.b, c.a <= f.e AND c.team = f.last AS joins, CASE WHEN c.a <= f.e AND c.team <> f.last THEN f.e ELSE c.a END AS a,
+            NOT (c.a <= f.e AND c.team <> f.last) OR c.b - f.e >= 0.4 AS kept FROM f JOIN c ON c.user_id = f.user_id AND c.k = f.k + 1))
+      SELECT user_id, min(a) AS a, max(b) AS b, min(last) AS team, count(*) AS n FROM f WHERE kept GROUP BY user_id, clip""",
     "interval_merge": f"WITH {SPANS} {merged_sql('spans', 600.0)}",
     "interval_subtract": f"WITH {SPANS}, {PIECES} SELECT * FROM pieces WHERE b > a",
     "interval_clamp_total": f"""WITH {SPANS}, m AS ({merged_sql('spans')}), k AS (SELECT user_id, greatest(a, 1704931200.0) AS a, least(b, 1706659200.0) AS b FROM m)

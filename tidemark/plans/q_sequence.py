@@ -191,6 +191,27 @@ SQL = {
       full_ AS (SELECT user_id, ids, prev, list_min(list_filter(range(1, n + 1), lambda j: best[j] = list_max(best))) AS last FROM fwd WHERE k = n),
       back AS (SELECT user_id, ids, prev, last AS pos FROM full_ UNION ALL SELECT user_id, ids, prev, prev[pos] FROM back WHERE prev[pos] > 0)
       SELECT e.event_id, b.event_id IS NOT NULL AS on_chain FROM e LEFT JOIN (SELECT ids[pos] AS event_id FROM back) b ON e.event_id = b.event_id""",
+    "signature_reuse": f"""WITH RECURSIVE {EV}, f AS (
+        SELECT user_id, -1::BIGINT AS i, NULL::BIGINT AS event_id, NULL::DOUBLE AS last, false AS reused FROM (SELECT DISTINCT user_id FROM ev)
+        UNION ALL
+        SELECT user_id, i, event_id, CASE WHEN off THEN NULL WHEN same THEN last ELSE value END, same FROM (
+          SELECT e.user_id, e.i, e.event_id, f.last, e.value, e.event_type = 'error' AS off,
+            coalesce(e.event_type <> 'error' AND (abs(e.value - f.last) + abs(e.value / 2 - f.last / 2)) / 3 < 6 AND abs(e.value - f.last) < 60, false) AS same
+          FROM f JOIN ev e ON e.user_id = f.user_id AND e.i = f.i + 1))
+      SELECT event_id, reused FROM f WHERE i >= 0""",
+    "outlier_chain": f"""WITH RECURSIVE {EV}, k AS (SELECT event_id, user_id, t / 3600 AS h, v, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM ev WHERE v IS NOT NULL),
+      f AS (
+        SELECT user_id, 0::BIGINT AS n, NULL::DOUBLE AS th, NULL::DOUBLE AS tv, []::STRUCT(id BIGINT, h DOUBLE, v DOUBLE)[] AS waiting, []::BIGINT[] AS dropped FROM (SELECT DISTINCT user_id FROM k)
+        UNION ALL
+        SELECT user_id, n, CASE WHEN ok OR moved THEN h ELSE th END, CASE WHEN ok OR moved THEN v ELSE tv END, CASE WHEN ok OR moved THEN [] ELSE now END, CASE WHEN ok OR breaks THEN list_transform(waiting, lambda w: w.id) ELSE [] END FROM (
+          SELECT *, NOT ok AND len(now) >= 4 AND h - now[1].h >= 1.5 AS moved FROM (
+            SELECT *, list_append(CASE WHEN breaks THEN [] ELSE waiting END, {{'id': id, 'h': h, 'v': v}}) AS now FROM (
+              SELECT k.user_id, k.n, k.event_id AS id, k.h, k.v, f.th, f.tv, f.waiting,
+                f.th IS NULL OR k.h - f.th > 48 OR (k.v >= f.tv - (k.h - f.th) - 1 AND k.v <= f.tv + 0.01) OR ((abs(k.v - 24) < 0.01 OR abs(k.v - 14) < 0.01) AND k.v >= f.tv - (k.h - f.th) - 1) AS ok,
+                len(f.waiting) > 0 AND NOT coalesce(k.v >= f.waiting[-1].v - (k.h - f.waiting[-1].h) - 1 AND k.v <= f.waiting[-1].v + 0.01, false) AS breaks
+              FROM f JOIN k ON k.user_id = f.user_id AND k.n = f.n + 1)))),
+      gone AS (SELECT unnest(dropped) AS id FROM f UNION SELECT unnest(list_transform(waiting, lambda w: w.id)) FROM f JOIN (SELECT user_id, max(n) AS n FROM f GROUP BY 1) USING (user_id, n))
+      SELECT event_id, v IS NOT NULL AND event_id NOT IN (SELECT id FROM gone) AS plausible FROM ev""",
     "changed_rows": f"WITH {EV} SELECT event_id, event_type FROM (SELECT *, lag(event_type) {W}) AS p FROM ev) WHERE event_type IS DISTINCT FROM p",
 }
 
