@@ -32,12 +32,12 @@ def test_summary(spark, tmp_path):
 
 
 def test_season_kinds(spark):
-    rows = [("g", i, 1, 900 - i, h, a, n) for i, (h, a, n) in enumerate([(0, 2, ""), (6, 2, "X"), (6, 4, ""), (12, 4, "Y"), (14, 4, ""), (17, 4, "K")])]
+    rows = [("g", i, 1, 900 - i, h, a, n) for i, (h, a, n) in enumerate([(0, 2, ""), (6, 2, "X"), (6, 4, "Z"), (12, 4, "Y"), (14, 4, ""), (17, 4, "K")])]
     df = spark.createDataFrame(rows, "game_id string, play_id int, qtr int, quarter_seconds_remaining int, total_home_score int, total_away_score int, td_player_name string")
-    df = df.withColumn("safety", F.lit(0)).withColumn("two_point_attempt", F.lit(0))
+    df = df.withColumn("kicker_player_name", F.when(F.col("play_id") == 5, "Foot")).withColumn("safety", F.lit(0)).withColumn("two_point_attempt", F.lit(0))
     out = feeds.season_events(df).orderBy("event_id").collect()
     assert [r.kind for r in out] == ["safety", "touchdown", "two_point", "touchdown", "two_point", "field_goal"]
-    assert [r.scorer for r in out] == ["", "X", "", "Y", "", "K"] and [r.side for r in out][:2] == ["away", "home"]
+    assert [r.scorer for r in out] == ["", "X", "", "Y", "", "Foot"] and [r.side for r in out][:2] == ["away", "home"]
 
 
 def test_goals(spark):

@@ -17,6 +17,17 @@ SCHEDULE = "struct<events:array<struct<id:string,competitions:array<struct<statu
 #: Codes that one feed spells differently (fixed values).
 OTHER_CODES = {"GS": "GSW", "NO": "NOP", "NY": "NYK", "SA": "SAS", "UTAH": "UTA", "WSH": "WAS"}
 
+#: Codes of clubs that have moved (fixed values).
+MOVED_CODES = {"OAK": "LV", "SD": "LAC", "STL": "LA", "LAR": "LA", "JAC": "JAX", "WSH": "WAS"}
+#: Columns that may name the scorer of a kind, in order (fixed values).
+SCORERS = {
+    "touchdown": ("td_player_name",),
+    "field_goal": ("kicker_player_name",),
+    "extra_point": ("kicker_player_name",),
+    "two_point": ("receiver_player_name", "rusher_player_name", "passer_player_name"),
+    "safety": ("safety_player_name",),
+}
+
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document per file, as column ``doc`` with its ``path``."""
@@ -101,10 +112,11 @@ def season_events(rows: DataFrame) -> DataFrame:
     # a two after a touchdown is a try; what it is itself never makes a later two a try
     two = F.when(F.col("r.safety").try_cast("int") == 1, "safety").when((before == "touchdown") | (F.col("r.two_point_attempt").try_cast("int") == 1), "two_point").otherwise("safety")
     kind = F.when(F.col("_basic") == "two", two).otherwise(F.coalesce("_basic", F.lit("score")))
-    names = [c for c in ("td_player_name", "kicker_player_name", "receiver_player_name", "rusher_player_name") if c in rows.columns]
+    empty = F.lit("")
+    scorer = F.coalesce(*(F.when(F.col("kind") == k, F.coalesce(*(F.nullif(F.col(f"r.{c}"), empty) for c in names if c in rows.columns), empty)) for k, names in SCORERS.items()), empty)
     return s.withColumn("_basic", basic).withColumn("kind", kind).select(
         "game_id", F.col("r.play_id").cast("string").alias("event_id"), F.coalesce("r.qtr", F.lit(0)).alias("period"), F.col("r.quarter_seconds_remaining").cast("double").alias("clock"),
-        F.col("_s.side").alias("side"), p.alias("points"), F.coalesce(*(F.nullif(F.col(f"r.{c}"), F.lit("")) for c in names), F.lit("")).alias("scorer"),
+        F.col("_s.side").alias("side"), p.alias("points"), scorer.alias("scorer"),
         F.col("_s.away").alias("score_away"), F.col("_s.home").alias("score_home"), "kind",
     )
 
