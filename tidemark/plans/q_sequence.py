@@ -212,6 +212,13 @@ SQL = {
               FROM f JOIN k ON k.user_id = f.user_id AND k.n = f.n + 1)))),
       gone AS (SELECT unnest(dropped) AS id FROM f UNION SELECT unnest(list_transform(waiting, lambda w: w.id)) FROM f JOIN (SELECT user_id, max(n) AS n FROM f GROUP BY 1) USING (user_id, n))
       SELECT event_id, v IS NOT NULL AND event_id NOT IN (SELECT id FROM gone) AS plausible FROM ev""",
+    "infer_period": f"""WITH RECURSIVE {EV}, c AS (SELECT user_id, event_id, i, 100.0::DOUBLE - (i % 20) * 5 + value / 1000 AS c FROM ev), g AS (SELECT user_id, list(c ORDER BY i) AS l, list(event_id ORDER BY i) AS ids, count(*) AS n FROM c GROUP BY 1),
+      f AS (
+        SELECT user_id, l, ids, n, 0::BIGINT AS k, 1::BIGINT AS period, l[1] AS low FROM g
+        UNION ALL
+        SELECT user_id, l, ids, n, k + 1, CASE WHEN up THEN period + 1 ELSE period END, least(CASE WHEN up THEN l[k + 1] ELSE low END, l[k + 1])
+        FROM (SELECT *, l[k + 1] > low + 0.4::DOUBLE * 100 AND list_avg(list_transform(l[k + 1:k + 8], lambda x: CASE WHEN x > low + 0.4::DOUBLE * 100 THEN 1.0::DOUBLE ELSE 0.0 END)) >= 0.7 AS up FROM f WHERE k < n))
+      SELECT ids[k] AS event_id, period::DOUBLE AS period FROM f WHERE k > 0""",
     "changed_rows": f"WITH {EV} SELECT event_id, event_type FROM (SELECT *, lag(event_type) {W}) AS p FROM ev) WHERE event_type IS DISTINCT FROM p",
 }
 
