@@ -62,10 +62,37 @@ def test_schedule(spark, tmp_path):
     doc = {"events": [{"id": "1", "competitions": [{"status": {"type": {"description": "Final"}}, "notes": [{"headline": "Game 4"}], "competitors": [c("home", "NY", "100"), c("away", "SA", "x")]}]}]}
     docs = feeds.read_json(spark, write(tmp_path, doc), feeds.SCHEDULE)
     row = feeds.schedule_games(docs, "NYK").first()
-    assert (row.home, row.away, row.home_score, row.away_score, row.label) == ("NYK", "SAS", 100, None, "Game 4 · Final")
+    assert (row.home, row.away, row.home_score, row.away_score, row.status, row.label) == ("NYK", "SAS", 100, None, "Final", "Game 4")
     assert feeds.schedule_games(docs, "BOS").count() == 0
 
 
+def test_games_by_teams_and_by_days(spark, tmp_path):
+    t = lambda code, s: {"teamTricode": code, "teamCity": "City", "teamName": code.lower(), "score": s}
+    games = [{"gameId": "7", "gameStatusText": "Final ", "gameLabel": "Finals", "gameSubLabel": "", "seriesText": "2-1", "homeTeam": t("NYK", 90), "awayTeam": t("SAS", 88)}, {"gameId": "8"}]
+    found = feeds.board_games(feeds.read_json(spark, write(tmp_path, {"scoreboard": {"games": games}}), feeds.BOARD))
+    a, b = found.orderBy("game_id").collect()
+    assert (a.home, a.away_name, a.home_score, a.status, a.label) == ("NYK", "City sas", 90, "Final", "Finals · 2-1") and (b.home, b.home_name, b.home_score, b.label) == ("", "", None, "")
+    assert feeds.board_games(feeds.read_json(spark, write(tmp_path, {"scoreboard": {"games": games}}), feeds.BOARD), "sas").count() == 1
+    side = lambda code, s: {"score": s, "team": {"abbreviation": code, "name": code}}
+    late = {"gamePk": 1, "gameType": "W", "status": {"detailedState": "Final"}, "teams": {"home": side("LAD", 5), "away": side("TOR", 4)}, "linescore": {"currentInning": 11}, "seriesDescription": "World Series", "seriesGameNumber": 7}
+    plain = {"gamePk": 2, "gameType": "R", "status": {"abstractGameState": "Live"}, "linescore": {"currentInning": 3}, "seriesDescription": "Regular Season", "seriesGameNumber": 2, "doubleHeader": "Y", "gameNumber": 1}
+    docs = feeds.read_json(spark, write(tmp_path, {"dates": [{"games": [late]}, {"games": [plain]}, {}]}), feeds.DAYS)
+    a, b = feeds.day_games(docs).orderBy("game_id").collect()
+    assert (a.home, a.away_score, a.status, a.label) == ("LAD", 4, "Final/11", "World Series · Game 7") and (b.home, b.status, b.label) == ("", "Live", "Doubleheader game 1")
+    assert feeds.day_games(docs, "TOR").count() == 1
+
+
+def test_times_at_bat(spark, tmp_path):
+    p = lambda a, h, inning, half, kind, at=None: {"result": {"awayScore": a, "homeScore": h, "eventType": kind, "description": " d ", "rbi": 1}, "about": {"inning": inning, "halfInning": half, "atBatIndex": at}, "matchup": {"batter": {"fullName": "A B"}}}
+    plays = [p(0, 0, 1, "top", "out", 0), p(2, 0, 1, "top", "home_run", 1), p(None, 0, 1, "top", "out", 2), p(1, 0, 2, "top", "out", 3), p(2, 1, 5, "bottom", "single", 4), p(3, 1, None, "top", "single"), {}]
+    docs = feeds.read_json(spark, write(tmp_path, {"allPlays": plays}), feeds.AT_BATS).withColumn("game_id", F.lit("1"))
+    games = spark.createDataFrame([("1", "LAD", "TOR")], "game_id string, home string, away string")
+    found = feeds.at_bat_events(docs, games).orderBy("event_id", "period").collect()
+    assert [(r.event_id, r.period, r.team, r.points, r.score_away, r.score_home, r.kind) for r in found] == [("1", 1, "TOR", 2, 2, 0, "home_run"), ("2", 0, "TOR", 1, 3, 1, "run"), ("4", 10, "LAD", 1, 2, 1, "run")]
+    assert all(r.scorer == "A B" and r.description == "d" and r.clock is None for r in found)
+    assert feeds.at_bat_events(docs.limit(0), games).count() == 0
+
+
 def test_defense(spark):
     df = spark.createDataFrame([("Late turnover (Josh Hart steals)", ""), ("Mitchell Robinson blocks the layup", ""), ("bad pass STEAL by", ""), ("x", "Block"), ("BLOCK", "2pt"), (None, None)], "t string, k string")
     assert [(r.p.player, r.p.kind) for r in df.select(feeds.described_defense(F.col("t")).alias("p")).collect()] == [("J. Hart", "steal"), ("M. Robinson", "block"), (None, None), (None, None), (None, None), (None, None)]

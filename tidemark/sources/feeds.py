@@ -14,6 +14,11 @@ ACTIONS = "struct<game:struct<gameId:string,actions:array<struct<actionNumber:bi
 SUMMARY = "struct<id:string,header:struct<competitions:array<struct<competitors:array<struct<homeAway:string,team:struct<id:string,abbreviation:string>>>>>>,plays:array<struct<id:string,sequenceNumber:string,scoringPlay:boolean,homeScore:int,awayScore:int,team:struct<id:string>,type:struct<text:string>,text:string,period:struct<number:int>,clock:struct<displayValue:string>>>>"
 SIDECAR = "struct<away:string,home:string,events:array<struct<event_id:string,period:int,clock:double,team:string,points:int,scorer:string,description:string,score_away:int,score_home:int,kind:string,extra:map<string,string>>>>"
 SCHEDULE = "struct<events:array<struct<id:string,competitions:array<struct<status:struct<type:struct<description:string>>,notes:array<struct<headline:string>>,competitors:array<struct<homeAway:string,score:string,team:struct<abbreviation:string,displayName:string>>>>>>>>"
+BOARD = "struct<scoreboard:struct<games:array<struct<gameId:string,gameStatusText:string,gameLabel:string,gameSubLabel:string,seriesText:string,homeTeam:struct<teamTricode:string,teamCity:string,teamName:string,score:string>,awayTeam:struct<teamTricode:string,teamCity:string,teamName:string,score:string>>>>>"
+DAYS = "struct<dates:array<struct<games:array<struct<gamePk:string,gameType:string,status:struct<abstractGameState:string,detailedState:string>,teams:struct<home:struct<score:string,team:struct<abbreviation:string,name:string>>,away:struct<score:string,team:struct<abbreviation:string,name:string>>>,linescore:struct<currentInning:int,scheduledInnings:int>,seriesDescription:string,seriesGameNumber:int,doubleHeader:string,gameNumber:int>>>>>"
+AT_BATS = "struct<allPlays:array<struct<result:struct<awayScore:string,homeScore:string,description:string,event:string,eventType:string,rbi:int>,about:struct<inning:int,halfInning:string,atBatIndex:string>,matchup:struct<batter:struct<fullName:string>>>>>"
+#: Game types played after the regular season (fixed values).
+LATE_TYPES = ("F", "D", "L", "W")
 #: Codes that one feed spells differently (fixed values).
 OTHER_CODES = {"GS": "GSW", "NO": "NOP", "NY": "NYK", "SA": "SAS", "UTAH": "UTA", "WSH": "WAS"}
 
@@ -66,9 +71,9 @@ def score_fold(rows: Column) -> Column:
 
 
 def _steps(games: DataFrame, rows: str, home: Column, away: Column) -> DataFrame:
-    """Games with exploded scoring steps and the feed row ``r`` of each."""
+    """Games with exploded scoring steps, their number ``_k`` and the feed row ``r`` of each."""
     pairs = F.transform(rows, lambda r: F.struct(home(r).alias("home"), away(r).alias("away")))
-    found = games.withColumn("_s", F.explode(score_fold(pairs)))
+    found = games.select("*", F.posexplode(score_fold(pairs)).alias("_k", "_s"))
     return found.withColumn("r", F.get(F.col(rows), F.col("_s.at")))
 
 
@@ -121,6 +126,25 @@ def season_events(rows: DataFrame) -> DataFrame:
     )
 
 
+def at_bat_events(docs: DataFrame, games: DataFrame) -> DataFrame:
+    """Scoring events of lists of times at bat: columns game_id and ``doc``; ``games`` has the codes of home and away.
+
+    The period counts half innings, bottom after top, 0 where the inning is unknown; there is no clock.
+    """
+    plays = docs.select("game_id", F.col("doc.allPlays").alias("rows")).filter("rows is not null")
+    s = _steps(plays, "rows", lambda r: r["result"]["homeScore"].try_cast("int"), lambda r: r["result"]["awayScore"].try_cast("int"))
+    s = s.join(games.select("game_id", F.col("home").alias("_home"), F.col("away").alias("_away")), "game_id", "left")
+    inning, empty = F.coalesce("r.about.inning", F.lit(0)), F.lit("")
+    bottom = F.coalesce(F.col("r.about.halfInning") == "bottom", F.lit(False))
+    return s.select(
+        "game_id", F.coalesce("r.about.atBatIndex", F.col("_k").cast("string")).alias("event_id"), F.when(inning == 0, 0).otherwise(2 * inning - (~bottom).cast("int")).alias("period"),
+        F.lit(None).cast("double").alias("clock"), F.coalesce(F.when(F.col("_s.side") == "home", F.col("_home")).otherwise(F.col("_away")), empty).alias("team"), F.col("_s.side").alias("side"),
+        F.col("_s.points").alias("points"), F.coalesce("r.matchup.batter.fullName", empty).alias("scorer"), F.trim(F.coalesce("r.result.description", empty)).alias("description"),
+        F.col("_s.away").alias("score_away"), F.col("_s.home").alias("score_home"), F.when(F.col("r.result.eventType") == "home_run", "home_run").otherwise("run").alias("kind"),
+        inning.alias("inning"), F.when(bottom, "bottom").otherwise("top").alias("half"), F.coalesce("r.result.event", empty).alias("event"), F.coalesce("r.result.rbi", F.lit(0)).alias("rbi"),
+    )
+
+
 def goal_events(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Goals (no shootout) with running scores; a goal without a score adds one to its owner's.
 
@@ -170,13 +194,55 @@ def sidecar_events(docs: DataFrame) -> DataFrame:
     return e.select("path", "at", "e.*", F.coalesce(F.try_element_at("e.extra", F.lit("side")), by_team, rose).alias("side"))
 
 
+def _of_team(games: DataFrame, team: str | None) -> DataFrame:
+    return games.filter((F.upper("home") == team.upper()) | (F.upper("away") == team.upper())) if team else games
+
+
+def _joined(*parts: Column) -> Column:
+    """Parts that say something, in order."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), " · ")
+
+
 def schedule_games(docs: DataFrame, team: str | None = None) -> DataFrame:
-    """Games of a scoreboard document, of one team if named."""
+    """Games of a scoreboard document by competitions, of one team if named."""
     g = docs.select(F.explode("doc.events").alias("e")).withColumn("c", F.get(F.col("e.competitions"), 0))
     of = lambda side: F.get(F.filter("c.competitors", lambda x: x["homeAway"] == side), 0)
+    empty, lines = F.lit(""), F.transform("c.notes", lambda n: n["headline"])
     out = g.select(
         F.col("e.id").alias("game_id"), translated(of("home")["team"]["abbreviation"]).alias("home"), translated(of("away")["team"]["abbreviation"]).alias("away"),
-        of("home")["score"].try_cast("int").alias("home_score"), of("away")["score"].try_cast("int").alias("away_score"),
-        F.concat_ws(" · ", F.get(F.col("c.notes"), 0)["headline"], F.col("c.status.type.description")).alias("label"),
+        F.coalesce(of("home")["team"]["displayName"], empty).alias("home_name"), F.coalesce(of("away")["team"]["displayName"], empty).alias("away_name"),
+        of("home")["score"].try_cast("int").alias("home_score"), of("away")["score"].try_cast("int").alias("away_score"), F.coalesce("c.status.type.description", empty).alias("status"),
+        F.coalesce(F.array_join(F.filter(lines, lambda x: x.isNotNull() & (x != "")), " · "), empty).alias("label"),
+    )
+    return _of_team(out, team)
+
+
+def board_games(docs: DataFrame, team: str | None = None) -> DataFrame:
+    """Games of a scoreboard document by teams, of one team if named."""
+    g = docs.select(F.explode("doc.scoreboard.games").alias("g")).select("g.*")
+    empty = F.lit("")
+    name = lambda t: F.trim(F.concat_ws(" ", F.coalesce(f"{t}.teamCity", empty), F.coalesce(f"{t}.teamName", empty)))
+    out = g.select(
+        F.col("gameId").alias("game_id"), F.coalesce("homeTeam.teamTricode", empty).alias("home"), F.coalesce("awayTeam.teamTricode", empty).alias("away"), name("homeTeam").alias("home_name"), name("awayTeam").alias("away_name"),
+        F.col("homeTeam.score").try_cast("int").alias("home_score"), F.col("awayTeam.score").try_cast("int").alias("away_score"), F.trim(F.coalesce("gameStatusText", empty)).alias("status"),
+        _joined(F.col("gameLabel"), F.col("gameSubLabel"), F.col("seriesText")).alias("label"),
+    )
+    return _of_team(out, team)
+
+
+def day_games(docs: DataFrame, team: str | None = None) -> DataFrame:
+    """Games of a schedule by days, of one team if named; a final of unusual length says its innings."""
+    g = docs.select(F.explode("doc.dates").alias("d")).select(F.explode("d.games").alias("g")).select("g.*")
+    empty = F.lit("")
+    state = F.coalesce(F.nullif("status.detailedState", empty), "status.abstractGameState", empty)
+    planned = F.coalesce(F.nullif("linescore.scheduledInnings", F.lit(0)), F.lit(9))
+    odd = (state == "Final") & (F.col("linescore.currentInning") > 0) & (F.col("linescore.currentInning") != planned)
+    series = F.when(F.col("seriesDescription") != "Regular Season", F.nullif("seriesDescription", empty))
+    number = F.when(series.isNotNull() & F.col("gameType").isin(*LATE_TYPES) & (F.col("seriesGameNumber") > 0), F.concat(F.lit("Game "), "seriesGameNumber"))
+    twice = F.when(F.col("doubleHeader").isin("Y", "S"), F.concat(F.lit("Doubleheader game "), "gameNumber"))
+    side = lambda s: (F.coalesce(f"teams.{s}.team.abbreviation", empty).alias(s), F.coalesce(f"teams.{s}.team.name", empty).alias(f"{s}_name"), F.col(f"teams.{s}.score").try_cast("int").alias(f"{s}_score"))
+    out = g.select(
+        F.col("gamePk").alias("game_id"), *side("home"), *side("away"), F.when(odd, F.concat(F.lit("Final/"), "linescore.currentInning")).otherwise(state).alias("status"),
+        _joined(series, number, twice).alias("label"),
     )
-    return out.filter((F.col("home") == team) | (F.col("away") == team)) if team else out
+    return _of_team(out, team)
