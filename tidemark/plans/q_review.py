@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse
 from tidemark.operators import intervals, review, sequence
+from tidemark.plans import rules
 from tidemark.plans.q_intervals import SPANS, _spans, merged_sql
 from tidemark.plans.q_sequence import DAY, EV, ISLAND, KEY, ORDER, events
 from tidemark.sources.files import table
@@ -29,6 +30,20 @@ def last_clock_stop(spark, sf_dir):
     return review.last_onset(ev.select("event_id", "user_id", "t"), held, KEY, "t", 2 * DAY).select("event_id", "onset")
 
 
+def play_start(spark, sf_dir):
+    """Purchases with the last click before them within a day, else half a day before."""
+    ev = events(spark, sf_dir).select("event_id", "user_id", "t", "event_type")
+    clicks = ev.filter("event_type = 'click'").select("user_id", F.col("t").alias("at"))
+    return rules.last_sign(ev.filter("event_type = 'purchase'"), clicks, KEY, DAY, DAY / 2, "sign", "before").select("event_id", "start", "cause")
+
+
+def score_kinds(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") > 25).alias("stopped"), (F.col("l_discount") * 100).alias("held"))
+    seen = F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("free_throw"), F.lit("two_point")))
+    kinds = [rules.kind(s, F.col("l_linenumber"), F.col("stopped"), F.col("held"), seen).alias(s) for s in ("basketball", "football", "hockey", "baseball")]
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", *kinds)
+
+
 def piecewise_value(spark, sf_dir):
     ev = events(spark, sf_dir)
     frames = ev.filter("event_type = 'purchase'").select("user_id", "t", "value")
@@ -101,6 +116,13 @@ SQL = {
     "stopped_since": f"WITH {EV}, a AS (SELECT event_id, user_id, t, t - {DAY} AS u, event_type FROM ev) SELECT a.event_id, coalesce(b.event_type = a.event_type AND a.t - b.t <= {3 * DAY}, false) AS unchanged FROM a ASOF LEFT JOIN ev b ON a.user_id = b.user_id AND a.u >= b.t",
     "last_clock_stop": f"""WITH {EV}, r AS ({ISLAND.format(x='event_type', src='ev')}), h AS (SELECT user_id, min(t) AS o FROM r GROUP BY user_id, run HAVING count(*) >= 2)
       SELECT e.event_id, CASE WHEN e.t - h.o <= {2 * DAY} THEN h.o END AS onset FROM ev e ASOF LEFT JOIN h ON e.user_id = h.user_id AND e.t >= h.o""",
+    "play_start": f"""WITH {EV}, s AS (SELECT user_id, t FROM ev WHERE event_type = 'click')
+      SELECT e.event_id, CASE WHEN e.t - s.t <= {DAY} THEN s.t ELSE e.t - {DAY / 2} END AS start, CASE WHEN e.t - s.t <= {DAY} THEN 'sign' ELSE 'before' END AS cause
+      FROM (SELECT * FROM ev WHERE event_type = 'purchase') e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.t > s.t""",
+    "score_kinds": """SELECT l_orderkey, l_linenumber, l_partkey, 'goal' AS hockey, 'run' AS baseball,
+      CASE WHEN l_partkey % 3 = 0 THEN 'field_goal' WHEN l_linenumber = 1 OR (l_quantity > 25 AND l_discount * 100 >= 8) THEN 'free_throws' ELSE 'field_goal' END AS basketball,
+      CASE WHEN l_linenumber >= 6 THEN 'touchdown' WHEN l_linenumber = 3 THEN 'field_goal' WHEN l_linenumber = 1 THEN 'extra_point'
+           WHEN l_linenumber = 2 THEN CASE WHEN l_partkey % 3 = 0 OR l_quantity > 25 THEN 'two_point' ELSE 'safety' END ELSE 'score' END AS football FROM lineitem""",
     "piecewise_value": f"""WITH {EV}, f AS (SELECT user_id, t, value, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS t2, lead(value) OVER (PARTITION BY user_id ORDER BY t) AS v2, first_value(value) OVER (PARTITION BY user_id ORDER BY t) AS v0 FROM ev WHERE event_type = 'purchase')
       SELECT e.event_id, round(coalesce(f.value + (v2 - f.value) * ((e.t - f.t) / (t2 - f.t)), f.value, (SELECT any_value(v0) FROM f g WHERE g.user_id = e.user_id)), 6) AS on_track FROM ev e ASOF LEFT JOIN f ON e.user_id = f.user_id AND e.t >= f.t""",
     "side_swap": "SELECT o_orderkey, o_orderkey % 3 = 0 AND o_orderkey % 90 <> o_custkey % 90 AS reversed, o_orderkey % 90 AS read_away, o_custkey % 90 AS read_home FROM orders",
@@ -125,5 +147,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (game_time_lookup, stopped_since, last_clock_stop, piecewise_value, side_swap, patch_merge, uncertain_pick, source_time, template_match, nearest_label, box_clusters, clip_filter, caption_text)
+    for f in (game_time_lookup, stopped_since, last_clock_stop, play_start, score_kinds, piecewise_value, side_swap, patch_merge, uncertain_pick, source_time, template_match, nearest_label, box_clusters, clip_filter, caption_text)
 }

@@ -179,7 +179,10 @@ def clips(timeline: DataFrame, events: DataFrame, sport: Sport, team: str, rate:
     went = sequence.restarts(tl.filter("live AND clock IS NOT NULL"), KEY, ORDER, "clock", "t", 2.4, 2.5)
     starts = went.select(*KEY, (F.col("t") - (step + 1.0) / 2).alias("at"), (F.col("t") - (step + 1.0) / 2).alias("start"), F.lit("clock_start").alias("cause"))
     cand = signs.unionByName(back).unionByName(resets).unionByName(starts)
-    sign = own.join(cand, KEY).filter(F.col("at") <= F.col("t") - 2.5).groupBy(*KEY, "event_index").agg(F.max(F.struct("start", "cause")).alias("s"))
+    # a running maximum over both tables in time order, not all pairs of a game; signs at the same time count
+    asked = own.select(*KEY, (F.col("t") - 2.5).alias("at"), "event_index")
+    both = asked.unionByName(cand.select(*KEY, "at", F.struct("start", "cause").alias("_sign")), allowMissingColumns=True)
+    sign = both.withColumn("s", F.max("_sign").over(Window.partitionBy(*KEY).orderBy("at"))).filter("event_index IS NOT NULL").select(*KEY, "event_index", "s")
     timed = own.join(sign, [*KEY, "event_index"], "left")
     end = F.col("t") + sport.rolls[1]
     start = F.greatest(F.coalesce(F.col("s.start"), F.col("t") - sport.max_clip) - sport.rolls[0], end - sport.max_clip)
