@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe, decontaminate, neardup, quality, secrets
 from tidemark.llm.tables import Scratch, read
 
+#: Similarity from which documents are near duplicates here; op4's own links begin at neardup.PERCENT.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the outlier rule reject."""
@@ -19,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group."""
-    return neardup.keep_one(spark, docs)
+    """The document with the smallest id of each group; documents from a similarity of 0.8 on are linked."""
+    return neardup.keep_one(spark, docs, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Every element (a hashed five-word shingle) deals one value to each register alon
 pseudo-random order of the registers, the j-th value lying in [j, j + 1). Registers therefore
 fill evenly, which lowers the variance against independent minima, and a document stops at the
 first level that can't lower any register. Five registers make a band, 32 bands a signature; two
-documents that are alike enough to be linked share no band with a probability of 7e-9.
+documents that are alike enough to be linked share no band with a probability of 7e-9 where
+links begin at 85 %, as they do by default, and of 3e-6 where they begin at 80 %.
 
 Rows of one band value meet in blocks of bounded size (a hot value is dealt over pairs of
 blocks), where full signatures are compared and joined to stars by union-find. The components of
@@ -21,6 +22,7 @@ result. Extra columns are kept by ``keep_one`` and ignored by ``groups``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,6 @@ from tidemark.llm.tables import Scratch, read, tidied
 
 WIDTH, PERCENT = 5, 85
 REGISTERS, BAND = 160, 5
-#: Equal registers from which a pair may reach the similarity: its mean at 0.85 less six deviations.
-ALIKE = 109
 #: Members of a block of signatures (some 200 bytes each); a band value with more is compared by pairs of blocks.
 SIGNED_BLOCK = 1024
 #: Members and shingles of a block of texts.
@@ -42,6 +42,13 @@ BLOCK, BLOCK_SHINGLES = 128, 2_000_000
 #: Ids up to which the rows that go are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
+
+def alike(percent: int) -> int:
+    """Equal registers from which a pair may reach the similarity: their mean at it less six deviations."""
+    p = percent / 100
+    return round(REGISTERS * p - 6 * (REGISTERS * p * (1 - p)) ** 0.5)
+
+
 #: A-Z lowered, white space to spaces; all other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -203,7 +210,7 @@ def _star_rows(ids: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(b[apart])], names=["a", "b"])
 
 
-def _signature_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signature_stars(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     keys = ("band_key", "lo", "hi")
     for table in _groups(batches, keys):
         group, ids, side = _borders(table, keys), table.column("uid").to_numpy(), table.column("side").to_numpy(zero_copy_only=False)
@@ -215,7 +222,7 @@ def _signature_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             i = np.flatnonzero((group[d:] == group[:-d]) & ~(split[d:] & (side[d:] == side[:-d])))
             if not len(i):
                 continue
-            i = i[(marks[i] == marks[i + d]).sum(axis=1) >= ALIKE]
+            i = i[(marks[i] == marks[i + d]).sum(axis=1) >= least]
             a.append(i)
             b.append(i + d)
         if a:
@@ -244,7 +251,7 @@ def shared_counts(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _exact_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact_stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     held: list[tuple[int, bool, np.ndarray]] = []
     now = None
@@ -255,7 +262,7 @@ def _exact_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, side = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held])
         sizes = np.array([len(h[2]) for h in held], np.int64)
         both = shared_counts([h[2] for h in held])
-        linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
         if now[1] != now[2]:
             linked &= side[:, None] != side[None, :]
         a, b = np.nonzero(np.triu(linked, 1))
@@ -279,7 +286,7 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Verified links (a, b) between representatives, enough to connect each group."""
     tasks = _tasks(spark)
     unique = scratch.write(
@@ -291,7 +298,7 @@ def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: Da
     several = scratch.write(banded.groupBy("band_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band_key", F.ceil(F.col("n") / SIGNED_BLOCK).cast("int").alias("blocks")), "several")
     met = banded.join(several, "band_key").join(unique.select("uid", "signature"), "uid")
     candidates = (
-        dealt(met, "band_key", "blocks", "uid").repartition(tasks, "band_key", "lo", "hi").sortWithinPartitions("band_key", "lo", "hi").mapInArrow(tidied(_signature_stars), "a long, b long")
+        dealt(met, "band_key", "blocks", "uid").repartition(tasks, "band_key", "lo", "hi").sortWithinPartitions("band_key", "lo", "hi").mapInArrow(tidied(partial(_signature_stars, least=alike(percent))), "a long, b long")
     )
     found = scratch.write(components(candidates, scratch, "candidates").join(unique.select(F.col("uid").alias("node"), "n_shingles"), "node"), "candidate-groups")
     sizes = scratch.write(
@@ -299,25 +306,25 @@ def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: Da
     )
     members = scratch.write(found.join(sizes, "component").select(F.col("node").alias("uid"), "component", "blocks"), "members")
     texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("uid")).drop("doc_id")
-    exact = dealt(texts, "component", "blocks", "uid").repartition(tasks, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(tidied(_exact_stars), "a long, b long")
+    exact = dealt(texts, "component", "blocks", "uid").repartition(tasks, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(tidied(partial(_exact_stars, percent=percent)), "a long, b long")
     return components(exact, scratch, "links")
 
 
-def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+def groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``; links begin at ``percent`` of Jaccard similarity."""
     scratch = Scratch(spark, "neardup")
     signed = scratch.write(sign(docs), "signed")
     reps = scratch.write(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
-    found = scratch.write(link_stars(spark, docs, signed, reps, scratch), "components")
+    found = scratch.write(link_stars(spark, docs, signed, reps, scratch, percent), "components")
     # rows that share an id are one document, so links run between ids, also those of equal sets
     named = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(found, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    out = groups(spark, docs.select("doc_id", "text"))
+    out = groups(spark, docs.select("doc_id", "text"), percent)
     gone = Scratch(spark, "neardup-gone").write(out.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")
