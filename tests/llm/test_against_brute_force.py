@@ -178,6 +178,30 @@ def test_quality_estimates_resist_outliers(spark):
     assert all(abs(e[f"m{i}"]) < 0.3 and 0.7 < e[f"l{i}{i}"] < 1.5 for i in range(4))
 
 
+@pytest.mark.parametrize("share", [0.3, 0.45])
+@pytest.mark.parametrize("far", [5, 30])
+def test_quality_estimates_resist_much_junk(spark, share, far):
+    from tidemark.llm.tables import Scratch
+
+    rng = np.random.default_rng(3)
+    n = int(2000 * share)
+    x = np.concatenate([rng.normal(0, 1, (2000 - n, 4)), rng.normal(far, 1, (n, 4))])
+    rows = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "group string, i long, x0 double, x1 double, x2 double, x3 double")
+    out = {r.i for r in rows.join(quality.estimates(rows, 1, Scratch(spark, "test")), "group").filter(quality._distance() > quality.CHI_REJECT).collect()}
+    assert out == set(range(2000 - n, 2000))
+
+
+def test_quality_estimates_leave_base_failed_rows_out(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 9)))
+    good = [(i, " ".join(word() for _ in range(60))) for i in range(100)]
+    odd = [(100, " ".join(word() * 8 for _ in range(60)))]
+    # far more rows that fail the base rules, all as odd as the one that passes
+    short = [(101 + i, " ".join(word() * 8 for _ in range(5))) for i in range(300)]
+    docs = spark.createDataFrame([(*r, "en", "a") for r in good + odd + short], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.judge(spark, docs).filter("kept").collect()} == set(range(100))
+
+
 def test_quality_separates_labelled_documents(spark):
     sf = "/root/testdata/sf0.1"
     judged = quality.judge(spark, spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")

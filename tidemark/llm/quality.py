@@ -4,10 +4,13 @@ Base rules reject documents of under ten words and documents of which over a fif
 lie in repeated five-word windows. The method then looks at a vector of transformed statistics
 (mean word length, shares of symbols, of repeated lines and of repeated words) within each
 language and source: minimum-covariance-determinant estimates of centre and scatter are found by
-concentration steps over the rows nearest to the current estimate, starting from medians and
-median deviations, then reweighted; documents far off by Mahalanobis distance are rejected.
+concentration steps over the half of the rows nearest to the current estimate. They begin at three
+fixed starts (medians with median deviations, moments of hyperbolic tangents, spatial signs) and go
+on until no determinant falls any more; the start with the smallest determinant is reweighted.
+Documents far off by Mahalanobis distance are rejected. Rows that the base rules reject take no
+part in the estimates.
 
-Groups of under ``least_rows`` rows are judged with the other small sources of their language,
+Groups of under ``least_rows`` rows that pass the base rules are judged with the other small sources of their language,
 then with all remaining rows; if even those are too few, only the base rules judge them.
 
 Defined results. Null text: all statistics zero, so the base rules reject it. Null language or
@@ -32,7 +35,12 @@ VECTOR = ("x0", "x1", "x2", "x3")
 FLOORS = (0.12, 0.04, 0.3, 0.12)
 #: Quantiles of the chi-square distribution with four degrees of freedom (fixed values).
 CHI_MEDIAN, CHI_975, CHI_REJECT = 3.357, 11.143, 40.0
-NEAREST, STEPS, LEAST_ROWS = 0.75, 3, 60
+NEAREST, LEAST_ROWS = 0.5, 60
+#: Makes up for the smaller scatter of the nearest half: 0.5 over the chi-square distribution with six degrees of freedom at CHI_MEDIAN.
+CONSISTENT = 2.108
+STARTS = ("medians", "tangents", "signs")
+#: Fall of the logarithm of a determinant under which a concentration step has changed nothing.
+STILL = 1e-6
 #: Groups up to which estimates are broadcast (about 200 bytes each), and rejected rows up to which their keys are (16 bytes each).
 BROADCAST_GROUPS, BROADCAST_KEYS = 50_000, 1_000_000
 
@@ -124,7 +132,7 @@ def _moments(p: int = len(VECTOR)) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(p)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(p) for j in range(i + 1))]
 
 
-def _factor(moments: DataFrame, scale: Column, p: int = len(VECTOR)) -> DataFrame:
+def _factor(moments: DataFrame, scale: Column, keys: tuple[str, ...] = ("group",), p: int = len(VECTOR)) -> DataFrame:
     """Centre and Cholesky factor of the scaled scatter, with the floors added to its diagonal."""
     out = moments.withColumn("_scale", scale)
     for i in range(p):
@@ -132,7 +140,7 @@ def _factor(moments: DataFrame, scale: Column, p: int = len(VECTOR)) -> DataFram
             c = F.col(f"c{i}{j}") * F.col("_scale") + (FLOORS[i] ** 2 if i == j else 0.0)
             rest = c - _total([F.lit(0.0), *(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j))])
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("group", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    return out.select(*keys, *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
 def _with(rows: DataFrame, params: DataFrame, n_groups: int) -> DataFrame:
@@ -142,7 +150,7 @@ def _with(rows: DataFrame, params: DataFrame, n_groups: int) -> DataFrame:
 
 def _grouped(stats: DataFrame, least_rows: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """Rows with ``group``: language and source, or the pool that a small source belongs to; null where too few."""
-    sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stats.groupBy("lang", "source").agg(F.count_if(~base_failed()).alias("n"))
     own = F.col("n") >= least_rows
     pool = sizes.filter(~own).groupBy("lang").agg(F.sum("n").alias("n_lang"))
     rest = pool.filter(F.col("n_lang") < least_rows).groupBy(F.lit("rest").alias("_rest")).agg(F.sum("n_lang").alias("n_rest"))
@@ -165,27 +173,59 @@ def _grouped(stats: DataFrame, least_rows: int, scratch: Scratch) -> tuple[DataF
     return stats.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source"), n
 
 
-def estimates(rows: DataFrame, n_groups: int, scratch: Scratch, nearest: float = NEAREST, steps: int = STEPS) -> DataFrame:
-    """Reweighted minimum-covariance-determinant centre and factor of each group."""
+def _starts(rows: DataFrame, n_groups: int, scratch: Scratch) -> DataFrame:
+    """Centre and factor of each group and start."""
     p = range(len(VECTOR))
-    rows = rows.filter(F.col("group").isNotNull())
+    pairs = [(i, j) for i in p for j in range(i + 1)]
     middle = scratch.write(rows.groupBy("group").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in p)), "middle")
     spread = _with(rows, middle, n_groups).groupBy("group").agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in p),
-        *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in p),
+        *(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000), F.lit(FLOORS[i])).alias(f"s{i}") for i in p),
+    )
+    spread = scratch.write(spread, "spread")
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in p]
+    length = F.greatest(F.sqrt(_total([x * x for x in z])), F.lit(1e-9))
+    pulled = _with(rows, spread, n_groups).select("group", *(f"{k}{i}" for k in "ms" for i in p), *(F.tanh(z[i]).alias(f"t{i}") for i in p), *((z[i] / length).alias(f"u{i}") for i in p))
+    moments = pulled.groupBy("group").agg(
+        *(F.first(f"{k}{i}").alias(f"{k}{i}") for k in "ms" for i in p),
+        *(F.avg(f"t{i}").alias(f"t{i}") for i in p),
+        *(F.covar_pop(f"t{i}", f"t{j}").alias(f"t{i}{j}") for i, j in pairs),
+        *((F.avg(F.col(f"u{i}") * F.col(f"u{j}")) * len(VECTOR)).alias(f"u{i}{j}") for i, j in pairs),
     )
-    params = spread.select("group", *(f"m{i}" for i in p), *((F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)))
-    for step in range(steps + 1):
-        last = step == steps
-        params = scratch.write(params, f"params{step}")
-        far = _with(rows, params, n_groups).withColumn("_d", _distance())
-        # the last round weighs rows by distances that are scaled to have the median they should have
-        cuts = far.groupBy("group").agg(F.percentile_approx("_d", 0.5 if last else nearest, 10_000).alias("_q"))
-        cuts = scratch.write(cuts.select("group", (F.greatest(F.col("_q"), F.lit(1e-9)) * (CHI_975 / CHI_MEDIAN if last else 1.0)).alias("_cut")), f"cuts{step}")
-        near = _with(far, cuts, n_groups).filter(F.col("_d") <= F.col("_cut"))
-        # half of the nearest rows show less scatter than all: 1.6 makes up for the nearest three quarters
-        params = _factor(near.groupBy("group").agg(*_moments()), F.lit(1.05 if last else 1.6))
-    return scratch.write(params, "estimates")
+    moments = scratch.write(moments, "starts-moments")
+    scaled = lambda k, i, j: (F.col(f"{k}{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}")
+    tangents = moments.select("group", F.lit("tangents").alias("start"), *((F.col(f"m{i}") + F.col(f"s{i}") * F.col(f"t{i}")).alias(f"m{i}") for i in p), *(scaled("t", i, j) for i, j in pairs))
+    signs = moments.select("group", F.lit("signs").alias("start"), *(f"m{i}" for i in p), *(scaled("u", i, j) for i, j in pairs))
+    medians = spread.select("group", F.lit("medians").alias("start"), *(f"m{i}" for i in p), *((F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in pairs))
+    return medians.unionByName(_factor(tangents.unionByName(signs), F.lit(1.0), ("group", "start")))
+
+
+def estimates(rows: DataFrame, n_groups: int, scratch: Scratch, nearest: float = NEAREST) -> DataFrame:
+    """Reweighted minimum-covariance-determinant centre and factor of each group."""
+    p = range(len(VECTOR))
+    rows = rows.filter(F.col("group").isNotNull()).select("group", *VECTOR)
+    keys, names = ("group", "start"), [*(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1))]
+    fields = [*names, "_det", "_step"]
+    step = 0
+    params = scratch.write(_starts(rows, n_groups, scratch).select(*keys, *names, F.lit(float("inf")).alias("_det"), F.lit(0).alias("_step")), "params0")
+    # a group and start goes on as long as its determinant falls; floors bound it from below
+    while not (moving := params.filter(F.col("_step") == step)).isEmpty():
+        step += 1
+        far = _with(rows, moving.select(*keys, *names), n_groups * len(STARTS)).withColumn("_d", _distance()).select(*keys, *VECTOR, "_d")
+        cuts = scratch.write(far.groupBy(*keys).agg(F.percentile_approx("_d", nearest, 10_000).alias("_cut")), f"cuts{step}")
+        cuts = F.broadcast(cuts) if n_groups * len(STARTS) <= BROADCAST_GROUPS else cuts
+        near = far.join(cuts, list(keys)).filter(F.col("_d") <= F.greatest(F.col("_cut"), F.lit(1e-9)))
+        new = _factor(near.groupBy(*keys).agg(*_moments()), F.lit(CONSISTENT), keys)
+        new = new.withColumns({"_det": 2 * _total([F.log(f"l{i}{i}") for i in p]), "_step": F.lit(step)})
+        both = params.unionByName(new).groupBy(*keys).agg(F.min_by(F.struct(*fields), F.col("_det") + F.when(F.col("_step") == step, STILL).otherwise(0.0)).alias("_least"))
+        params = scratch.write(both.select(*keys, *(F.col(f"_least.{f}").alias(f) for f in fields)), f"params{step}")
+    least = params.groupBy("group").agg(F.min_by(F.struct(*names), F.struct("_det", "start")).alias("_least"))
+    least = scratch.write(least.select("group", *(F.col(f"_least.{f}").alias(f) for f in names)), "least")
+    # the last round weighs rows by distances that are scaled to have the median they should have
+    far = _with(rows, least, n_groups).withColumn("_d", _distance()).select("group", *VECTOR, "_d")
+    cuts = far.groupBy("group").agg((F.greatest(F.percentile_approx("_d", 0.5, 10_000), F.lit(1e-9)) * (CHI_975 / CHI_MEDIAN)).alias("_cut"))
+    near = _with(far, scratch.write(cuts, "cuts"), n_groups).filter(F.col("_d") <= F.col("_cut"))
+    return scratch.write(_factor(near.groupBy("group").agg(*_moments()), F.lit(1.05)), "estimates")
 
 
 def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -193,7 +233,7 @@ def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id
     scratch = Scratch(spark, "quality")
     stats = scratch.write(statistics(docs, keep=(*keys, "lang", "source")), "stats")
     rows, n_groups = _grouped(vectors(stats), least_rows, scratch)
-    params = estimates(rows, n_groups, scratch)
+    params = estimates(rows.filter(~base_failed()), n_groups, scratch)
     params = F.broadcast(params) if n_groups <= BROADCAST_GROUPS else params
     # a left join: rows without a group have no estimate
     far = rows.join(params, "group", "left").withColumn("distance", _distance())
