@@ -7,14 +7,18 @@ its length and its share of linked text. Short or unclear blocks stay open. In t
 open blocks take the label of their nearest decided neighbours in the same container.
 
 Defined results. Null or empty html gives an empty text. Broken markup is read leniently: an end
-tag without a start is ignored, an unclosed comment or script runs to the end. A page without any
-decided block keeps its open blocks if it marks an article, else nothing. Empty table: empty result.
+tag without a start is ignored, an unclosed comment or script runs to the end, a ``<`` that begins
+no whole tag is text. A page without any decided block keeps its open blocks if it marks an
+article, else nothing. Pages are read whole, in time that grows with their length whatever their
+markup. Repeated rows have equal texts. At equal distances to a good and a bad neighbour a block is
+kept. Extra columns are kept, but ``main_text`` is replaced. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,7 +53,10 @@ OUT_NAMES_OUTSIDE = frozenset(("header", "topbar", "bottom"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article main section div nav aside form header footer body blockquote td li".split())
 
-PART = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.DOTALL)
+NAME = re.compile(r"""(/?)([a-zA-Z][^\s/>"']*)""")
+#: Attributes up to the end of a tag, where no quote holds a bracket.
+PLAIN = re.compile(r"""[^<>"']*+(?:(?:"[^"<>]*+"|'[^'<>]*+')[^<>"']*+)*+>""")
+SPECIAL = re.compile("[>\"']")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+")
 
@@ -84,13 +91,52 @@ def _is_out(name: str, attrs: dict[str, str], inside: bool) -> bool:
     return bool(names & OUT_NAMES) or (not inside and bool(names & OUT_NAMES_OUTSIDE))
 
 
+class Tags:
+    """Ends of tags, found in time that grows with the page and not with the tags that never end."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.open: set[int] = set()  # places from which no end is reached
+        self.near = (0, -1)  # a stretch without anything special before its last character
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the attributes from ``at`` on, or -1; quotes hide it."""
+        seen: list[int] = []
+        while at <= max(self.last.values()):
+            if self.near[0] <= at <= self.near[1]:
+                k = self.near[1]
+            else:
+                k = SPECIAL.search(self.page, at).start()
+                self.near = (at, k)
+            if k in self.open:
+                break
+            c = self.page[k]
+            if c == ">":
+                return k
+            seen.append(k)
+            if k >= self.last[c]:
+                break
+            at = self.page.index(c, k + 1) + 1
+        self.open.update(seen)
+        return -1
+
+
+#: Elements that an article can't lie within; where it seems to, the page never closed them.
+UNCLOSED = frozenset(("nav", "header", "form", "menu", "head"))
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
     # open elements: name, whether it puts its content out, whether it starts an article
     stack: list[tuple[str, bool, bool]] = []
+    # where open elements stand in the stack: by name, those that bound the closing of others, those that put out
+    places: dict[str, list[int]] = defaultdict(list)
+    scopes: list[int] = []
+    outs: list[int] = []
     text: list[str] = []
-    state = {"linked": 0, "out": 0, "articles": 0, "scope": 0, "links": 0, "heading": 0, "items": 0}
+    state = {"linked": 0, "out": 0, "fixed": 0, "articles": 0, "scope": 0, "links": 0, "heading": 0, "items": 0}
+    tags, unended = Tags(page), set()
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
@@ -101,7 +147,13 @@ def blocks(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         for name, puts_out, article in stack[k:]:
-            state["out"] -= puts_out
+            places[name].pop()
+            if name in SCOPES:
+                scopes.pop()
+            if puts_out:
+                outs.pop()
+                state["out"] -= 1
+                state["fixed"] -= name not in UNCLOSED
             state["articles"] -= article
             state["links"] -= name == "a"
             state["heading"] -= name in HEADINGS
@@ -115,30 +167,39 @@ def blocks(page: str) -> list[Block]:
             if state["links"]:
                 state["linked"] += len(" ".join(plain.split()))
 
-    at, n = 0, len(page)
-    while at < n:
-        m = PART.search(page, at)
+    at, n, after = 0, len(page), 0  # text runs from ``at``; the next tag is looked for from ``after``
+    while (k := page.find("<", after)) >= 0:
+        m = NAME.match(page, k + 1)
+        if m:
+            plain = PLAIN.match(page, m.end())
+            end = plain.end() - 1 if plain else tags.end(m.end())
+        elif page.startswith("<!--", k):
+            end = page.find("-->", k + 4)
+            end = end + 2 if end >= 0 else n
+        else:
+            end = page.index(">", k) if page.startswith(("<!", "<?", "</"), k) and k < tags.last[">"] else -1
+        if end < 0:
+            after = k + 1
+            continue
+        said(page[at:k])
+        at = after = end + 1
         if not m:
-            said(page[at:])
-            break
-        said(page[at : m.start()])
-        at = m.end()
-        if not m["name"]:
             continue
-        name = m["name"].lower()
-        if m["end"]:
+        name, said_of = m[2].lower(), page[m.end() : end]
+        if m[1]:
             if name in BLOCKS:
                 flush()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                close(k)
+            if places[name]:
+                close(places[name][-1])
             elif name == "br":
                 text.append(" ")
             continue
         if name in RAW:
-            ended = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            if not m["attrs"].rstrip().endswith("/"):
-                at = ended.end() if ended else (n if name in ("script", "style", "textarea", "title") else at)
+            if not said_of.rstrip().endswith("/"):
+                ended = None if name in unended else re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+                if not ended:
+                    unended.add(name)
+                at = after = ended.end() if ended else (n if name in ("script", "style", "textarea", "title") else at)
             continue
         if name in BLOCKS:
             flush()
@@ -146,29 +207,33 @@ def blocks(page: str) -> list[Block]:
             text.append(" ")
         if name in VOID:
             continue
-        for closed in (CLOSES.get(name) or ({"p"} if name in BLOCKS else ()),):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closed:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        attrs = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(m["attrs"])} if m["attrs"].strip() else {}
+        closed = CLOSES.get(name) or ({"p"} if name in BLOCKS else ())
+        top = max((places[x][-1] for x in closed if places[x]), default=-1)
+        if top >= 0 and top >= (scopes[-1] if scopes else -1):
+            close(top)
+        attrs = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(said_of)} if said_of.strip() else {}
         puts_out = _is_out(name, attrs, state["articles"] > 0)
         article = name in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "") == "articleBody"
-        if article and not puts_out and state["out"] and all(x in ("nav", "header", "form", "menu", "head") for x, o, _ in stack if o):
-            # an article can't lie within a menu: the page never closed it
-            for i in range(len(stack)):
+        if article and not puts_out and state["out"] and not state["fixed"]:
+            for i in outs:
                 stack[i] = (stack[i][0], False, stack[i][2])
+            outs.clear()
             state["out"] = 0
         article = article and not puts_out and not state["out"]
         state["scope"] += article and not state["articles"]
-        state["out"] += puts_out
+        places[name].append(len(stack))
+        if name in SCOPES:
+            scopes.append(len(stack))
+        if puts_out:
+            outs.append(len(stack))
+            state["out"] += 1
+            state["fixed"] += name not in UNCLOSED
         state["articles"] += article
         state["links"] += name == "a"
         state["heading"] += name in HEADINGS
         state["items"] += name == "li"
         stack.append((name, puts_out, article))
+    said(page[at:])
     flush()
     return out
 
