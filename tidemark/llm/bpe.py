@@ -12,7 +12,10 @@ compatible, that is, if merging would never join symbols over their border. A de
 place as unreachable and steps back. Every place is marked at most once, so the time is linear.
 
 Defined results. Null text is empty: no tokens, and the digests of nothing. Texts are whole,
-whatever their length. An empty table gives an empty result. Extra columns are kept by ``encode``.
+whatever their length, also where they are one stretch without white space: the time grows with the
+length, and only short stretches are remembered. Repeated rows are encoded alike. An empty table
+gives an empty result. Extra columns are kept by ``encode`` and ``decode``, but ``token_ids`` and
+``decoded`` are replaced, and ignored by ``digests`` unless named.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 #: Below this character all editions of Unicode agree on letters, numbers and cases.
 PLAIN = "\u0530"
+#: Beyond it, punctuation and currency signs, which are neither letters nor numbers and compose with nothing.
+MARKED = re.compile("[\x00-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]+")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 STRETCH = re.compile(f"[^{SPACE}]+")
@@ -48,6 +53,8 @@ STRETCH = re.compile(f"[^{SPACE}]+")
 ODD = re.compile("[\x1c-\x1f]")
 #: Entries of a worker's memories of stretches, pieces and pairs; they are emptied when full, which costs time only.
 REMEMBERED = 200_000
+#: Characters or bytes of a stretch or piece that is remembered at all, so that the memories are bounded by bytes too (100 MB at most).
+REMEMBERED_SIZE = 64
 
 
 def default_vocabulary() -> str:
@@ -150,7 +157,7 @@ class Vocabulary:
         """The UTF-8 pieces of text without white space."""
         if text.isascii():
             return [x.encode() for x in PIECES.findall(text.lower())]
-        if max(text) < PLAIN:
+        if max(text) < PLAIN or MARKED.fullmatch(text):
             return [x.encode() for x in PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())]
         # later scripts: letters and cases as the library's edition of Unicode has them
         if self._library is None:
@@ -160,6 +167,8 @@ class Vocabulary:
 
     def piece(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
+        if len(data) > REMEMBERED_SIZE:
+            return self._backtrack(data)
         known = self._pieces.get(data)
         if known is None:
             if len(self._pieces) >= REMEMBERED:
@@ -232,9 +241,11 @@ class Encoder(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[text] = self.vocabulary.stretch(text)
+        out = self.vocabulary.stretch(text)
+        if len(text) <= REMEMBERED_SIZE:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = out
         return out
 
     def ids(self, text: str) -> bytes:
