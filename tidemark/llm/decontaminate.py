@@ -8,12 +8,13 @@ a wavelet tree, and all phrases are searched backwards at once by ranks. Occurre
 by walking to the nearest sampled suffix position. Overlapping occurrences merge to removal spans.
 
 Phrases come from the benchmark as windows of ten consecutive words, or the whole item where it
-has fewer. They are shipped to the tasks in blocks of bounded size, one pass for each block; all
-else is one scan without a shuffle.
+has fewer. They are shipped to the tasks in blocks of bounded size, one pass for each block, and a
+long item is split between blocks; all else is one scan without a shuffle.
 
 Defined results. Null text has no words. An item without words has no window; an item with a null
 id marks words, but isn't listed. Repeated rows are judged alike, repeated items count once.
-Empty documents or benchmark: no hits. Extra columns are kept by ``find`` if named, by ``remove`` all.
+Empty documents or benchmark: no hits. A text longer than a shard is a shard of its own. Extra
+columns are kept by ``find`` if named, by ``remove`` all.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ WINDOW = 10
 SHARD = 1_000_000
 #: Every so-manieth suffix position is kept.
 SAMPLED = 8
-#: UTF-8 bytes of benchmark text that are broadcast at once.
-BLOCK_BYTES = 32_000_000
+#: Words of benchmark text that are broadcast at once (about 20 bytes each, and 150 for each distinct one), and windows searched at once.
+BLOCK_WORDS, SEARCHED = 1_000_000, 200_000
 
 #: 0-9, a-z and bytes of other scripts stay, A-Z are lowered, the rest is white space.
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -49,22 +50,60 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct windows over a vocabulary of their words, and the items that have each."""
+    """Windows of items as places in one array of symbols; a window of several items is there for each."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+    def __init__(self):
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of((text or "").encode(errors="replace"))]
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[k : k + window]), set()).update([] if item is None else [item])
-        self.windows, self.items = list(found), [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
+        self.items: list[str | None] = []
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, item: str | None, words: list[bytes], window: int) -> None:
+        """All windows of some consecutive words of an item, or the whole where it has fewer."""
+        ids = self.ids
+        w = np.fromiter((ids.setdefault(x, len(ids) + 1) for x in words), np.int32, len(words))
+        n = max(1, len(w) - window + 1)
+        self._parts.append((w, np.arange(self.size, self.size + n), np.full(n, min(window, len(w)), np.int32), np.full(n, len(self.items), np.int32)))
+        self.items.append(item)
+        self.size += len(w)
+
+    def packed(self) -> Phrases:
+        """All in whole arrays: some 20 bytes a word, and the distinct words themselves."""
+        none = np.zeros(0, np.int32)
+        self.symbols, self.starts, self.lengths, self.item = (np.concatenate(x) for x in zip(*self._parts, strict=True)) if self._parts else (none,) * 4
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-        #: Symbols from the end of each window, 0 where it has no more.
-        self.backward = np.zeros((int(self.lengths.max()) if len(self.lengths) else 0, len(self.windows)), np.int64)
-        for k, w in enumerate(self.windows):
-            self.backward[: len(w), k] = w[::-1]
+        self._parts = []
+        return self
+
+    def present(self, symbols: np.ndarray) -> np.ndarray:
+        """The windows all of whose words are among ``symbols``."""
+        there = np.zeros(len(self.ids) + 1, bool)
+        there[symbols] = True
+        absent = np.concatenate([[0], np.cumsum(~there[self.symbols])])
+        return np.flatnonzero(absent[self.starts + self.lengths] == absent[self.starts])
+
+    def backward(self, windows: np.ndarray) -> np.ndarray:
+        """Symbols from the end of each window (columns), 0 where it has no more."""
+        n, first = self.lengths[windows].astype(np.int64), self.starts[windows].astype(np.int64)
+        k = np.arange(int(n.max()) if len(n) else 0)[:, None]
+        return np.where(k < n, self.symbols[np.maximum(first + n - 1 - k, 0)], 0).astype(np.int64)
+
+
+def blocks_of(items: Iterator[tuple[str | None, str | None]], most: int, window: int = WINDOW) -> Iterator[Phrases]:
+    """Phrases of items, in blocks of about ``most`` words; a longer item goes on in the next block, and shares a window's words with it."""
+    now = Phrases()
+    for item, text in items:
+        w = words_of((text or "").encode(errors="replace"))
+        at = 0
+        while at < len(w) and (at == 0 or at + window <= len(w)):
+            part = w[at : at + max(window, most - now.size)]
+            now.add(item, part, window)
+            at += max(1, len(part) - window + 1)
+            if now.size >= most:
+                yield now.packed()
+                now = Phrases()
+    if now.size:
+        yield now.packed()
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -160,7 +199,7 @@ def occurrences(phrases: Phrases, docs: list[np.ndarray]) -> tuple[np.ndarray, n
     """(document, first word, window) of all occurrences in a shard of documents as symbol arrays."""
     none = np.zeros(0, np.int64)
     total = sum(map(len, docs))
-    if not total or not len(phrases.windows):
+    if not total or not len(phrases.starts):
         return none, none, none
     s = np.concatenate([x for d in docs for x in (d, [0])])
     inside = s > 0
@@ -174,11 +213,16 @@ def occurrences(phrases: Phrases, docs: list[np.ndarray]) -> tuple[np.ndarray, n
     sizes = ends - starts + 1  # with the separator that follows
     places = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     index = FMIndex(s[places], len(phrases.ids) + 1)
-    lo, hi = index.search(phrases.backward)
-    counts = np.maximum(hi - lo, 0)
-    window = np.repeat(np.arange(len(counts)), counts)
-    rows = np.arange(counts.sum()) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
-    at = places[index.locate(rows)]
+    ats, windows = [], []
+    # a window with a word that the shard lacks needs no search
+    todo = phrases.present(s[places])
+    for k in range(0, len(todo), SEARCHED):
+        part = todo[k : k + SEARCHED]
+        lo, hi = index.search(phrases.backward(part))
+        counts = np.maximum(hi - lo, 0)
+        windows.append(np.repeat(part, counts))
+        ats.append(places[index.locate(np.arange(counts.sum()) + np.repeat(lo - (np.cumsum(counts) - counts), counts))])
+    at, window = (np.concatenate(ats), np.concatenate(windows)) if ats else (none, none)
     first = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
     doc = np.searchsorted(first, at, side="right") - 1
     return doc, at - first[doc], window
@@ -221,7 +265,7 @@ def _mark(rows: DataFrame, block: Broadcast, text: str, keep: list[str], finish:
                 lo, hi = cuts[k], cuts[k + 1]
                 k += 1
                 a, b = at[lo:hi], at[lo:hi] + phrases.lengths[window[lo:hi]]
-                known = {x for w in set(window[lo:hi].tolist()) for x in phrases.items[w]}
+                known = {phrases.items[w] for w in set(phrases.item[window[lo:hi]].tolist())} - {None}
                 if again:
                     old = batch.column("hit_words")[i].as_py()
                     a, b = np.array([*a, *(x["start"] for x in old)], np.int64), np.array([*b, *(x["end"] for x in old)], np.int64)
@@ -263,15 +307,14 @@ def find(
     """``keep`` of all rows with n_words, merged hit_words (word positions) and the item_ids found, which replace kept columns of these names."""
     keep = tuple(c for c in keep if c not in ADDED)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = docs.select(*dict.fromkeys((*keep, text)))
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        phrases = Phrases([(r.item_id, r.text) for r in part.toLocalIterator()])  # a block's bytes are bounded
-        last = k == blocks - 1
-        rows = _mark(rows, spark.sparkContext.broadcast(phrases), text, list(keep) if last else list(dict.fromkeys((*keep, text))), finish if last else None, schema if last else None)
-    return rows
+    rows, wide = docs.select(*dict.fromkeys((*keep, text))), list(dict.fromkeys((*keep, text)))
+    # one block is held while the next is made, as the last pass has rows of its own form
+    held = Phrases().packed()
+    for k, block in enumerate(blocks_of(((r.item_id, r.text) for r in items.toLocalIterator()), BLOCK_WORDS)):
+        if k:
+            rows = _mark(rows, spark.sparkContext.broadcast(held), text, wide)
+        held = block
+    return _mark(rows, spark.sparkContext.broadcast(held), text, list(keep), finish, schema)
 
 
 def cut(text: str, spans: list) -> str:
