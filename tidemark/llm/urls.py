@@ -1,23 +1,34 @@
 """URL filters: listed host and path rules, then association rules mined from labels.
 
-URLs become sets of tokens (top domain, registered name, host labels, first path parts, kind of
-the last part, query keys, fragment). FP-growth mines the token combinations of labelled pages
-together with the label; rules that lead to the label ``block`` are pruned by support, by a lower
-bound on their confidence, and where a shorter rule is as sure. Each rule is posted in an inverted
-index under its rarest token; a URL looks up its tokens and fires the posted rules that it holds.
+URLs become sets of tokens (top domain, registered name, host labels, all path parts, kind of the
+last part, query keys, fragment). FP-growth mines the token combinations of the labelled pages to
+block; what share of all labelled pages that hold a combination is to be blocked is its
+confidence. Rules are pruned by support, by a lower bound on their confidence, and where a shorter
+rule is as sure. Each rule is posted in an inverted index under its rarest token; a URL looks up
+its tokens and fires the posted rules that it holds.
+
+Two things keep the mining small without changing its rules. A rule needs a certain number of
+pages to pass the lower bound at all, however few pages there are. And tokens that occur in
+exactly the same labelled pages are one class: a rule with two of a class is never surer than with
+one, so one stands for all in the mining, and in the matching any of them does.
 
 DataFrame and SQL functions only. A verdict depends on the URL alone, so rules are matched once
 for each distinct URL.
 
 Defined results. A null URL, or one without ``://``, has an empty host and path and no tokens: no
-rule fits, it is allowed. Repeated rows are judged alike. Without labelled pages nothing is mined.
-An empty table gives an empty result. Extra columns are kept by ``judge`` if named.
+rule fits, it is allowed. A URL of any length gives all its tokens. Of the mined rules that fire,
+the one of the highest confidence is named, of equal ones the last in the order of their sorted
+tokens; of listed rules the longest decides, and two of one length can't both fit. Repeated rows are
+judged alike. Without labelled pages nothing is mined. An empty table gives an empty result. Extra
+columns are kept by ``judge`` if named.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import Scratch, read
@@ -31,9 +42,8 @@ LISTED = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-LABEL = "label:block"
 SUPPORT, CONFIDENCE, DEVIATIONS = 0.002, 0.5, 3.0
-#: Mined rules up to which the index is broadcast (some 200 bytes each).
+#: Mined rules up to which the index and its classes of tokens are broadcast (some 200 bytes each).
 BROADCAST_RULES = 100_000
 
 
@@ -68,7 +78,8 @@ def tokens(url: Column) -> Column:
             F.transform(F.slice(F.reverse(labels), 1, 1), lambda x: F.concat(F.lit("top:"), x)),
             F.when(n >= 2, F.array(F.concat(F.lit("site:"), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")))).otherwise(F.array().cast("array<string>")),
             F.transform(F.slice(labels, 1, F.greatest(n - 2, F.lit(0))), lambda x: F.concat(F.lit("host:"), x)),
-            F.transform(F.slice(parts, 1, 2), lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.when(kind(x) == "number", F.lit("0")).otherwise(x))),
+            # the first two parts keep their place, deeper ones don't
+            F.transform(parts, lambda x, i: F.concat(F.lit("path"), F.when(i < 2, i.cast("string")).otherwise(""), F.lit(":"), F.when(kind(x) == "number", F.lit("0")).otherwise(x))),
             F.transform(F.slice(F.reverse(parts), 1, 1), lambda x: F.concat(F.lit("last:"), kind(x))),
             F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query:"), F.element_at(F.split(x, "="), 1))),
             F.when(F.coalesce(url, F.lit("")).contains("#"), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>")),
@@ -76,31 +87,54 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, deviations: float = DEVIATIONS) -> DataFrame:
-    """Rules (antecedent, confidence, bound, support) to ``block`` from rows of ``items`` and ``bad``.
+def least_hits(n: int, support: float, confidence: float, deviations: float) -> int:
+    """Blocked pages that a rule needs: its share of ``n``, and no fewer than let its lower bound reach the confidence."""
+    return max(1, math.ceil(support * n), math.ceil(deviations**2 * confidence / (1 - confidence)))
+
+
+def holding(sets: DataFrame, items: DataFrame, common: DataFrame) -> DataFrame:
+    """Pairs of ``sets`` (antecedent) and rows of ``items`` (row, items) that hold them, by the rarest token of each set."""
+    index = sets.withColumn("token", F.explode("antecedent")).join(common, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    posted = items.select("row", "items", F.explode("items").alias("token"))
+    return posted.join(index, "token").filter(F.size(F.array_except("antecedent", "items")) == 0).select("row", "antecedent")
+
 
-    ``bound`` is the Wilson lower bound of the confidence, so that a rule needs the more pages the
-    less sure it is; a rule whose sub-rule has at least its bound says nothing new and goes.
+MINED = "antecedent array<string>, confidence double, bound double"
+
+
+def mine(labelled: DataFrame, scratch: Scratch, support: float = SUPPORT, confidence: float = CONFIDENCE, deviations: float = DEVIATIONS) -> tuple[DataFrame, DataFrame]:
+    """Rules to block from ``labelled`` (row, items, bad): (antecedent, confidence, bound), and the classes of tokens (token, name, n).
+
+    Antecedents are sets of class names. ``bound`` is the Wilson lower bound of the confidence, so
+    that a rule needs the more pages the less sure it is; a rule whose sub-rule has at least its
+    bound says nothing new and goes.
     """
-    n = labelled.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, bound double, support double")
-    items = labelled.select(F.when(F.col("bad"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    z2, p, seen = deviations**2, F.col("confidence"), F.col("support") * n / F.col("confidence")
-    bound = (p + z2 / (2 * seen) - deviations * F.sqrt(p * (1 - p) / seen + z2 / (4 * seen * seen))) / (1 + z2 / seen)
-    rules = (
-        model.associationRules.filter(F.array_contains("consequent", LABEL))
-        .withColumn("bound", bound)
-        .filter(F.col("bound") >= confidence)
-        .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "bound", "support")
+    spark, n = labelled.sparkSession, labelled.count()
+    least = least_hits(n, support, confidence, deviations)
+    seen = labelled.select("row", "bad", F.explode("items").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("hits"), F.bit_xor(F.xxhash64("row")).alias("s"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("t")
     )
+    # tokens with equal sets of pages (by count and 128 bits) go by the first one's name
+    alike = Window.partitionBy("n", "s", "t")
+    classes = scratch.write(seen.filter(F.col("hits") >= least).select("token", F.min("token").over(alike).alias("name"), "n"), "classes")
+    names = classes.filter("token = name").select("token", "n")
+    blocked = labelled.filter("bad").select("row", F.explode("items").alias("token")).join(names, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    blocked = scratch.write(blocked.select("items"), "blocked")
+    count = blocked.count()
+    if not count:
+        return spark.createDataFrame([], MINED), classes
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / count).fit(blocked)
+    sets = scratch.write(model.freqItemsets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("hits")), "sets")
+    held = holding(sets.select("antecedent"), labelled.select("row", "items"), names).groupBy("antecedent").agg(F.count(F.lit(1)).alias("seen"))
+    z2, p, m = deviations**2, F.col("hits") / F.col("seen"), F.col("seen")
+    bound = (p + z2 / (2 * m) - deviations * F.sqrt(p * (1 - p) / m + z2 / (4.0 * m * m))) / (1 + z2 / m)
+    rules = scratch.write(sets.join(held, "antecedent").select("antecedent", p.alias("confidence"), bound.alias("bound")).filter((F.col("bound") >= confidence) & (F.col("confidence") >= confidence)), "sure")
     # all sub-rules of a rule by leaving out one token at a time: the best of them decides
     shorter = rules.select(
         "antecedent", "bound", F.explode(F.transform("antecedent", lambda x: F.filter("antecedent", lambda y: y != x))).alias("part")
     ).join(rules.select(F.col("antecedent").alias("part"), F.col("bound").alias("part_bound")), "part")
     stale = shorter.filter("part_bound >= bound").select("antecedent").distinct()
-    return rules.join(stale, "antecedent", "left_anti")
+    return rules.join(stale, "antecedent", "left_anti").select("antecedent", "confidence", "bound"), classes
 
 
 def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("page_id",), rules: tuple[tuple[str, str, str], ...] = LISTED) -> DataFrame:
@@ -110,20 +144,24 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, keep: tuple[
     """
     scratch = Scratch(spark, "urls")
     bad = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    labelled = scratch.write(pages.select("page_id", tokens(F.col("url")).alias("items")).join(bad, F.col("page_id") == F.col("doc_id")).select("items", "bad"), "labelled")
-    mined = scratch.write(mine(labelled), "rules")
-    urls = pages.filter(F.col("url").isNotNull()).select("url").distinct().select("url", tokens(F.col("url")).alias("items"))
-    posted = urls.select("url", "items", F.explode("items").alias("token"))
-    wanted = mined.select("*", F.explode("antecedent").alias("token"))
-    # a rule is posted under its rarest token among the labelled pages; ties by the token's name
-    common = labelled.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    index = scratch.write(
-        wanted.join(common, "token").groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token")), "index"
-    )
-    index = F.broadcast(index) if index.count() <= BROADCAST_RULES else index
+    of_pages = pages.select("page_id", tokens(F.col("url")).alias("items")).join(bad, F.col("page_id") == F.col("doc_id"))
+    labelled = scratch.write(of_pages.select(F.monotonically_increasing_id().alias("row"), "items", "bad"), "labelled")
+    mined, classes = mine(labelled, scratch)
+    mined = scratch.write(mined, "rules")
+    few = mined.count() <= BROADCAST_RULES
+    sent = F.broadcast if few else lambda df: df
+    # a rule is posted under its rarest class among the labelled pages; ties by the name
+    wanted = mined.withColumn("name", F.explode("antecedent")).join(classes.filter("token = name").select("name", "n"), "name")
+    index = scratch.write(wanted.groupBy("antecedent", "confidence").agg(F.min_by("name", F.struct("n", "name")).alias("post")), "index")
+    used = scratch.write(classes.join(wanted.select("name").distinct(), "name").select("token", "name"), "used")
+    # the classes that a URL holds, each by the last of its tokens
+    urls = pages.filter(F.col("url").isNotNull()).select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    held = urls.join(sent(used), "token").groupBy("url", "name").agg(F.max("token").alias("token")).groupBy("url").agg(F.collect_list(F.struct("name", "token")).alias("held"))
     fired = (
-        posted.join(index, "token")
-        .filter(F.size(F.array_except("antecedent", "items")) == 0)
+        held.select("url", "held", F.explode("held.name").alias("post"))
+        .join(sent(index), "post")
+        .filter(F.size(F.array_except("antecedent", "held.name")) == 0)
+        .select("url", "confidence", F.array_sort(F.transform(F.filter("held", lambda x: F.array_contains("antecedent", x["name"])), lambda x: x["token"])).alias("antecedent"))
         .groupBy("url")
         .agg(F.max(F.struct("confidence", "antecedent")).alias("best"))
     )
@@ -160,7 +198,7 @@ items AS MATERIALIZED (
   SELECT url, list_sort(list_distinct(
     CASE WHEN len(l) >= 1 THEN ['top:' || l[len(l)]] ELSE [] END || CASE WHEN len(l) >= 2 THEN ['site:' || l[len(l) - 1] || '.' || l[len(l)]] ELSE [] END
     || list_transform(l[1:greatest(len(l) - 2, 0)], lambda x: 'host:' || x)
-    || list_transform(range(1, least(len(p), 2) + 1), lambda i: 'path' || (i - 1) || ':' || CASE WHEN regexp_full_match(p[i], '[0-9]+') THEN '0' ELSE p[i] END)
+    || list_transform(range(1, len(p) + 1), lambda i: 'path' || CASE WHEN i <= 2 THEN (i - 1)::VARCHAR ELSE '' END || ':' || CASE WHEN regexp_full_match(p[i], '[0-9]+') THEN '0' ELSE p[i] END)
     || CASE WHEN len(p) >= 1 THEN list_transform([p[len(p)]], lambda x: 'last:' || {kind}) ELSE [] END
     || list_transform(q, lambda x: 'query:' || string_split(x, '=')[1]) || CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END)) AS t FROM split_),
 bad AS (SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
