@@ -1,5 +1,9 @@
 """Main text of pages with all kinds of furniture."""
 
+import time
+
+import pytest
+
 from tidemark.llm.html import main_text
 
 PROSE = "This is the text of the article and it goes on for a while, so that the rules can see that it is prose."
@@ -30,3 +34,15 @@ def test_text_without_stop_words_in_an_article():
 def test_links_within_an_article():
     page = f"<article><p>{PROSE}</p><p><a href=x>A whole sentence that is a link.</a></p><ul><li><a href=y>More</a></li><li><a href=z>Other pages</a></li></ul><ul><li>A point of the text.</li></ul><p>{PROSE}</p></article>"
     assert main_text(page) == f"{PROSE}\nA whole sentence that is a link.\nA point of the text.\n{PROSE}"
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"", "</p><b>", "<b></i>", "<nav><article>", "<svg>", "<p><div><b><h1>", "<li><b>", "<!", '<a href="x>', "<td><p>", "word ", "<p>word"])
+def test_a_megabyte_of_broken_markup(part):
+    start = time.time()
+    main_text(part * (1_000_000 // len(part)))
+    assert time.time() - start < 30
+
+
+def test_unended_tags_are_text():
+    assert main_text(f'<article><p>{PROSE} <b {PROSE}') == f"{PROSE} <b {PROSE}"
+    assert main_text(f"<article><p title='a > b'>{PROSE}</p><p title=\"it's\">{PROSE}</p><p>1 < 2 and {PROSE}</p>") == f"{PROSE}\n{PROSE}\n1 < 2 and {PROSE}"
