@@ -92,11 +92,16 @@ def least_hits(n: int, support: float, confidence: float, deviations: float) ->
     return max(1, math.ceil(support * n), math.ceil(deviations**2 * confidence / (1 - confidence)))
 
 
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if its rows are few; else a plain join follows."""
+    return F.broadcast(df) if rows <= BROADCAST_RULES else df
+
+
 def holding(sets: DataFrame, items: DataFrame, common: DataFrame) -> DataFrame:
     """Pairs of ``sets`` (antecedent) and rows of ``items`` (row, items) that hold them, by the rarest token of each set."""
     index = sets.withColumn("token", F.explode("antecedent")).join(common, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     posted = items.select("row", "items", F.explode("items").alias("token"))
-    return posted.join(index, "token").filter(F.size(F.array_except("antecedent", "items")) == 0).select("row", "antecedent")
+    return posted.join(sent(index, sets.count()), "token").filter(F.size(F.array_except("antecedent", "items")) == 0).select("row", "antecedent")
 
 
 MINED = "antecedent array<string>, confidence double, bound double"
@@ -118,7 +123,7 @@ def mine(labelled: DataFrame, scratch: Scratch, support: float = SUPPORT, confid
     alike = Window.partitionBy("n", "s", "t")
     classes = scratch.write(seen.filter(F.col("hits") >= least).select("token", F.min("token").over(alike).alias("name"), "n"), "classes")
     names = classes.filter("token = name").select("token", "n")
-    blocked = labelled.filter("bad").select("row", F.explode("items").alias("token")).join(names, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    blocked = labelled.filter("bad").select("row", F.explode("items").alias("token")).join(sent(names, names.count()), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
     blocked = scratch.write(blocked.select("items"), "blocked")
     count = blocked.count()
     if not count:
@@ -148,18 +153,17 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, keep: tuple[
     labelled = scratch.write(of_pages.select(F.monotonically_increasing_id().alias("row"), "items", "bad"), "labelled")
     mined, classes = mine(labelled, scratch)
     mined = scratch.write(mined, "rules")
-    few = mined.count() <= BROADCAST_RULES
-    sent = F.broadcast if few else lambda df: df
+    n = mined.count()
     # a rule is posted under its rarest class among the labelled pages; ties by the name
     wanted = mined.withColumn("name", F.explode("antecedent")).join(classes.filter("token = name").select("name", "n"), "name")
     index = scratch.write(wanted.groupBy("antecedent", "confidence").agg(F.min_by("name", F.struct("n", "name")).alias("post")), "index")
     used = scratch.write(classes.join(wanted.select("name").distinct(), "name").select("token", "name"), "used")
     # the classes that a URL holds, each by the last of its tokens
     urls = pages.filter(F.col("url").isNotNull()).select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
-    held = urls.join(sent(used), "token").groupBy("url", "name").agg(F.max("token").alias("token")).groupBy("url").agg(F.collect_list(F.struct("name", "token")).alias("held"))
+    held = urls.join(sent(used, used.count()), "token").groupBy("url", "name").agg(F.max("token").alias("token")).groupBy("url").agg(F.collect_list(F.struct("name", "token")).alias("held"))
     fired = (
         held.select("url", "held", F.explode("held.name").alias("post"))
-        .join(sent(index), "post")
+        .join(sent(index, n), "post")
         .filter(F.size(F.array_except("antecedent", "held.name")) == 0)
         .select("url", "confidence", F.array_sort(F.transform(F.filter("held", lambda x: F.array_contains("antecedent", x["name"])), lambda x: x["token"])).alias("antecedent"))
         .groupBy("url")
