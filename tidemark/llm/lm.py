@@ -1,253 +1,369 @@
 """Language-model scores by masked pseudo-likelihood.
 
-Every token is predicted from the two words on each side of it, the token itself being masked.
-Words are hashed to ``BUCKETS`` buckets; counts of all buckets over all documents sort them into
-``CLASSES`` classes, the most frequent buckets being classes of their own. A small network
-(an embedding for each side position, a hidden layer, a softmax over classes) gives the class, the
-corpus counts give the bucket within its class. A document's score is the sum of the conditional
-log-probabilities of its tokens.
-
-The network is trained in numpy on all tokens of all documents: each task runs Adam over its own
-documents from the same start, and the tasks' parameters are averaged by their token counts. Only
-sums of parameters and of bucket counts are collected, whose number is fixed.
+Every token is predicted from the two words on each side of it, the token itself being masked. A
+small network (an embedding of the word at each side, a hidden layer) predicts it by way of a tree
+of two softmax levels, classes and the leaves of each class. The tree grows with the vocabulary:
+it has about ``PER_ROOT`` leaves for each square root of the number of distinct words. The most
+frequent words are leaves of their own, so the network predicts the word itself; rarer words share
+leaves by their last ``ENDING`` bytes, and the network predicts the ending's leaf. Which word of such
+a leaf it is, is told by the exact counts of all words over all documents, less the token's own
+occurrence, as that is masked; a word that occurs nowhere else gets a small share of its leaf. A
+document's score is the sum of the conditional log-probabilities of its tokens.
+
+The network is trained in numpy on all tokens of all documents: rows are dealt to tasks by a hash
+of id and text, about ``TASK_TOKENS`` tokens a task, so the split does not depend on files or
+partitions. Each task runs Adagrad from the same start; a parameter is then averaged over the tasks
+by how often each used it. Words are counted in a table; only the words with leaves of their own
+and the parameters are collected and broadcast, whose number grows with the square root of the
+vocabulary. Rare words of documents meet their counts in a shuffle join; no rare word is hot, since
+a frequent word is none of them.
 
 Defined results. Null text, or a text without words, has no tokens, a log-probability of 0 and a
-null mean. Repeated rows count as often as they occur and score alike. An empty table trains
+null mean. A text of any length is scored whole. Words of equal counts take leaves in the order of
+their bytes. Repeated rows count as often as they occur and score alike. An empty table trains
 nothing and gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import words_of
-from tidemark.llm.tables import read, tidied
+from tidemark.llm.tables import Scratch, read, tidied
 
-BUCKETS, CLASSES, ALONE = 1 << 16, 64, 40
+#: Leaves for each square root of the number of distinct words, and the part of them that rare words share.
+PER_ROOT, SHARED = 8, 0.25
+ENDING = 3
 SIDES = (-2, -1, 1, 2)
-HIDDEN, BATCH, RATE, ROUNDS, SEED = 16, 4096, 0.02, 1, 20
+HIDDEN, BATCH, RATE, SEED = 16, 8192, 0.1, 20
+TASK_TOKENS = 2_000_000
+#: Occurrences that are added to those of each rare word, and once for all unseen ones.
+ADDED = 0.1
+
+
+@dataclass
+class Tree:
+    """Classes of ``side`` leaves each; the first leaves are words of their own."""
+
+    side: int
+    words: list[bytes]
+
+    @property
+    def leaves(self) -> int:
+        return self.side * self.side
+
+    @property
+    def alone(self) -> int:
+        return self.leaves - self.shared
+
+    @property
+    def shared(self) -> int:
+        return max(1, int(self.leaves * SHARED))
+
+    @classmethod
+    def side_for(cls, distinct: int) -> int:
+        return max(2, math.ceil(math.sqrt(PER_ROOT * math.sqrt(distinct))))
+
+    def rows(self) -> int:
+        """Parameter vectors: an embedding for each side and leaf (the last one lies outside of the text), classes, leaves, hidden bias."""
+        return len(SIDES) * (self.leaves + 1) + self.side + self.leaves + 1
 
-SHAPES = {"e": (len(SIDES), CLASSES + 1, HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, CLASSES), "c": (CLASSES,)}
-Params = dict[str, np.ndarray]
 
+class LeafOf(dict):
+    """Leaves of words; remembered ones are emptied when many, which costs time only."""
 
-class Buckets(dict):
-    """Buckets of words, remembered; emptied when large, which costs time only."""
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.own = {w: k for k, w in enumerate(tree.words)}
+        super().__init__(self.own)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        out = self[word] = xxhash.xxh32_intdigest(word) % BUCKETS
+            self.update(self.own)
+        out = self[word] = self.tree.alone + zlib.crc32(word[-ENDING:]) % self.tree.shared
         return out
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        w = words_of(text)
-        return np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def count_buckets(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each bucket in all documents."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, seen = Buckets(), np.zeros(BUCKETS, np.int64)
+        counts: Counter[bytes] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
             for x in batch.column("text").cast(pa.binary()):
-                np.add.at(seen, buckets.of(x.as_py()), 1)
-        on = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(seen[on])], names=["bucket", "n"])
-
-    out = np.zeros(BUCKETS, np.int64)
-    # at most BUCKETS rows
-    for r in docs.select("text").mapInArrow(tidied(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
-    return out
+                counts.update(words_of(x.as_py()))
+                if len(counts) > 300_000:
+                    yield rows()
+        if counts:
+            yield rows()
+
+    return docs.select("text").mapInArrow(tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Network:
+    """The parameters as one table of vectors, its parts being views of it."""
+
+    def __init__(self, tree: Tree, table: np.ndarray | None = None):
+        self.tree = tree
+        if table is None:
+            table = np.zeros((tree.rows(), HIDDEN + 1), np.float32)
+            n = tree.rows() - 1
+            table[:n, :HIDDEN] = np.random.default_rng(SEED).normal(0, 0.1, (n, HIDDEN))
+        # arrays made here: numpy's indexed sums are several times slower on types that came by pickle
+        self.table = np.zeros(table.shape, np.float32) + table
+        self.parts(self.table)
+
+    def parts(self, table: np.ndarray) -> list[np.ndarray]:
+        e = len(SIDES) * (self.tree.leaves + 1)
+        self.sides = table[:e].reshape(len(SIDES), self.tree.leaves + 1, -1)
+        self.classes, self.inner, self.bias = table[e : e + self.tree.side], table[e + self.tree.side : -1], table[-1]
+        return [self.sides, self.classes, self.inner, self.bias]
+
+    def contexts(self, leaves: np.ndarray) -> np.ndarray:
+        """Leaves at the side positions of each token (sides x tokens)."""
+        reach = max(map(abs, SIDES))
+        padded = np.full(len(leaves) + 2 * reach, self.tree.leaves, np.int32)
+        padded[reach : reach + len(leaves)] = leaves
+        return np.stack([padded[reach + s : reach + s + len(leaves)] for s in SIDES])
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """Hidden layer of contexts (sides x tokens), with a one behind it for the biases."""
+        h = self.sides[0].take(x[0], axis=0)
+        for k in range(1, len(SIDES)):
+            h += self.sides[k].take(x[k], axis=0)
+        h += self.bias
+        np.tanh(h, out=h)
+        h[:, HIDDEN] = 1
+        return h
+
+    def by_class(self, y: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(class, first, last + 1) of leaves that are sorted by class."""
+        cuts = np.searchsorted(y, np.arange(self.tree.side + 1) * self.tree.side)
+        return ((k, int(cuts[k]), int(cuts[k + 1])) for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist())
+
+    def scores(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log-probabilities of leaves y in contexts x."""
+        order = np.argsort(y, kind="stable")
+        x, y = x[:, order], y[order]
+        h, rows, side = self.hidden(x), np.arange(len(y)), self.tree.side
+        z = _bounded(h @ self.classes.T)
+        got = z[rows, y // side] - np.log(np.exp(z).sum(axis=1))
+        for k, lo, hi in self.by_class(y):
+            z = _bounded(h[lo:hi] @ self.inner[k * side : (k + 1) * side].T)
+            got[lo:hi] += z[rows[: hi - lo], y[lo:hi] - k * side] - np.log(np.exp(z).sum(axis=1))
+        out = np.empty(len(y))
+        out[order] = got
+        return out
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each bucket, and the log-probability of each bucket within its class."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    kind = np.empty(len(counts), np.int64)
-    kind[order[:ALONE]] = np.arange(ALONE)
-    rest = order[ALONE:]
-    mass = np.cumsum(counts[rest] + 1.0)
-    kind[rest] = ALONE + np.minimum((mass - mass[0]) / mass[-1] * (CLASSES - ALONE), CLASSES - ALONE - 1).astype(np.int64)
-    total = np.bincount(kind, weights=counts + 1.0, minlength=CLASSES)
-    return kind, np.log((counts + 1.0) / total[kind])
-
-
-def start(seed: int = SEED) -> Params:
-    rng = np.random.default_rng(seed)
-    return {k: (rng.normal(0, 0.1, s) if k in "ew" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
-
-
-def contexts(kinds: np.ndarray) -> np.ndarray:
-    """Classes at the side positions of each token (sides x tokens); CLASSES lies outside of the text."""
-    reach = max(map(abs, SIDES))
-    padded = np.full(len(kinds) + 2 * reach, CLASSES, np.int64)
-    padded[reach : reach + len(kinds)] = kinds
-    return np.stack([padded[reach + s : reach + s + len(kinds)] for s in SIDES])
-
-
-def forward(p: Params, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hidden layer, scores of all classes, and the sums of their exponentials, for contexts (sides x tokens)."""
-    h = p["e"][0].take(x[0], axis=0)
-    for k in range(1, len(SIDES)):
-        h += p["e"][k].take(x[k], axis=0)
-    h += p["b"]
-    np.tanh(h, out=h)
-    z = h @ p["w"]
-    z += p["c"]
-    np.clip(z, -60, 60, out=z)  # exponentials stay finite without a shift
-    return h, z, np.exp(z) @ np.ones(CLASSES, np.float32)
-
-
-def class_scores(p: Params, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log-probabilities of classes y in contexts x."""
-    _, z, s = forward(p, x)
-    return z[np.arange(len(y)), y] - np.log(s)
-
-
-_CELLS = (np.arange(len(SIDES))[:, None] * (CLASSES + 1) * HIDDEN)[:, :, None] + np.arange(HIDDEN)
-
-
-def gradients(p: Params, x: np.ndarray, y: np.ndarray) -> Params:
-    """Of the mean loss of classes y in contexts x."""
-    h, z, s = forward(p, x)
-    d = np.exp(z, out=z)
-    d *= (1 / (s * len(y)))[:, None]
-    d[np.arange(len(y)), y] -= np.float32(1 / len(y))
-    dh = (d @ p["w"].T) * (1 - h * h)
-    e = np.zeros(p["e"].size, np.float32)
-    np.add.at(e, (x[:, :, None] * HIDDEN + _CELLS).ravel(), np.broadcast_to(dh, (len(SIDES), *dh.shape)).ravel())
-    return {"e": e.reshape(p["e"].shape), "b": dh.sum(axis=0), "w": h.T @ d, "c": d.sum(axis=0)}
-
-
-def train(p: Params, texts: Iterator[np.ndarray], kind: np.ndarray) -> tuple[Params, int]:
-    """Parameters after Adam over all tokens of the bucket arrays, and the number of tokens."""
-    # arrays made here: numpy's indexed sums are several times slower on types that came by pickle
-    p = {k: np.zeros(x.shape, np.float32) + x for k, x in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    step, n, xs, ys, held = 0, 0, [], [], 0
-
-    def learn(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal step
-        step += 1
-        for k, g in gradients(p, x, y).items():
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.01 * (g * g - v[k])
-            p[k] -= np.float32(RATE) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-
-    for text in texts:
-        if not len(text):
-            continue
-        y = kind[text]
-        xs.append(contexts(y))
-        ys.append(y)
-        n += len(y)
-        held += len(y)
-        if held >= BATCH:
-            x, y = np.concatenate(xs, axis=1), np.concatenate(ys)
-            for k in range(0, held - held % BATCH, BATCH):
-                learn(x[:, k : k + BATCH], y[k : k + BATCH])
-            xs, ys = [x[:, held - held % BATCH :]], [y[held - held % BATCH :]]
-            held %= BATCH
-    if held:
-        learn(np.concatenate(xs, axis=1), np.concatenate(ys))
-    return p, n
-
-
-def flat(p: Params) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
-
-
-def shaped(x: np.ndarray) -> Params:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        out[k] = x[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
-        at += int(np.prod(s))
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """Exponentials of what is bounded stay finite without a shift."""
+    return np.clip(z, -60, 60, out=z)
+
+
+class Trainer(Network):
+    """Adagrad on the parameters, of which a step touches only those that its tokens use."""
+
+    def __init__(self, tree: Tree, table: np.ndarray | None = None):
+        super().__init__(tree, table)
+        squares = np.full_like(self.table, 1e-6)
+        self.uses = np.zeros(len(self.table), np.int64)
+        held = self.parts(squares)
+        self.sq_sides, self.sq_classes, self.sq_inner, self.sq_bias = held
+        self.parts(self.table)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | slice, np.ndarray]]:
+        """(parameters, squares, rows, gradient) of the summed loss of leaves y, sorted by class, in contexts x; rows are not repeated."""
+        side = self.tree.side
+        h = self.hidden(x)
+        d = np.exp(_bounded(h @ self.classes.T))
+        d /= d.sum(axis=1, keepdims=True)
+        d[np.arange(len(y)), y // side] -= 1
+        dh = d @ self.classes
+        found = [(self.classes, self.sq_classes, slice(None), d.T @ h)]
+        for k, lo, hi in self.by_class(y):
+            at = slice(k * side, (k + 1) * side)
+            d = np.exp(_bounded(h[lo:hi] @ self.inner[at].T))
+            d /= d.sum(axis=1, keepdims=True)
+            d[np.arange(hi - lo), y[lo:hi] - k * side] -= 1
+            dh[lo:hi] += d @ self.inner[at]
+            found.append((self.inner, self.sq_inner, at, d.T @ h[lo:hi]))
+        dh *= 1 - h * h  # zero for the one behind
+        small = np.uint16 if self.tree.leaves < 65_535 else np.int32  # sorted by counting
+        for k in range(len(SIDES)):
+            order = np.argsort(x[k].astype(small), kind="stable")
+            ids = x[k][order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            found.append((self.sides[k], self.sq_sides[k], ids[first], np.add.reduceat(dh[order], first, axis=0)))
+        found.append((self.bias, self.sq_bias, slice(None), dh.sum(axis=0)))
+        return iter(found)
+
+    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
+        order = np.argsort(y, kind="stable")
+        for p, squares, rows, g in self.gradients(x[:, order], y[order]):
+            squares[rows] += g * g
+            p[rows] -= np.float32(RATE) * g / np.sqrt(squares[rows])
+        n, e, side = self.tree.leaves + 1, len(SIDES) * (self.tree.leaves + 1), self.tree.side
+        for k in range(len(SIDES)):
+            self.uses[k * n : (k + 1) * n] += np.bincount(x[k], minlength=n)
+        in_class = np.bincount(y // side, minlength=side)
+        self.uses[e : e + side] += len(y)
+        self.uses[e + side : -1] += np.repeat(in_class, side)
+        self.uses[-1] += len(y)
+
+    def train(self, texts: Iterator[np.ndarray]) -> None:
+        """One pass over texts as arrays of leaves."""
+        xs, ys, held = [], [], 0
+        for y in texts:
+            if not len(y):
+                continue
+            xs.append(self.contexts(y))
+            ys.append(y)
+            held += len(y)
+            if held >= BATCH:
+                x, y = np.concatenate(xs, axis=1), np.concatenate(ys)
+                for k in range(0, held - held % BATCH, BATCH):
+                    self.learn(x[:, k : k + BATCH], y[k : k + BATCH])
+                xs, ys = [x[:, held - held % BATCH :]], [y[held - held % BATCH :]]
+                held %= BATCH
+        if held:
+            self.learn(np.concatenate(xs, axis=1), np.concatenate(ys))
+
+
+def fit_network(spark: SparkSession, docs: DataFrame, tree: Tree, tokens: int) -> Network:
+    """The tasks' networks, averaged by how often each task used a parameter."""
+    sent = spark.sparkContext.broadcast(tree)  # grows with the square root of the vocabulary
+    xs = [f"x{i}" for i in range(HIDDEN + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, leaf_of = Trainer(sent.value), LeafOf(sent.value)
+        own.train(leaf_of.of(words_of(x.as_py())) for b in batches for x in b.column("text").cast(pa.binary()))
+        used = np.flatnonzero(own.uses)
+        for k in range(0, len(used), 10_000):
+            at = used[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.uses[at]), *(pa.array(x) for x in own.table[at].T)], names=["at", "uses", *xs])
+
+    dealt = docs.select("doc_id", "text").filter("text IS NOT NULL").repartition(max(1, -(-tokens // TASK_TOKENS)), "doc_id", "text").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    trained = dealt.mapInArrow(tidied(run), ", ".join(["at long, uses long", *(f"{x} float" for x in xs)]))
+    # one row for each vector that any task used
+    mean = trained.groupBy("at").agg(*((F.sum(F.col(x) * F.col("uses")) / F.sum("uses")).alias(x) for x in xs)).toArrow()
+    out = Network(tree)
+    out.table[mean.column("at").to_numpy()] = np.stack([mean.column(x).to_numpy() for x in xs], axis=1) if len(mean) else out.table[:0]
     return out
 
 
-def fit(spark: SparkSession, docs: DataFrame, kind: np.ndarray, rounds: int = ROUNDS) -> Params:
-    """Averaged parameters of the tasks' networks after each round over all documents."""
-    p = start()
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((p, kind))  # fixed size
+@dataclass
+class Model:
+    network: Network
+    #: Words that share leaves: word, n, leaf.
+    rare: DataFrame
+    #: By leaf: tokens and distinct words.
+    shared: DataFrame
+
+
+def leaf_of(word: Column, tree: Tree) -> Column:
+    return (F.crc32(F.substring(word, -ENDING, ENDING)) % tree.shared + tree.alone).cast("int")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            begin, kinds = sent.value
-            buckets = Buckets()
-            trained, n = train(begin, (buckets.of(x.as_py()) for b in batches for x in b.column("text").cast(pa.binary())), kinds)
-            if n:
-                x = flat(trained).astype(np.float64) * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x), pa.array(np.full(len(x), n))], names=["at", "x", "n"])
 
-        # one row for each parameter
-        rows = docs.select("text").mapInArrow(tidied(run), "at long, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-        if rows:
-            x = np.zeros(len(rows))
-            for r in rows:
-                x[r["at"]] = r["x"]
-            p = shaped(x)
-    return p
+def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Model:
+    words = scratch.write(count_words(docs), "words")
+    distinct, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tree = Tree(Tree.side_for(distinct), [])
+    top = words.orderBy(F.desc("n"), "word").limit(tree.alone).collect()  # about 6 times the square root of the vocabulary
+    tree.words = [bytes(r.word) for r in top]
+    rest = words.filter((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("word") > F.lit(top[-1].word)))) if top else words
+    rare = scratch.write(rest.select("word", "n", leaf_of(F.col("word"), tree).alias("leaf")), "rare")
+    shared = scratch.write(rare.groupBy("leaf").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")), "shared")
+    return Model(fit_network(spark, docs, tree, tokens), rare, shared)
 
 
-def token_scores(p: Params, text: np.ndarray, kind: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """Conditional log-probability of each token of a bucket array."""
-    y = kind[text]
-    x, out = contexts(y), np.empty(len(y))
-    for k in range(0, len(y), BATCH):
-        part = y[k : k + BATCH]
-        out[k : k + BATCH] = class_scores(p, x[:, k : k + BATCH], part)
-    return out + within[text]
+def inside(n: Column, tokens: Column, words: Column, own: int) -> Column:
+    """Log-probability of a word within a shared leaf, without ``own`` occurrences of it."""
+    seen = F.coalesce(n, F.lit(0)) - F.when(n.isNotNull(), own).otherwise(0)
+    every = F.coalesce(tokens, F.lit(0)) - F.when(n.isNotNull(), own).otherwise(0)
+    return F.log((seen + ADDED) / (every + ADDED * (F.coalesce(words, F.lit(0)) + 1)))
 
 
-SCORED = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
+SCORED = "row long, {id}, n_tokens long, of_leaves double, rare array<struct<word: binary, leaf: int, times: int>>"
+_RARE = pa.list_(pa.struct([("word", pa.binary()), ("leaf", pa.int32()), ("times", pa.int32())]))
 
 
-def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_prob and mean_log_prob of every row under a model of ``docs``."""
-    kind, within = classes_of(count_buckets(docs))
-    sent = spark.sparkContext.broadcast((fit(spark, docs, kind), kind, within))  # fixed size
+def score_leaves(spark: SparkSession, docs: DataFrame, network: Network) -> DataFrame:
+    """A number and the id of each row, its tokens, the sum of their leaves' log-probabilities, and its rare words."""
+    sent = spark.sparkContext.broadcast((network.tree, network.table))  # grows with the square root of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, kinds, inside = sent.value
-        buckets = Buckets()
+        net, leaf = Network(*sent.value), LeafOf(sent.value[0])
+        alone = net.tree.alone
         for batch in batches:
-            sizes, sums = [], []
-            texts = [buckets.of(x.as_py()) for x in batch.column("text").cast(pa.binary())]
-            # documents in a row are scored together, each with its own borders
-            k = 0
-            while k < len(texts):
-                group, size = [], 0
-                while k < len(texts) and (not group or size + len(texts[k]) <= BATCH):
-                    group.append(texts[k])
-                    size += len(texts[k])
-                    k += 1
-                n = [len(t) for t in group]
-                if len(group) == 1:
-                    total = [token_scores(p, group[0], kinds, inside).sum()]
-                else:
-                    x = np.concatenate([contexts(kinds[t]) for t in group], axis=1)
-                    text = np.concatenate(group)
-                    each = class_scores(p, x, kinds[text]) + inside[text]
-                    ends = np.concatenate([[0], np.cumsum(n)])
-                    sums_ = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-                    total = sums_[ends[1:]] - sums_[ends[:-1]]
-                sizes += n
-                sums += [float(s) for s in total]
+            sizes, sums, rare = [], [], []
+            held: list[np.ndarray] = []
+
+            def settle() -> None:
+                """Score the held documents together, each with its own borders."""
+                if not held:
+                    return
+                x, y = np.concatenate([net.contexts(t) for t in held], axis=1), np.concatenate(held)
+                each = np.concatenate([net.scores(x[:, k : k + BATCH], y[k : k + BATCH]) for k in range(0, len(y), BATCH)] or [np.zeros(0)])
+                ends = np.cumsum([len(t) for t in held])
+                total = np.concatenate([[0.0], np.cumsum(each)])
+                sums.extend((total[ends] - total[ends - [len(t) for t in held]]).tolist())
+                held.clear()
+
+            waiting = 0
+            for text in batch.column("text").cast(pa.binary()):
+                words = words_of(text.as_py())
+                y = leaf.of(words)
+                sizes.append(len(y))
+                counts = Counter(words[i] for i in np.flatnonzero(y >= alone).tolist())
+                rare.append([{"word": w, "leaf": leaf[w], "times": n} for w, n in counts.items()])
+                held.append(y)
+                waiting += len(y)
+                if waiting >= BATCH:
+                    settle()
+                    waiting = 0
+            settle()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / n if n else None for s, n in zip(sums, sizes, strict=True)], pa.float64())],
-                names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, _RARE)], names=["row", "doc_id", "n_tokens", "of_leaves", "rare"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), SCORED)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.mapInArrow(tidied(run), SCORED.format(id=f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
+
+
+def score(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob and mean_log_prob of every row under ``model``, or under a model of ``docs`` from which each token's own occurrence is taken out."""
+    scratch = Scratch(spark, "lm")
+    own = 0 if model else 1
+    model = model or fit(spark, docs, scratch)
+    scored = scratch.write(score_leaves(spark, docs, model.network), "scored")
+    met = (
+        scored.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+        .join(model.rare.select("word", "n"), "word", "left")
+        .join(F.broadcast(model.shared), "leaf", "left")  # a quarter of the leaves at most
+    )
+    within = met.groupBy("row").agg(F.sum(F.col("times") * inside(F.col("n"), F.col("tokens"), F.col("words"), own)).alias("of_words"))
+    log_prob = F.round(F.col("of_leaves") + F.coalesce("of_words", F.lit(0.0)), 6)
+    return scored.drop("rare").join(within, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
