@@ -14,12 +14,15 @@ Groups of under ``least_rows`` rows that pass the base rules are judged with the
 then with all remaining rows; if even those are too few, only the base rules judge them.
 
 Defined results. Null text: all statistics zero, so the base rules reject it. Null language or
-source is a group value of its own. Repeated rows are judged alike. An empty table gives an empty
-result. Extra columns are kept by ``keep_good`` and ignored by ``judge``.
+source is a group value of its own. Texts of any length count whole. A row at the cut-off itself is
+kept; rows at the border of the nearest half all belong to it, and of starts with equal determinants
+the first by name is taken. Repeated rows are judged alike. An empty table gives an empty result.
+Extra columns are kept by ``keep_good`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +36,31 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = ("x0", "x1", "x2", "x3")
 #: Scatter that a statistic has at least, in its own unit; many groups have none of their own.
 FLOORS = (0.12, 0.04, 0.3, 0.12)
-#: Quantiles of the chi-square distribution with four degrees of freedom (fixed values).
-CHI_MEDIAN, CHI_975, CHI_REJECT = 3.357, 11.143, 40.0
 NEAREST, LEAST_ROWS = 0.5, 60
-#: Makes up for the smaller scatter of the nearest half: 0.5 over the chi-square distribution with six degrees of freedom at CHI_MEDIAN.
-CONSISTENT = 2.108
+#: Rows of normal shape that the outlier rule may reject: one in 25 million.
+REJECTED = 4e-8
+
+
+def chi_below(x: float, freedom: int) -> float:
+    """Chi-square distribution with an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(freedom // 2))
+
+
+def chi_quantile(share: float, freedom: int = len(VECTOR)) -> float:
+    lo, hi = 0.0, 200.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_below(mid, freedom) < share else (lo, mid)
+    return lo
+
+
+def shrunk(share: float) -> float:
+    """Makes up for the smaller scatter of the nearest ``share`` of rows of normal shape."""
+    return share / chi_below(chi_quantile(share), len(VECTOR) + 2)
+
+
+CHI_MEDIAN, CHI_975, CHI_REJECT = chi_quantile(0.5), chi_quantile(0.975), chi_quantile(1 - REJECTED)
+CONSISTENT, REWEIGHTED = shrunk(NEAREST), shrunk(0.975)
 STARTS = ("medians", "tangents", "signs")
 #: Fall of the logarithm of a determinant under which a concentration step has changed nothing.
 STILL = 1e-6
@@ -225,7 +248,7 @@ def estimates(rows: DataFrame, n_groups: int, scratch: Scratch, nearest: float =
     far = _with(rows, least, n_groups).withColumn("_d", _distance()).select("group", *VECTOR, "_d")
     cuts = far.groupBy("group").agg((F.greatest(F.percentile_approx("_d", 0.5, 10_000), F.lit(1e-9)) * (CHI_975 / CHI_MEDIAN)).alias("_cut"))
     near = _with(far, scratch.write(cuts, "cuts"), n_groups).filter(F.col("_d") <= F.col("_cut"))
-    return scratch.write(_factor(near.groupBy("group").agg(*_moments()), F.lit(1.05)), "estimates")
+    return scratch.write(_factor(near.groupBy("group").agg(*_moments()), F.lit(REWEIGHTED)), "estimates")
 
 
 def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -244,7 +267,8 @@ def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     # text, language and source are in the key: rows that share an id may be judged differently
-    key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")), df["lang"], df["source"])
+    # hashes pass over nulls, so which columns are null is in it, too
+    key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")), df["lang"], df["source"], df["lang"].isNull(), df["source"].isNull())
     keyed = docs.select("doc_id", "text", "lang", "source", key(docs).alias("_key"))
     bad = Scratch(spark, "quality-bad").write(judge(spark, keyed, keys=("doc_id", "_key")).filter(~F.col("kept")).select("doc_id", "_key").distinct(), "bad")
     few = bad.count() <= BROADCAST_KEYS
