@@ -14,6 +14,7 @@ rebuilt from the whole texts and compared exactly. No pair is ever a row: tasks
 Documents with equal sets are one representative (the smallest id) from the start.
 
 Defined results. Null text, or a text without words, has an empty set and is linked with nothing.
+A text of any length has its whole set; one with more shingles than a block holds is a block's worth alone.
 A null id can't be named in a component: the row keeps a null component and is kept. Rows that
 share an id are one document: the links of all its texts count. An empty table gives an empty
 result. Extra columns are kept by ``keep_one`` and ignored by ``groups``.
@@ -175,6 +176,13 @@ def dealt(rows: DataFrame, key: str, blocks: str, member: str) -> DataFrame:
     return other.select("*", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") < F.col("_other")).alias("side")).drop("_own", "_other", blocks)
 
 
+def gathered(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows by pairs of blocks, each pair whole and in order; the pairs of one group go to one task after the other, so a large group fills all evenly."""
+    pair = F.col("hi") * (F.col("hi") + 1) / 2 + F.col("lo")
+    task = F.pmod(F.pmod(F.xxhash64(key), F.lit(tasks)) + pair.cast("long"), F.lit(tasks)).cast("int")
+    return rows.repartitionById(tasks, task).sortWithinPartitions(key, "lo", "hi")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], whole: int = 20_000) -> Iterator[pa.Table]:
     """Sorted batches cut at group borders; groups are bounded, so a piece is, too."""
     held: list[pa.RecordBatch] = []
@@ -298,7 +306,7 @@ def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: Da
     several = scratch.write(banded.groupBy("band_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band_key", F.ceil(F.col("n") / SIGNED_BLOCK).cast("int").alias("blocks")), "several")
     met = banded.join(several, "band_key").join(unique.select("uid", "signature"), "uid")
     candidates = (
-        dealt(met, "band_key", "blocks", "uid").repartition(tasks, "band_key", "lo", "hi").sortWithinPartitions("band_key", "lo", "hi").mapInArrow(tidied(partial(_signature_stars, least=alike(percent))), "a long, b long")
+        gathered(dealt(met, "band_key", "blocks", "uid"), "band_key", tasks).mapInArrow(tidied(partial(_signature_stars, least=alike(percent))), "a long, b long")
     )
     found = scratch.write(components(candidates, scratch, "candidates").join(unique.select(F.col("uid").alias("node"), "n_shingles"), "node"), "candidate-groups")
     sizes = scratch.write(
@@ -306,7 +314,7 @@ def link_stars(spark: SparkSession, docs: DataFrame, signed: DataFrame, reps: Da
     )
     members = scratch.write(found.join(sizes, "component").select(F.col("node").alias("uid"), "component", "blocks"), "members")
     texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("uid")).drop("doc_id")
-    exact = dealt(texts, "component", "blocks", "uid").repartition(tasks, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(tidied(partial(_exact_stars, percent=percent)), "a long, b long")
+    exact = gathered(dealt(texts, "component", "blocks", "uid"), "component", tasks).mapInArrow(tidied(partial(_exact_stars, percent=percent)), "a long, b long")
     return components(exact, scratch, "links")
 
 
