@@ -16,7 +16,7 @@ partitions. Each task runs Adagrad from the same start; a parameter is then aver
 by how often each used it. Words are counted in a table; only the words with leaves of their own
 and the parameters are collected and broadcast, whose number grows with the square root of the
 vocabulary. Rare words of documents meet their counts in a shuffle join; no rare word is hot, since
-a frequent word is none of them.
+a frequent word is none of them. (They meet by 64-bit hashes.)
 
 Defined results. Null text, or a text without words, has no tokens, a log-probability of 0 and a
 null mean. A text of any length is scored whole. Words of equal counts take leaves in the order of
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +42,15 @@ from tidemark.llm.decontaminate import words_of
 from tidemark.llm.tables import Scratch, read, tidied
 
 #: Leaves for each square root of the number of distinct words, and the part of them that rare words share.
-PER_ROOT, SHARED = 8, 0.25
+PER_ROOT, SHARED = 4, 0.25
 ENDING = 3
 SIDES = (-2, -1, 1, 2)
-HIDDEN, BATCH, RATE, SEED = 16, 8192, 0.1, 20
-TASK_TOKENS = 2_000_000
+HIDDEN, BATCH, RATE, SEED = 16, 16_384, 0.2, 20
+TASK_TOKENS = 4_000_000
 #: Occurrences that are added to those of each rare word, and once for all unseen ones.
 ADDED = 0.1
+#: Seed of the 64-bit hashes by which rare words meet their counts (Spark's own).
+HASHED = 42
 
 
 @dataclass
@@ -274,7 +277,7 @@ def fit_network(spark: SparkSession, docs: DataFrame, tree: Tree, tokens: int) -
 @dataclass
 class Model:
     network: Network
-    #: Words that share leaves: word, n, leaf.
+    #: Words that share leaves: h (hash of the word), n, leaf.
     rare: DataFrame
     #: By leaf: tokens and distinct words.
     shared: DataFrame
@@ -288,10 +291,10 @@ def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Model:
     words = scratch.write(count_words(docs), "words")
     distinct, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tree = Tree(Tree.side_for(distinct), [])
-    top = words.orderBy(F.desc("n"), "word").limit(tree.alone).collect()  # about 6 times the square root of the vocabulary
+    top = words.orderBy(F.desc("n"), "word").limit(tree.alone).collect()  # about 3 times the square root of the vocabulary
     tree.words = [bytes(r.word) for r in top]
     rest = words.filter((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("word") > F.lit(top[-1].word)))) if top else words
-    rare = scratch.write(rest.select("word", "n", leaf_of(F.col("word"), tree).alias("leaf")), "rare")
+    rare = scratch.write(rest.select(F.xxhash64("word").alias("h"), "n", leaf_of(F.col("word"), tree).alias("leaf")), "rare")
     shared = scratch.write(rare.groupBy("leaf").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")), "shared")
     return Model(fit_network(spark, docs, tree, tokens), rare, shared)
 
@@ -303,8 +306,7 @@ def inside(n: Column, tokens: Column, words: Column, own: int) -> Column:
     return F.log((seen + ADDED) / (every + ADDED * (F.coalesce(words, F.lit(0)) + 1)))
 
 
-SCORED = "row long, {id}, n_tokens long, of_leaves double, rare array<struct<word: binary, leaf: int, times: int>>"
-_RARE = pa.list_(pa.struct([("word", pa.binary()), ("leaf", pa.int32()), ("times", pa.int32())]))
+SCORED = "row long, {id}, n_tokens long, of_leaves double, rare array<struct<h: long, leaf: int, times: int>>"
 
 
 def score_leaves(spark: SparkSession, docs: DataFrame, network: Network) -> DataFrame:
@@ -314,37 +316,36 @@ def score_leaves(spark: SparkSession, docs: DataFrame, network: Network) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, leaf = Network(*sent.value), LeafOf(sent.value[0])
         alone = net.tree.alone
+
+        def settle(rows: pa.RecordBatch, held: list[np.ndarray], rare: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            """Score the held documents together, each with its own borders."""
+            sizes = np.array([len(t) for t in held])
+            x, y = np.concatenate([net.contexts(t) for t in held], axis=1), np.concatenate(held)
+            each = [net.scores(x[:, k : k + BATCH], y[k : k + BATCH]) for k in range(0, len(y), BATCH)]
+            ends, total = np.cumsum(sizes), np.concatenate([[0.0], np.cumsum(np.concatenate(each) if each else [])])
+            h, leaves, times = (np.concatenate(c) for c in zip(*rare, strict=True))
+            structs = pa.StructArray.from_arrays([pa.array(h), pa.array(leaves.astype(np.int32)), pa.array(times.astype(np.int32))], names=["h", "leaf", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rare])]).astype(np.int32)), structs)
+            return pa.RecordBatch.from_arrays(
+                [rows.column("row"), rows.column("doc_id"), pa.array(sizes), pa.array(total[ends] - total[ends - sizes]), lists], names=["row", "doc_id", "n_tokens", "of_leaves", "rare"]
+            )
+
         for batch in batches:
-            sizes, sums, rare = [], [], []
-            held: list[np.ndarray] = []
-
-            def settle() -> None:
-                """Score the held documents together, each with its own borders."""
-                if not held:
-                    return
-                x, y = np.concatenate([net.contexts(t) for t in held], axis=1), np.concatenate(held)
-                each = np.concatenate([net.scores(x[:, k : k + BATCH], y[k : k + BATCH]) for k in range(0, len(y), BATCH)] or [np.zeros(0)])
-                ends = np.cumsum([len(t) for t in held])
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                sums.extend((total[ends] - total[ends - [len(t) for t in held]]).tolist())
-                held.clear()
-
-            waiting = 0
+            held, rare, start, waiting = [], [], 0, 0
             for text in batch.column("text").cast(pa.binary()):
                 words = words_of(text.as_py())
                 y = leaf.of(words)
-                sizes.append(len(y))
-                counts = Counter(words[i] for i in np.flatnonzero(y >= alone).tolist())
-                rare.append([{"word": w, "leaf": leaf[w], "times": n} for w, n in counts.items()])
+                at = np.flatnonzero(y >= alone)
+                h = np.fromiter((xxhash.xxh64_intdigest(words[i], HASHED) for i in at.tolist()), np.uint64, len(at)).view(np.int64)
+                h, first, times = np.unique(h, return_index=True, return_counts=True)
                 held.append(y)
+                rare.append((h, y[at[first]], times))
                 waiting += len(y)
-                if waiting >= BATCH:
-                    settle()
-                    waiting = 0
-            settle()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, _RARE)], names=["row", "doc_id", "n_tokens", "of_leaves", "rare"]
-            )
+                if waiting >= 4 * BATCH:
+                    yield settle(batch.slice(start, len(held)), held, rare)
+                    held, rare, start, waiting = [], [], start + len(held), 0
+            if held:
+                yield settle(batch.slice(start, len(held)), held, rare)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return rows.mapInArrow(tidied(run), SCORED.format(id=f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
@@ -356,12 +357,12 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> D
     own = 0 if model else 1
     model = model or fit(spark, docs, scratch)
     scored = scratch.write(score_leaves(spark, docs, model.network), "scored")
-    met = (
-        scored.select("row", F.explode("rare").alias("r")).select("row", "r.*")
-        .join(model.rare.select("word", "n"), "word", "left")
-        .join(F.broadcast(model.shared), "leaf", "left")  # a quarter of the leaves at most
-    )
-    within = met.groupBy("row").agg(F.sum(F.col("times") * inside(F.col("n"), F.col("tokens"), F.col("words"), own)).alias("of_words"))
+    shared = F.broadcast(model.shared)  # a quarter of the leaves at most
+    known = model.rare.join(shared, "leaf").select("h", inside(F.col("n"), F.col("tokens"), F.col("words"), own).alias("inside"))
+    met = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(known, "h", "left")
+    if not own:
+        met = met.join(shared, "leaf", "left").withColumn("inside", F.coalesce("inside", inside(F.lit(None), F.col("tokens"), F.col("words"), 0)))
+    within = met.groupBy("row").agg(F.sum(F.col("times") * F.col("inside")).alias("of_words"))
     log_prob = F.round(F.col("of_leaves") + F.coalesce("of_words", F.lit(0.0)), 6)
     return scored.drop("rare").join(within, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
 
