@@ -47,56 +47,71 @@ def heaviest_chain(values: list[float], weights: list[float]) -> np.ndarray:
     return mask
 
 
-def encode_runs(values: np.ndarray, eligible: np.ndarray) -> list[list]:
-    """[first, last, value, n] of equal neighbours among eligible known values."""
-    out: list[list] = []
-    for i in np.flatnonzero(eligible & ~np.isnan(values)):
-        if out and out[-1][2] == values[i]:
-            out[-1][1] = int(i)
-            out[-1][3] += 1
-        else:
-            out.append([int(i), int(i), float(values[i]), 1])
-    return out
-
-
-def run_support(found: list[list], replay: np.ndarray) -> list[int]:
-    """Rows of later equal runs that speak for a run: up to a run of unseen or higher value.
-
-    A single row needs a replay between it and the later run, else it may be a misread.
+def runs_of(values: np.ndarray, eligible: np.ndarray) -> pd.DataFrame:
+    """first, last, value and n of equal neighbours among eligible known values."""
+    at = np.flatnonzero(eligible & ~np.isnan(values))
+    v = values[at]
+    rows = pd.DataFrame({"at": at, "value": v, "run": np.cumsum(np.concatenate([np.zeros(min(1, len(v)), int), v[1:] != v[:-1]]))})
+    return rows.groupby("run").agg(first=("at", "min"), last=("at", "max"), value=("value", "first"), n=("at", "size"))
+
+
+def first_after(v: np.ndarray, k: int, above: float, but: float, step: int = 16) -> int:
+    """The first place behind k with a value over ``above`` that is not ``but``; looked for in stretches that double."""
+    at = k + 1
+    while at < len(v):
+        part = v[at : at + step]
+        hit = np.flatnonzero((part > above) & (part != but))
+        if len(hit):
+            return at + int(hit[0])
+        at, step = at + step, 2 * step
+    return len(v)
+
+
+def backing(runs: pd.DataFrame, replay: np.ndarray) -> np.ndarray:
+    """Rows of later runs that confirm each run's value.
+
+    They lie before the run that bounds it: the first of another value that is higher than it, or
+    higher than any lasting value (two rows or more) seen before it. A run of one row may be a
+    misread, so only runs behind a replay that follows it confirm it.
     """
-    out, seen = [], -np.inf
-    for k, (_, last, value, n) in enumerate(found):
-        support = 0
-        for first, _, v, more in (r for r in found[k + 1 :]):
-            if v == value:
-                if n >= 2 or replay[last + 1 : first].any():
-                    support += more
-            elif v > seen or v > value:
-                break
-        out.append(support)
-        if n >= 2:
-            seen = max(seen, value)
+    v, n, first, last = (runs[c].to_numpy() for c in ("value", "n", "first", "last"))
+    lasting = np.where(n >= 2, v, -np.inf)
+    seen = np.concatenate([[-np.inf], np.maximum.accumulate(lasting)[:-1]]) if len(v) else v
+    bound = np.array([first_after(v, k, min(v[k], seen[k]), v[k]) for k in range(len(v))], int)
+    # a single row counts from the first run on that a replay separates from it
+    replays = np.concatenate([[0], np.cumsum(replay)])
+    out = np.zeros(len(v), int)
+    for at in runs.reset_index(drop=True).groupby("value").indices.values():
+        rows = np.concatenate([[0], np.cumsum(n[at])])
+        begin = np.where(n[at] >= 2, np.arange(len(at)) + 1, np.maximum(np.arange(len(at)) + 1, np.searchsorted(replays[first[at]], replays[last[at] + 1], side="right")))
+        out[at] = np.maximum(0, rows[np.searchsorted(at, bound[at])] - rows[np.minimum(begin, len(at))])
     return out
 
 
 def clean_score(values: np.ndarray, eligible: np.ndarray, replay: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Non-decreasing score, whether each row read it, and rows of lasting runs behind it (a replay)."""
-    found = encode_runs(values, eligible)
-    support = run_support(found, replay)
-    stable = [(r, s) for r, s in zip(found, support, strict=True) if r[3] >= 2 or (s > 0 and r[3] + s >= 3)]
-    keep = heaviest_chain([r[2] for r, _ in stable], [r[3] + s for r, s in stable])
-    score, read, behind = np.full(len(values), np.nan), np.zeros(len(values), bool), np.zeros(len(values), bool)
-    now = np.nan
-    for (r, _), on in zip(stable, keep, strict=True):
-        if on:
-            if np.isnan(now):
-                score[:] = r[2]
-            score[r[0] :] = now = r[2]
-            part = slice(r[0], r[1] + 1)
-            read[part] = eligible[part] & (values[part] == r[2])
-        elif r[3] >= 3 and r[2] < now:
-            behind[r[0] : r[1] + 1] = True
-    return score, read, behind
+    """Non-decreasing score, whether each row read it, and rows of lasting runs behind it (a replay).
+
+    Runs of two rows, or with confirmed ones of three, are believed; the chain of them that never
+    falls and has the most rows is the score. It holds from a run to the next, the first one from
+    the start on.
+    """
+    runs = runs_of(values, eligible)
+    support = backing(runs, replay)
+    believed = (runs["n"] >= 2) | ((support > 0) & (runs["n"] + support >= 3))
+    runs, support = runs[believed], support[believed]
+    on = heaviest_chain(runs["value"].tolist(), (runs["n"] + support).tolist())
+    kept, others = runs[on], runs[~on]
+    row, none = np.arange(len(values)), np.zeros(len(values), bool)
+    if not len(kept):
+        return np.full(len(values), np.nan), none, none
+    starts = kept["first"].to_numpy()
+    now = np.searchsorted(starts, row, side="right") - 1
+    score = kept["value"].to_numpy()[np.maximum(now, 0)]
+    read = eligible & (now >= 0) & (row <= kept["last"].to_numpy()[np.maximum(now, 0)]) & (values == score)
+    before = np.searchsorted(starts, others["first"].to_numpy()) - 1
+    late = others[(others["n"] >= 3) & (before >= 0) & (others["value"] < kept["value"].to_numpy()[np.maximum(before, 0)])]
+    edges = np.bincount(late["first"], minlength=len(values) + 1) - np.bincount(late["last"] + 1, minlength=len(values) + 1)
+    return score, read, np.cumsum(edges)[:-1] > 0
 
 
 def plausible(values: np.ndarray, at: np.ndarray, resets: tuple[float, ...], reach: float = 3.0, agree: int = 4, span: float = 1.5) -> np.ndarray:
@@ -125,22 +140,29 @@ def plausible(values: np.ndarray, at: np.ndarray, resets: tuple[float, ...], rea
     return keep
 
 
+def next_top(clock: np.ndarray, rise: float, ahead: int, most: float, step: int = 64) -> int:
+    """The first place where a countdown stands by ``rise`` above its least value before, and so do ``most`` of ``ahead`` values from there on."""
+    while True:
+        part = clock[:step]
+        level = np.minimum.accumulate(part)[:-1] + rise
+        for k in np.flatnonzero(part[1:] > level) + 1:
+            if (clock[k : k + ahead] > level[k - 1]).mean() >= most:
+                return int(k)
+        if step >= len(clock):
+            return len(clock)
+        step *= 2
+
+
 def period_of_clock(clock: np.ndarray, length: float, share: float = 0.4, ahead: int = 8, most: float = 0.7) -> np.ndarray:
     """Periods counted from lasting jumps of a countdown towards its top; unknown rows take their neighbour's."""
     known = np.flatnonzero(~np.isnan(clock))
-    out = np.full(len(clock), np.nan)
-    if not len(known):
-        return out
-    period, low = 1, clock[known[0]]
-    for k, i in enumerate(known):
-        level = low + share * length
-        if clock[i] > level and (clock[known[k : k + ahead]] > level).mean() >= most:
-            period += 1
-            low = clock[i]
-        low = min(low, clock[i])
-        out[i] = period
-    filled = pd.Series(out).ffill().bfill()
-    return filled.to_numpy()
+    tops, left = [], clock[known]
+    while len(left):
+        tops.append(len(known) - len(left))
+        left = left[next_top(left, share * length, ahead, most) :]
+    out = pd.Series(np.nan, index=np.arange(len(clock)))
+    out.iloc[known] = np.searchsorted(tops, np.arange(len(known)), side="right")
+    return out.ffill().bfill().to_numpy()
 
 
 def unchanged_since_call(signature: np.ndarray, visible: np.ndarray, mean: float, most: float) -> np.ndarray:
