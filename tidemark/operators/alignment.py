@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def asof(left: DataFrame, right: DataFrame, key: list[str], at: str, take: list[str], forward: bool = False, within: float | None = None, tie: str | None = None) -> DataFrame:
@@ -40,12 +39,24 @@ def chain_lookup(changes: DataFrame, plays: DataFrame, key: list[str]) -> DataFr
 
 
 def same_code_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows whose codes name the same team. The first letter always agrees, so it is the join key."""
+    """Rows whose codes name the same team.
+
+    Two codes of two letters or more agree in these, so they are the key; a code of one letter meets by that letter alone.
+    """
     from tidemark.functions.parse import same_code
 
-    letter = lambda c: F.substring(F.upper(F.trim(F.col(c))), 1, 1)
-    x, y = left.withColumn("_letter", letter(a)), right.withColumn("_letter", letter(b))
-    return x.join(y, "_letter").filter(same_code(F.col(a), F.col(b))).drop("_letter")
+    start = lambda c, n: F.substring(F.upper(F.trim(F.col(c))), 1, n)
+    x, y = left.withColumn("_two", start(a, 2)), right.withColumn("_two", start(b, 2))
+    fits = same_code(F.col(a), F.col(b))
+    short = lambda df: df.filter(F.length("_two") == 1)
+    long_ = lambda df: df.filter(F.length("_two") == 2)
+    by_letter = lambda df, c: df.withColumn("_one", start(c, 1)).drop("_two")
+    parts = [
+        long_(x).join(long_(y), "_two").drop("_two"),
+        by_letter(short(x), a).join(by_letter(y.filter("_two <> ''"), b), "_one").drop("_one"),
+        by_letter(long_(x), a).join(by_letter(short(y), b), "_one").drop("_one"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(fits)
 
 
 def first_source(rows: DataFrame, key: list[str], priority: str) -> DataFrame:
@@ -54,72 +65,71 @@ def first_source(rows: DataFrame, key: list[str], priority: str) -> DataFrame:
     return rows.withColumn("_best", best).filter(F.col(priority) == F.col("_best")).drop("_best")
 
 
-MATCHED = T.StructType([T.StructField("change_id", T.LongType()), T.StructField("play_ids", T.ArrayType(T.LongType())), T.StructField("how", T.StringType()), T.StructField("clock_diff", T.DoubleType())])
+def same_period(change: Column, play: Column) -> Column:
+    """An unknown period of a change agrees with any."""
+    return F.coalesce(change == play, change.isNull())
 
 
-def match_entity(changes: list[dict], plays: list[dict], tolerance: float, late: float) -> list[dict]:
-    """Three passes, the strictest first; each play is used once.
-
-    1. score chain, period and clock agree; 2. period, points and the nearest clock (the last of
-    equals); 3. score chain and period agree, the clock is unknown or within ``late``.
+def chain_candidates(changes: DataFrame, plays: DataFrame, key: list[str], tolerance: float, late: float) -> DataFrame:
+    """Changes with the plays of all scores they pass through, if these add up; ``turn`` 1 where the clock agrees, 3 where it may."""
+    at_score = plays.filter("score IS NOT NULL").groupBy(*key, "score").agg(F.max(F.struct("play_id", F.col("points").alias("worth"), F.col("period").alias("in_period"), F.col("clock").alias("at_clock"))).alias("p"))
+    steps = changes.filter("before < after").withColumn("score", F.explode(F.sequence(F.col("before") + 1, F.col("after"))))
+    whole = steps.join(at_score, [*key, "score"]).groupBy(*key, "change_id").agg(
+        F.max("points").alias("points"), F.max("period").alias("period"), F.max("clock").alias("clock"), F.sum("p.worth").alias("worth"),
+        F.array_sort(F.collect_list(F.struct("score", "p.play_id"))).alias("way"), F.max(F.struct("score", "p.in_period", "p.at_clock")).alias("end"),
+    )
+    diff = F.abs(F.col("clock") - F.col("end.at_clock"))
+    return (
+        whole.filter((F.col("worth") == F.col("points")) & same_period(F.col("period"), F.col("end.in_period")))
+        .withColumn("diff", diff)
+        .filter(F.coalesce(F.col("diff") <= late, F.lit(True)))
+        .select(*key, "change_id", F.when(F.col("diff") <= tolerance, 1).otherwise(3).alias("turn"), F.transform("way", lambda w: w["play_id"]).alias("play_ids"), "diff")
+    )
+
+
+def clock_candidates(changes: DataFrame, plays: DataFrame, key: list[str], tolerance: float) -> DataFrame:
+    """Changes with each play of as many points whose clock is near; neighbours meet in bins of the clock, not all with all."""
+    near = tolerance + 1e-6
+    bin_ = lambda c: F.floor(F.col(c) / near).cast("long")
+    c = changes.filter("clock IS NOT NULL").withColumn("bin", F.explode(F.array(*(bin_("clock") + k for k in (-1, 0, 1)))))
+    p = plays.filter("clock IS NOT NULL").select(*key, "points", F.col("play_id"), F.col("period").alias("in_period"), F.col("clock").alias("at_clock"), bin_("clock").alias("bin"))
+    diff = F.abs(F.col("clock") - F.col("at_clock"))
+    met = c.join(p, [*key, "points", "bin"]).filter(same_period(F.col("period"), F.col("in_period")) & (diff <= near))
+    return met.select(*key, "change_id", F.lit(2).alias("turn"), F.array("play_id").alias("play_ids"), diff.alias("diff"))
+
+
+def first_come(candidates: DataFrame, key: list[str], order: list[Column], owner: str, wanted: str) -> DataFrame:
+    """Candidates in order within their entity, each taken if its owner has none yet and nothing it wants is taken.
+
+    Whether one is taken hangs on all before it, so an entity's candidates (a few for each owner) are one grouped map.
     """
-    used: set = set()
-    out: dict[int, dict] = {}
-    by_score = {p["score"]: p for p in plays if p["score"] is not None}
-
-    def chain(c: dict) -> list[dict]:
-        found = [by_score[s] for s in range(c["before"] + 1, c["after"] + 1) if s in by_score]
-        whole = found and sum(p["points"] for p in found) == c["points"] and not any(p["play_id"] in used for p in found)
-        return found if whole else []
-
-    gap = lambda c, p: None if c["clock"] is None or p["clock"] is None else abs(c["clock"] - p["clock"])
-    period = lambda c, p: c["period"] is None or c["period"] == p["period"]
-
-    def take(c: dict, found: list[dict], how: str, diff: float | None) -> None:
-        out[c["change_id"]] = {"change_id": c["change_id"], "play_ids": [p["play_id"] for p in found], "how": "merged" if len(found) > 1 else how, "clock_diff": diff}
-        used.update(p["play_id"] for p in found)
-
-    for c in changes:
-        found = chain(c)
-        diff = gap(c, found[-1]) if found else None
-        if diff is not None and diff <= tolerance and period(c, found[-1]):
-            take(c, found, "clock", diff)
-    for c in changes:
-        if c["change_id"] in out:
-            continue
-        near = [(gap(c, p), -k, p) for k, p in enumerate(plays) if p["play_id"] not in used and p["points"] == c["points"] and period(c, p) and gap(c, p) is not None]
-        near = [x for x in near if x[0] <= tolerance + 1e-6]
-        if near:
-            diff, _, p = min(near, key=lambda x: x[:2])
-            take(c, [p], "clock", diff)
-    for c in changes:
-        if c["change_id"] in out:
-            continue
-        found = chain(c)
-        if found and period(c, found[-1]) and ((diff := gap(c, found[-1])) is None or diff <= late):
-            take(c, found, "score", diff)
-    return list(out.values())
+    ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        owners, gone, keep = set(), set(), []
+        for who, what in zip(*(rows.sort_values("_rank")[c] for c in (owner, wanted)), strict=True):
+            free = who not in owners and gone.isdisjoint(what)
+            keep.append(free)
+            if free:
+                owners.add(who)
+                gone.update(what)
+        return rows.sort_values("_rank")[keep]
 
-def greedy_match(changes: DataFrame, plays: DataFrame, key: list[str], tolerance: float = 3.0, late: float = 30.0) -> DataFrame:
-    """Changes matched to plays within each entity; unmatched ones are left out.
+    return ranked.groupBy(*key).applyInPandas(run, ranked.schema).drop("_rank")
 
-    What a pass takes depends on all that came before it in the entity, so an entity is one
-    co-grouped map; entities are independent.
-    """
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda df: [{k: None if not isinstance(v, str) and pd.isna(v) else v for k, v in r.items()} for r in df.to_dict("records")]
-        whole = lambda rows, names: [{k: int(v) if k in names and v is not None else v for k, v in r.items()} for r in rows]
-        c = whole(plain(left.sort_values("change_id")), ("before", "after", "points", "period", "change_id"))
-        p = whole(plain(right.sort_values("play_id")), ("score", "points", "period", "play_id"))
-        found = match_entity(c, p, tolerance, late)
-        names = left if len(left) else right
-        rows = [{**{k: names[k].iloc[0] for k in key}, **m} for m in found]
-        return pd.DataFrame(rows, columns=[*key, *MATCHED.names])
+def greedy_match(changes: DataFrame, plays: DataFrame, key: list[str], tolerance: float = 3.0, late: float = 30.0) -> DataFrame:
+    """Changes matched to plays within each entity, each play once; unmatched ones are left out.
 
-    schema = T.StructType([*(changes.schema[k] for k in key), *MATCHED.fields])
-    return changes.groupBy(*key).cogroup(plays.groupBy(*key)).applyInPandas(run, schema)
+    In turn: score chain, period and clock agree; period and points agree and the clock is the
+    nearest (the last play of equals); score chain and period agree, the clock is unknown or within
+    ``late``. All that could match comes from joins; only who takes what is decided in order.
+    """
+    found = chain_candidates(changes, plays, key, tolerance, late).unionByName(clock_candidates(changes, plays, key, tolerance))
+    order = [F.col("turn"), F.col("change_id"), F.col("diff"), F.col("play_ids")[0].desc()]
+    taken = first_come(found, key, order, "change_id", "play_ids")
+    how = F.when(F.size("play_ids") > 1, "merged").when(F.col("turn") == 3, "score").otherwise("clock")
+    return taken.select(*key, "change_id", "play_ids", how.alias("how"), F.col("diff").alias("clock_diff"))
 
 
 def match_summary(matches: DataFrame, changes: DataFrame, plays: DataFrame, key: list[str]) -> DataFrame:
@@ -144,10 +154,10 @@ def play_key(play_id: Column, *rest: Column) -> Column:
 
 
 def best_overlap(boxes: DataFrame, others: DataFrame, key: list[str], least: float = 0.3) -> DataFrame:
-    """Boxes (id, box) with the other of their frame that shares most of the smaller area."""
+    """Boxes (id, box) with the other of their frame that shares most of the smaller area; each is given once, the largest shares first."""
     from tidemark.functions.geometry import area, common
 
     pairs = boxes.join(others.select(*key, F.col("id").alias("other_id"), F.col("box").alias("other")), key)
     share = common(F.col("box"), F.col("other")) / F.greatest(F.least(area(F.col("box")), area(F.col("other"))), F.lit(1e-12))
-    w = Window.partitionBy(*key, "id").orderBy(F.desc("share"), "other_id")
-    return pairs.withColumn("share", share).filter(F.col("share") >= least).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "other", "box")
+    found = pairs.withColumn("share", share).filter(F.col("share") >= least).select(*key, "id", "other_id", "share", F.array("other_id").alias("_wanted"))
+    return first_come(found, key, [F.desc("share"), F.col("id"), F.col("other_id")], "id", "_wanted").drop("_wanted")
