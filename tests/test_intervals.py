@@ -57,3 +57,9 @@ def test_fold_of_two_teams(spark):
     df = spark.createDataFrame([(0, 0.0, 5.0, "a"), (0, 4.0, 8.0, "a"), (0, 7.0, 12.0, "b"), (0, 11.9, 12.2, "a"), (0, 20.0, 22.0, "a")], "g int, a double, b double, team string")
     got = sorted(tuple(r)[1:] for r in intervals.fold_clips(df, ["g"]).collect())
     assert got == [(0.0, 8.0, "a", 2), (8.0, 12.0, "b", 1), (20.0, 22.0, "a", 1)]
+
+
+def test_subtract_keeps_equal_spans(spark):
+    s = spark.createDataFrame([(1, 0.0, 10.0), (1, 0.0, 10.0), (2, 0.0, 1.0)], "g int, a double, b double")
+    h = spark.createDataFrame([(1, 2.0, 3.0)], "g int, a double, b double")
+    assert sorted(tuple(r) for r in intervals.subtract(s, h, ["g"]).collect()) == [(1, 0.0, 2.0), (1, 0.0, 2.0), (1, 3.0, 10.0), (1, 3.0, 10.0), (2, 0.0, 1.0)]

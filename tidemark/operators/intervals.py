@@ -21,17 +21,19 @@ def subtract(spans: DataFrame, holes: DataFrame, key: list[str]) -> DataFrame:
     """Spans without what holes cover. Holes are merged first, so their order doesn't matter.
 
     Each span meets the holes that cut it by a range condition within its entity; the pieces are
-    the stretches between the span's start, the holes in order, and its end.
+    the stretches between the span's start, the holes in order, and its end. Equal spans of an
+    entity are cut once and given as often as they are there.
     """
     h = merge(holes, key).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("a").alias("_h0"), F.col("b").alias("_h1"))
-    own = spans.select(*key, "a", "b")
+    own = spans.groupBy(*key, "a", "b").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
     on = [own[k].eqNullSafe(h[f"_{k}"]) for k in key] + [h["_h1"] > own["a"], h["_h0"] < own["b"]]
     cut = own.join(h, on, "left").drop(*(f"_{k}" for k in key))
-    per = cut.groupBy(*key, "a", "b").agg(F.sort_array(F.collect_list(F.when(F.col("_h0").isNotNull(), F.struct("_h0", "_h1")))).alias("_holes"))
+    per = cut.groupBy(*key, "a", "b", "_copies").agg(F.sort_array(F.collect_list(F.when(F.col("_h0").isNotNull(), F.struct("_h0", "_h1")))).alias("_holes"))
     starts = F.concat(F.array("a"), F.transform("_holes", lambda x: x["_h1"]))
     ends = F.concat(F.transform("_holes", lambda x: x["_h0"]), F.array("b"))
     pieces = F.filter(F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda p: p["b"] > p["a"])
-    return per.withColumn("_p", F.explode(pieces)).select(*key, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
+    all_ = F.flatten(F.array_repeat(pieces, F.col("_copies")))
+    return per.withColumn("_p", F.explode(all_)).select(*key, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
 
 
 def clamp(spans: DataFrame, lo: Column, hi: Column) -> DataFrame:
