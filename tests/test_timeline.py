@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, review, sequence
+from tidemark.plans import clips as cut_clips
 from tidemark.plans import timeline as tl
 from tidemark.sources import files
 
@@ -53,8 +54,8 @@ def test_events(timeline):
 
 def test_clips_leak_nothing(timeline):
     events = tl.score_events(timeline, SPORT)
-    clips = tl.clips(timeline, events, SPORT, "home").orderBy("event_index").collect()
-    assert [c.event_index for c in clips] == [0, 2]
+    clips = cut_clips.build(timeline, events, SPORT, "home").orderBy("clip").collect()
+    assert [c.clip for c in clips] == [0, 2] and [c.changes for c in clips] == [[0], [2]]
     assert clips[1].segments[-1].b == 76.5 and clips[1].cause == "bug_returned" and clips[1].segments[0].a == 54.0
     cut = [(s.a, s.b) for c in clips for s in c.segments]
     assert all(b <= 49.5 or a >= 54.0 for a, b in cut) and all(b <= 79.5 or a >= 83.0 for a, b in cut)
@@ -62,11 +63,11 @@ def test_clips_leak_nothing(timeline):
 
 def test_labels(spark, timeline):
     events = tl.score_events(timeline, SPORT)
-    clips = tl.clips(timeline, events, SPORT, "home")
+    clips = cut_clips.build(timeline, events, SPORT, "home").cache()
     matches = spark.createDataFrame([("g", 0, [7], "clock", 0.5)], "game_id string, change_id long, play_ids array<long>, how string, clock_diff double")
     plays = spark.createDataFrame([("g", 7, "J. Doe", "layup")], "game_id string, play_id long, scorer string, description string")
-    before = {r.event_index: r.confidence for r in clips.collect()}
-    rows = {r.event_index: r for r in tl.labelled(clips, matches, plays).collect()}
+    before = {r.clip: r.confidence for r in clips.collect()}
+    rows = {r.clip: r for r in tl.labelled(clips, matches, plays).collect()}
     assert rows[0].scorer == "J. Doe" and rows[0].confidence == before[0] and rows[2].confidence == pytest.approx(before[2] * 0.75, abs=1e-3)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import sequence
-from tidemark.plans import timeline
+from tidemark.plans import clips, timeline
 from tidemark.plans.q_sequence import events
 from tidemark.sources.scratch import Scratch
 
@@ -52,10 +52,11 @@ def timeline_events(spark, sf_dir):
 
 
 def timeline_clips(spark, sf_dir):
-    tl = _kept(spark, sf_dir)
-    out = timeline.clips(tl, timeline.score_events(tl, SPORT), SPORT, "home")
+    scratch, tl = Scratch(spark, "clips"), _kept(spark, sf_dir)
+    ev = scratch.write(timeline.score_events(tl, SPORT), "events")
+    out = clips.build(tl, ev, SPORT, "home", clips.Options(opponent=True))
     spans = F.array_join(F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["a"], s["b"])), ",")
-    return out.select("game_id", "event_index", "t", "points", "cause", "confidence", spans.alias("segments"))
+    return out.select("game_id", "clip", "team", "kind", "points", "cause", "confidence", spans.alias("segments"), F.array_join("changes", ",").alias("changes"))
 
 
 def timeline_window(spark, sf_dir):

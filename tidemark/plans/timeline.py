@@ -1,4 +1,4 @@
-"""From raw readings to a clean timeline, score changes and clips: operators composed per game.
+"""From raw readings to a clean timeline and score changes: operators composed per game.
 
 ``samples`` rows: game_id, i, t, visible, fields (map of text and confidence).
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import parse
-from tidemark.operators import folds, intervals, sequence, summaries
+from tidemark.operators import folds, sequence, summaries
 
 KEY, ORDER = ["game_id"], ["i"]
 LIVE, HIDDEN, REPLAY = 1, 0, 2
@@ -41,6 +41,7 @@ SPORTS = {
     "basketball": Sport("basketball", 4, 720.0, 300.0, 24.0, (24.0, 14.0), 3, (1.0, 1.5)),
     "football": Sport("football", 4, 900.0, 600.0, 40.0, (40.0, 25.0), 8, (2.0, 2.0)),
     "hockey": Sport("hockey", 3, 1200.0, 300.0, 24.0, (), 1, (1.0, 2.0), prefix="P"),
+    "baseball": Sport("baseball", 9, 0.0, 0.0, 0.0, (), 4, (3.0, 2.0), max_clip=45.0, prefix=""),
 }
 SCORE_CONF, CLOCK_CONF = 0.45, 0.30
 
@@ -159,48 +160,6 @@ def score_events(timeline: DataFrame, sport: Sport) -> DataFrame:
     return sequence.numbered(both.withColumn("notes", notes), KEY, ["t", "team"], "event_index")
 
 
-def clips(timeline: DataFrame, events: DataFrame, sport: Sport, team: str, rate: float = 2.0, least: float = 0.4) -> DataFrame:
-    """Clips of a side: from the latest sign of a new possession to just after the score, without what is not live.
-
-    The signs are a shot clock reset, the game clock starting after a stoppage, the other score,
-    the own score before, and the bug's return after a break of four seconds. They join by game
-    and time; the latest start wins, of equal ones the last cause by name.
-    """
-    tl = timeline.withColumnRenamed("t_video", "t")
-    out = sequence.widened(tl, KEY, ORDER, F.col("live"), "t", 1.0 / rate)
-    own = events.filter(F.col("team") == team).select(*KEY, "event_index", "t", "t_prev", "points", "period", "clock", F.col("conf").alias("confidence"), "notes")
-    signs = events.select(*KEY, F.col("t").alias("at"), (F.col("t") + sport.rolls[0]).alias("start"), F.when(F.col("team") == team, "own_score").otherwise("opponent_score").alias("cause"))
-    back = out.filter(F.col("b") - F.col("a") >= 4.0).select(*KEY, F.col("b").alias("at"), (F.col("b") + sport.rolls[0]).alias("start"), F.lit("bug_returned").alias("cause"))
-    step = 1.0 / rate
-    jumps = sequence.upward_jumps(tl.filter("live"), KEY, ORDER, "shot_clock", "t", 1.0, 40.0).filter(F.col("shot_clock").isin(*sport.resets) if sport.resets else F.lit(True))
-    at = F.col("t") - step / 2
-    # a reset value stands for a full second before it first falls
-    resets = jumps.select(*KEY, at.alias("at"), F.greatest(at, F.coalesce(F.col("fall_at") - step / 2 - 1.0, at)).alias("start"), F.lit("shot_clock").alias("cause"))
-    went = sequence.restarts(tl.filter("live AND clock IS NOT NULL"), KEY, ORDER, "clock", "t", 2.4, 2.5)
-    starts = went.select(*KEY, (F.col("t") - (step + 1.0) / 2).alias("at"), (F.col("t") - (step + 1.0) / 2).alias("start"), F.lit("clock_start").alias("cause"))
-    cand = signs.unionByName(back).unionByName(resets).unionByName(starts)
-    # a running maximum over both tables in time order, not all pairs of a game; signs at the same time count
-    asked = own.select(*KEY, (F.col("t") - 2.5).alias("at"), "event_index")
-    both = asked.unionByName(cand.select(*KEY, "at", F.struct("start", "cause").alias("_sign")), allowMissingColumns=True)
-    sign = both.withColumn("s", F.max("_sign").over(Window.partitionBy(*KEY).orderBy("at"))).filter("event_index IS NOT NULL").select(*KEY, "event_index", "s")
-    timed = own.join(sign, [*KEY, "event_index"], "left")
-    end = F.col("t") + sport.rolls[1]
-    start = F.greatest(F.coalesce(F.col("s.start"), F.col("t") - sport.max_clip) - sport.rolls[0], end - sport.max_clip)
-    start = F.when(start > end - 1.0, end - sport.min_clip).otherwise(F.least(start, end - sport.min_clip))
-    cause = F.when(F.col("s.start").isNull() | (F.col("t") - F.col("s.start") > sport.max_clip + 10), "max_length").otherwise(F.col("s.cause"))
-    spans = timed.withColumn("a", start).withColumn("b", end).withColumn("cause", cause)
-    pieces = intervals.long_enough(intervals.clamp(intervals.subtract(spans.select(*KEY, "event_index", "a", "b"), _per_event(out, spans), [*KEY, "event_index"]), F.lit(0.0), F.lit(1e12)), least)
-    segs = pieces.groupBy(*KEY, "event_index").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("segments"))
-    done = spans.drop("a", "b", "s").join(segs, [*KEY, "event_index"])
-    return done.withColumn("confidence", summaries.clip_confidence(F.col("confidence"), F.col("cause") == "max_length", F.size("notes") > 0))
-
-
-def _per_event(out: DataFrame, spans: DataFrame) -> DataFrame:
-    """Breaks that touch each event's span, under the event's key."""
-    s = spans.select(*KEY, "event_index", F.col("a").alias("_a"), F.col("b").alias("_b"))
-    return out.join(s, KEY).filter((F.col("b") > F.col("_a")) & (F.col("a") < F.col("_b"))).select(*KEY, "event_index", "a", "b")
-
-
 def window_start(events: DataFrame, follow: str, step: float) -> DataFrame:
     """Where the biggest run begins: strictly after the other side's score that set the largest deficit."""
     own, other = ("score_home", "score_away") if follow == "home" else ("score_away", "score_home")
@@ -210,17 +169,19 @@ def window_start(events: DataFrame, follow: str, step: float) -> DataFrame:
 
 
 def labelled(clips_: DataFrame, matches: DataFrame, plays: DataFrame) -> DataFrame:
-    """Clips with scorers and descriptions of the plays they matched; unmatched ones are less sure."""
-    ids = matches.select(*KEY, F.col("change_id").alias("event_index"), "how", "clock_diff", F.posexplode("play_ids").alias("at", "play_id"))
+    """Clips with scorers and descriptions of the plays that their changes matched; unmatched ones are less sure."""
+    changes = clips_.select(*KEY, "clip", F.explode("changes").alias("change_id"))
+    ids = changes.join(matches, [*KEY, "change_id"]).select(*KEY, "clip", "change_id", "how", "clock_diff", F.posexplode("play_ids").alias("at", "play_id"))
     named = ids.join(plays.select(*KEY, "play_id", "scorer", "description"), [*KEY, "play_id"])
-    per = named.groupBy(*KEY, "event_index").agg(
-        F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "scorer"))), lambda x: x["scorer"])), " / ").alias("scorer"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "description"))), lambda x: x["description"]), " + ").alias("description"),
+    texts = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("change_id", "at", c))), lambda x: x[c])
+    per = named.groupBy(*KEY, "clip").agg(
+        F.array_join(F.array_distinct(texts("scorer")), " / ").alias("scorer"), F.array_join(texts("description"), " + ").alias("description"),
         F.max("how").alias("how"), F.max("clock_diff").alias("clock_diff"),
     )
     late = (F.col("how") == "score") & F.col("clock_diff").isNotNull()
-    factor = F.when(F.col("how").isNull(), 0.75).when(late, 0.9).otherwise(1.0)
-    return clips_.join(per, [*KEY, "event_index"], "left").withColumn("confidence", F.round(F.col("confidence") * factor, 3))
+    # a clip of a defensive play has no change to match
+    factor = F.when(F.col("changes").isNull(), 1.0).when(F.col("how").isNull(), 0.75).when(late, 0.9).otherwise(1.0)
+    return clips_.join(per, [*KEY, "clip"], "left").withColumn("confidence", F.round(F.col("confidence") * factor, 3))
 
 
 def title(scorer: Column, points: Column, period: Column, clock: Column, away: Column, home: Column, sport: Sport) -> Column:
