@@ -21,7 +21,8 @@ def stream_changes(spark, sf_dir):
     out = Scratch(spark, "stream-changes")
     found = live.changes(_stream(spark, sf_dir), "user_id", "ts", "event_type", "event_id")
     live.run_to(found, out.path("rows"), out.path("checkpoint"))
-    return spark.read.schema("user_id long, event_id long, old string, new string").parquet(out.path("rows"))
+    rows = spark.read.schema("user_id long, event_id long, old string, new string, late boolean").parquet(out.path("rows"))
+    return rows.filter("not late").drop("late")
 
 
 def stream_failures(spark, sf_dir):

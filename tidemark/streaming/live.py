@@ -23,25 +23,29 @@ def read_events(spark: SparkSession, path: str, schema: str, files: int = 1) ->
 def changes(events: DataFrame, key: str, at: str, watched: str, order: str) -> DataFrame:
     """Rows whose watched value differs from the key's previous one; the state is that value.
 
-    Rows of a micro-batch are taken in the order of time; a row from before the newest one seen
-    can no longer change what was sent and is left out.
+    Rows of a micro-batch are taken in the order of time. A row from before the newest one of an
+    earlier micro-batch, or without a time, can no longer change what was sent: it is passed on
+    with ``late`` set and ``old`` NULL, whatever its value, so it can be counted or put right later.
     """
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    out = f"{key} {fields[key]}, {at} {fields[at]}, {order} {fields[order]}, old string, new string"
+    out = f"{key} {fields[key]}, {at} {fields[at]}, {order} {fields[order]}, old string, new string, late boolean"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, newest = state.get if state.exists else (None, -1)
         rows: list[dict[str, Any]] = []
         for r in pd.concat(list(batches)).sort_values([at, order]).to_dict("records"):
-            micros = pd.Timestamp(r[at]).value // 1000
-            if micros < newest:
+            row = {key: k[0], at: r[at], order: r[order], "new": r[watched]}
+            micros = None if pd.isna(r[at]) else pd.Timestamp(r[at]).value // 1000
+            if micros is None or micros < newest:
+                rows.append(row | {"old": None, "late": True})
                 continue
             newest = micros
             if r[watched] != last:
-                rows.append({key: k[0], at: r[at], order: r[order], "old": last, "new": r[watched]})
+                rows.append(row | {"old": last, "late": False})
                 last = r[watched]
         state.update((last, newest))
-        yield pd.DataFrame(rows, columns=[key, at, order, "old", "new"])
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, at, order, "old", "new", "late"])
 
     return events.groupBy(key).applyInPandasWithState(step, out, "last string, newest long", "append", GroupStateTimeout.NoTimeout)
 
