@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, divergence, html, lm, neardup, quality, repeats, secrets, sharding, urls
+from tidemark.llm import ann, bpe, clusters, decontaminate, divergence, html, lm, neardup, quality, repeats, secrets, sharding, urls
 
 QUERIES = {
     **lm.QUERIES, **repeats.QUERIES, **urls.QUERIES, **sharding.QUERIES, **secrets.QUERIES, **bpe.QUERIES, **quality.QUERIES,
-    **html.QUERIES, **decontaminate.QUERIES, **neardup.QUERIES, **divergence.QUERIES,
+    **html.QUERIES, **decontaminate.QUERIES, **neardup.QUERIES, **divergence.QUERIES, **clusters.QUERIES, **ann.QUERIES,
 }
-SQL = {"op7_shards": sharding.op7_sql(), **decontaminate.SQL, **neardup.SQL, **repeats.SQL, **urls.SQL, **divergence.SQL}
+SQL = {"op7_shards": sharding.op7_sql(), **decontaminate.SQL, **neardup.SQL, **repeats.SQL, **urls.SQL, **divergence.SQL, **clusters.SQL}
