@@ -34,8 +34,8 @@ from tidemark.llm.tables import Scratch, read, tidied
 LEAST_DOCS, BEST = 3, 200
 #: Terms and sources of a tile, on average.
 TERMS, SOURCES = 1024, 64
-#: Entries a task counts before it hands them on.
-HELD = 300_000
+#: Entries a task counts before it hands them on, some 200 bytes each.
+HELD, DOC = 600_000, 1 << 40
 #: Bytes to what separates or spells words: A-Z lower-cased, all bytes of characters beyond ASCII kept.
 SPELL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -60,27 +60,28 @@ def counted(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), d (documents), several rows for a term; a null term for each source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}  # both counts in one number: documents above DOC, occurrences below
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, d) in held.items():
-                for terms in (list(n)[k : k + 20_000] for k in range(0, max(1, len(n)), 20_000)):
-                    count, width = [*map(n.get, terms), 0], len(terms) + 1
-                    docs_of = [*map(d.get, terms), 0]
-                    columns = [pa.array([x] * width, pa.string()) for x in (lang, source)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([*terms, None], pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(docs_of, pa.int64())], names=["lang", "source", "term", "n", "d"])
+            for (lang, source), counts in held.items():
+                both = np.fromiter(counts.values(), np.int64, len(counts))
+                terms = list(counts)
+                for k in range(0, max(1, len(terms)), 20_000):
+                    part, some = both[k : k + 20_000], [*terms[k : k + 20_000], None]
+                    columns = [pa.array([x] * len(some), pa.string()) for x in (lang, source)]
+                    numbers = [pa.array(np.append(x, 0)) for x in (part % DOC, part // DOC)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(some, pa.binary()).cast(pa.string()), *numbers], names=["lang", "source", "term", "n", "d"])
             held.clear()
 
         for batch in batches:
             langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
             for lang, source, text in zip(langs, sources, batch.column("text")):
-                n, d = held.setdefault((lang, source), (Counter(), Counter()))
-                before, words = len(n), Counter(text.as_py().translate(SPELL).split(b" "))
-                words.pop(b"", None)
-                n.update(words)
-                d.update(words.keys())
-                size += len(n) - before
+                counts = held.setdefault((lang, source), {})
+                before, words = len(counts), Counter(text.as_py().translate(SPELL).split())
+                for term, n in words.items():
+                    counts[term] = counts.get(term, 0) + n + DOC
+                size += len(counts) - before
                 if size > HELD:
                     yield from out()
                     size = 0
@@ -92,7 +93,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def tile(rows: pa.Table) -> pa.Table:
     """Partial pair sums and best terms of one tile (see ``tiles``)."""
-    lang, side_a, side_b = (rows.column(c)[0].as_py() for c in ("lang", "side_a", "side_b"))
+    lang, block, side_a, side_b = (rows.column(c)[0].as_py() for c in ("lang", "block", "side_a", "side_b"))
     head = rows.filter(pc.is_null(rows.column("term")))
     body = rows.filter(pc.is_valid(rows.column("term")))
     names = np.array([x.encode() for x in head.column("source").to_pylist()], object)
@@ -114,6 +115,14 @@ def tile(rows: pa.Table) -> pa.Table:
     a, b = np.flatnonzero(side == side_a), np.flatnonzero(side == side_b)
     forth, back = np.zeros((len(a), len(b)), np.int64), np.zeros((len(a), len(b)), np.int64)
     width = max(1, 1_000_000 // max(1, len(a) * len(b)))
+    # a kept term that no source of the tile has is no column: it counts as the share of nothing for
+    # all kept terms, added once (in block 0), less those of the columns
+    nothing = share(np.ones(len(names), np.int64), total + kept_terms) if kept_terms else np.zeros(len(names), np.int64)
+    missed = (kept_terms if block == 0 else 0) - len(terms)
+    if kept_terms:
+        one, two = nothing[a][:, None], nothing[b][None, :]
+        forth += missed * gain(one, two)
+        back += missed * gain(two, one)
     for k in range(0, len(terms), width):
         one, two = p[a, k : k + width][:, None, :], p[b, k : k + width][None, :, :]
         forth += gain(one, two).sum(2)
