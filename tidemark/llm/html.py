@@ -6,10 +6,17 @@ out; when the page marks its article, what lies outside of it is out), its share
 its length and its share of linked text. Short or unclear blocks stay open. In the second pass
 open blocks take the label of their nearest decided neighbours in the same container.
 
+A class or id puts an element out by whole words of it (``sidebar``, ``site-sidebar``,
+``comment-list``), not by a state that mentions one (``has-sidebar``, ``comments-open``). And no
+name, role, hiding or form puts out what the page is about: an element that holds most of the page's
+prose stays in unless a marked article is left outside of it (``settle``).
+
+Stop words are of four languages; a page with few of them gets its own, its frequent short words,
+and a page without any of those either (scripts without spaces) is judged without them.
+
 Defined results. Null or empty html gives an empty text. Broken markup is read leniently: an end
 tag without a start is ignored, an unclosed comment or script runs to the end, a ``<`` that begins
-no whole tag is text. A page without any decided block keeps its open blocks if it marks an
-article, else nothing. Pages are read whole, in time that grows with their length whatever their
+no whole tag is text. A page without any block that reads as prose keeps its open blocks. Pages are read whole, in time that grows with their length whatever their
 markup. Repeated rows have equal texts. At equal distances to a good and a bad neighbour a block is
 kept. Extra columns are kept, but ``main_text`` is replaced. Empty table: empty result.
 """
@@ -18,7 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +56,14 @@ OUT_NAMES = frozenset(
 )
 #: Names that mean page furniture only outside of an article (an article has its own heading part).
 OUT_NAMES_OUTSIDE = frozenset(("header", "topbar", "bottom"))
+#: Of these, what readers wrote: it may be longer than the article.
+READERS = frozenset("comment comments commentlist replies reply respond disqus".split())
+#: Parts of a name that say what an element looks like and not what it is, and those that make it a state of the page.
+SHAPES = frozenset(
+    "list lists box boxes area areas bar bars wrap wrapper container containers inner outer section block blocks item items link links button buttons form slot slots unit units post posts article articles story stories body text group "
+    "panel panels top bottom left right primary secondary holder row rows col cols column columns title heading icon icons toggle count meta author avatar thread overlay dialog message messages region zone placeholder frame card cards".split()
+)
+STATES = frozenset("has have no not non with without is in on off open opened close closed active inactive enabled disabled enable disable show shown hide visible collapsed expanded allowed".split())
 #: A start of the key ends an open element of the values.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article main section div nav aside form header footer body blockquote td li".split())
@@ -61,6 +76,10 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(
 WORD = re.compile(r"[^\W_]+")
 
 LONG, SHORT, MUCH_LINK, STOPS_LOW, STOPS_HIGH = 200, 70, 0.4, 0.1, 0.2
+#: Shares of the page's prose from which an element stays in: any, and one of readers' words.
+MOST, MOST_OF_READERS = 0.5, 0.9
+#: Letters of the words, and how often they occur at least, that may serve as a page's own stop words.
+OWN_LETTERS, OWN_TIMES = 4, 3
 
 
 @dataclass
@@ -71,24 +90,76 @@ class Block:
     item: bool  # of a list
     out: bool
     scope: int  # 0 outside of an article, else its number
+    doubt: int  # the innermost element around it that may put it out, or -1
+
+    def words(self) -> list[str]:
+        return WORD.findall(self.text.lower())
 
-    def measures(self) -> tuple[int, float, float]:
-        """Characters, share of stop words, share of characters in links."""
-        words = WORD.findall(self.text.lower())
-        return len(self.text), sum(w in STOP_WORDS for w in words) / max(1, len(words)), self.linked / max(1, len(self.text))
+    def links(self) -> float:
+        """Share of characters in links."""
+        return self.linked / max(1, len(self.text))
+
+
+@dataclass
+class Doubt:
+    """An element that a name, role, hiding or form puts out, unless the page is about it."""
+
+    outer: int  # the next such element around it, or -1
+    readers: bool
+    prose: int = 0
+    marked: int = 0  # the part of the prose that is of a marked article
+    out: bool = True
+
+
+def named_out(names: str, inside: bool) -> set[str]:
+    """The words of class names and ids that say that an element is page furniture."""
+    found = set()
+    for token in names.split():
+        parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+        if len(parts) > 1 and not STATES.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in SHAPES and parts[-1] not in OUT_NAMES:
+            parts.pop()
+        if parts and (parts[-1] in OUT_NAMES or (not inside and parts[-1] in OUT_NAMES_OUTSIDE)):
+            found.add(parts[-1])
+    return found
 
 
-def _is_out(name: str, attrs: dict[str, str], inside: bool) -> bool:
+def put_out(name: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is out by its tag, whether it is so by other signs, and whether those name readers' words."""
     if name in OUT_TAGS and not (name == "header" and inside):
-        return True
+        by_form = name in ("form", "fieldset")
+        return not by_form, by_form, False
     if name in ("html", "body") or attrs.get("itemprop", "") == "articleBody":
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if attrs.get("role", "").lower() in OUT_ROLES:
-        return True
-    names = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
-    return bool(names & OUT_NAMES) or (not inside and bool(names & OUT_NAMES_OUTSIDE))
+        return False, False, False
+    found = named_out(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside)
+    hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    return False, bool(found) or hidden or attrs.get("role", "").lower() in OUT_ROLES, not found.isdisjoint(READERS)
+
+
+def settle(found: list[Block], doubts: list[Doubt]) -> None:
+    """Put out the blocks of all elements in doubt but those that the page is about."""
+    whole = whole_marked = 0
+    for b in found:
+        if not b.out:
+            prose = len(b.text) - b.linked
+            marked = prose if b.scope else 0
+            whole, whole_marked = whole + prose, whole_marked + marked
+            if b.doubt >= 0:
+                doubts[b.doubt].prose += prose
+                doubts[b.doubt].marked += marked
+    for d in reversed(doubts):  # inner ones come after outer ones
+        if d.outer >= 0:
+            doubts[d.outer].prose += d.prose
+            doubts[d.outer].marked += d.marked
+    for d in doubts:
+        most = d.prose > (MOST_OF_READERS if d.readers else MOST) * whole
+        d.out = (d.outer >= 0 and doubts[d.outer].out) or not (most and whole_marked - d.marked < SHORT)
+    if doubts and not any(not b.out and (b.doubt < 0 or not doubts[b.doubt].out) and b.linked < len(b.text) for b in found):
+        for d in doubts:  # nothing but elements in doubt: all but readers' words
+            d.out = d.readers or (d.outer >= 0 and doubts[d.outer].out)
+    for b in found:
+        b.out = b.out or (b.doubt >= 0 and doubts[b.doubt].out)
 
 
 class Tags:
@@ -128,8 +199,10 @@ UNCLOSED = frozenset(("nav", "header", "form", "menu", "head"))
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
-    # open elements: name, whether it puts its content out, whether it starts an article
-    stack: list[tuple[str, bool, bool]] = []
+    # open elements: name, whether it puts its content out, whether it starts an article, whether it is in doubt
+    stack: list[tuple[str, bool, bool, bool]] = []
+    doubts: list[Doubt] = []
+    doubted = [-1]  # numbers of open elements in doubt
     # where open elements stand in the stack: by name, those that bound the closing of others, those that put out
     places: dict[str, list[int]] = defaultdict(list)
     scopes: list[int] = []
@@ -141,13 +214,15 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, state["linked"], state["heading"] > 0, state["items"] > 0, state["out"] > 0, state["scope"] if state["articles"] else 0))
+            out.append(Block(joined, state["linked"], state["heading"] > 0, state["items"] > 0, state["out"] > 0, state["scope"] if state["articles"] else 0, doubted[-1]))
         text.clear()
         state["linked"] = 0
 
     def close(k: int) -> None:
-        for name, puts_out, article in stack[k:]:
+        for name, puts_out, article, doubt in stack[k:]:
             places[name].pop()
+            if doubt:
+                doubted.pop()
             if name in SCOPES:
                 scopes.pop()
             if puts_out:
@@ -212,11 +287,11 @@ def blocks(page: str) -> list[Block]:
         if top >= 0 and top >= (scopes[-1] if scopes else -1):
             close(top)
         attrs = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(said_of)} if said_of.strip() else {}
-        puts_out = _is_out(name, attrs, state["articles"] > 0)
+        puts_out, doubt, readers = put_out(name, attrs, state["articles"] > 0)
         article = name in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "") == "articleBody"
         if article and not puts_out and state["out"] and not state["fixed"]:
             for i in outs:
-                stack[i] = (stack[i][0], False, stack[i][2])
+                stack[i] = (stack[i][0], False, *stack[i][2:])
             outs.clear()
             state["out"] = 0
         article = article and not puts_out and not state["out"]
@@ -232,18 +307,35 @@ def blocks(page: str) -> list[Block]:
         state["links"] += name == "a"
         state["heading"] += name in HEADINGS
         state["items"] += name == "li"
-        stack.append((name, puts_out, article))
+        if doubt:
+            doubts.append(Doubt(doubted[-1], readers))
+            doubted.append(len(doubts) - 1)
+        stack.append((name, puts_out, article, doubt))
     said(page[at:])
     flush()
+    settle(out, doubts)
     return out
 
 
+def stop_words(found: list[Block]) -> frozenset[str] | None:
+    """The known stop words; with the page's own frequent short words, where it has few of them; None, where that doesn't help."""
+    words = [w for b in found if not b.out and b.links() <= MUCH_LINK for w in b.words()]
+    share = lambda known: sum(w in known for w in words) / max(1, len(words))
+    if share(STOP_WORDS) >= STOPS_LOW:
+        return STOP_WORDS
+    often = Counter(w for w in words if len(w) <= OWN_LETTERS and not w.isdigit())
+    own = STOP_WORDS.union(w for w, n in often.items() if n >= max(OWN_TIMES, len(words) / 200))
+    return own if share(own) >= STOPS_LOW else None
+
+
 def first_pass(found: list[Block]) -> list[bool | None]:
     """True or False where a block alone decides, None where it doesn't."""
     marked = any(b.scope and not b.out for b in found)
+    known = stop_words(found)
     labels: list[bool | None] = []
     for b in found:
-        length, stops, links = b.measures()
+        length, links, words = len(b.text), b.links(), b.words()
+        stops = STOPS_HIGH if known is None else sum(w in known for w in words) / max(1, len(words))
         if b.out or (marked and not b.scope):
             labels.append(False)
         elif links > MUCH_LINK:
@@ -251,10 +343,8 @@ def first_pass(found: list[Block]) -> list[bool | None]:
             labels.append(None if marked and not b.item else False)
         elif length >= SHORT and stops >= STOPS_LOW:
             labels.append(True if marked or length >= LONG or stops >= STOPS_HIGH else None)
-        elif marked or length < SHORT or stops >= STOPS_LOW:
-            labels.append(None)
         else:
-            labels.append(False if length >= LONG else None)
+            labels.append(None)
     return labels
 
 
@@ -277,8 +367,8 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     for k, label in enumerate(labels):
         if label is None:
             x, y = before[k], after[k]
-            if marked and found[k].scope not in with_prose:
-                label = True  # nothing in this article reads as prose: all that isn't furniture is its text
+            if not with_prose or (marked and found[k].scope not in with_prose):
+                label = True  # nothing in this page or article reads as prose: all that isn't furniture is its text
             elif found[k].heading and y:
                 label = y[1]
             elif x and y:
