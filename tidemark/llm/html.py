@@ -92,9 +92,6 @@ class Block:
     scope: int  # 0 outside of an article, else its number
     doubt: int  # the innermost element around it that may put it out, or -1
 
-    def words(self) -> list[str]:
-        return WORD.findall(self.text.lower())
-
     def links(self) -> float:
         """Share of characters in links."""
         return self.linked / max(1, len(self.text))
@@ -317,10 +314,10 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def stop_words(found: list[Block]) -> frozenset[str] | None:
+def stop_words(found: list[Block], words_of: list[list[str]]) -> frozenset[str] | None:
     """The known stop words; with the page's own frequent short words, where it has few of them; None, where that doesn't help."""
-    words = [w for b in found if not b.out and b.links() <= MUCH_LINK for w in b.words()]
-    share = lambda known: sum(w in known for w in words) / max(1, len(words))
+    words = [w for b, own in zip(found, words_of, strict=True) if not b.out and b.links() <= MUCH_LINK for w in own]
+    share = lambda known: sum(map(known.__contains__, words)) / max(1, len(words))
     if share(STOP_WORDS) >= STOPS_LOW:
         return STOP_WORDS
     often = Counter(w for w in words if len(w) <= OWN_LETTERS and not w.isdigit())
@@ -331,11 +328,12 @@ def stop_words(found: list[Block]) -> frozenset[str] | None:
 def first_pass(found: list[Block]) -> list[bool | None]:
     """True or False where a block alone decides, None where it doesn't."""
     marked = any(b.scope and not b.out for b in found)
-    known = stop_words(found)
+    words_of = [[] if b.out else WORD.findall(b.text.lower()) for b in found]
+    known = stop_words(found, words_of)
     labels: list[bool | None] = []
-    for b in found:
-        length, links, words = len(b.text), b.links(), b.words()
-        stops = STOPS_HIGH if known is None else sum(w in known for w in words) / max(1, len(words))
+    for b, words in zip(found, words_of, strict=True):
+        length, links = len(b.text), b.links()
+        stops = STOPS_HIGH if known is None else sum(map(known.__contains__, words)) / max(1, len(words))
         if b.out or (marked and not b.scope):
             labels.append(False)
         elif links > MUCH_LINK:
