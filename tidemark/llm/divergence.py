@@ -35,7 +35,7 @@ LEAST_DOCS, BEST = 3, 200
 #: Terms and sources of a tile, on average.
 TERMS, SOURCES = 1024, 64
 #: Entries a task counts before it hands them on, some 200 bytes each.
-HELD, DOC = 600_000, 1 << 40
+HELD, DOC = 300_000, 1 << 40
 #: Bytes to what separates or spells words: A-Z lower-cased, all bytes of characters beyond ASCII kept.
 SPELL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
