@@ -79,3 +79,18 @@ def ink_runs(xs: Column, least: float) -> Column:
         return F.when((n > 0) & (F.try_element_at(acc, F.lit(-1))["last"] == i - 1), grown).otherwise(fresh)
 
     return F.aggregate(at, empty, step)
+
+
+def masked_decode(steps: Column, symbols: Column, allowed: Column, blank: int = 0) -> Column:
+    """struct(text, confidence): the likeliest allowed class at each step, without repeats and blanks, and the least probability kept.
+
+    ``steps`` is an array of arrays of class probabilities, ``allowed`` an array of class numbers. The
+    confidence is the plain probability, so a step that would rather have been another class is
+    weak. The first of equally likely classes counts. Nothing kept: empty text, confidence 0.
+    """
+    best = F.transform(steps, lambda p: F.array_max(F.transform(allowed, lambda k: F.struct(F.get(p, k).alias("p"), (-k).alias("k")))))
+    before = F.concat(F.array(F.lit(-1)), F.transform(F.slice(best, F.lit(1), F.greatest(F.size(best) - 1, F.lit(0))), lambda s: -s["k"]))
+    moved = F.zip_with(best, before, lambda s, k: F.struct(s["p"].alias("p"), (-s["k"]).alias("k"), (-s["k"] != k).alias("moved")))
+    kept = F.filter(moved, lambda s: s["moved"] & (s["k"] != blank))
+    text = F.array_join(F.transform(kept, lambda s: F.get(symbols, s["k"])), "")
+    return F.struct(text.alias("text"), F.coalesce(F.array_min(F.transform(kept, lambda s: s["p"])), F.lit(0.0)).alias("confidence"))
