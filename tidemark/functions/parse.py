@@ -67,7 +67,7 @@ def inning(text: Column, most: int = 30) -> Column:
     return F.when(n.between(1, most), F.when(top, 2 * n - 1).otherwise(2 * n))
 
 
-def overtime_period(text: Column, regulation: int = 3) -> Column:
+def overtime_period(text: Column, regulation: int | Column = 3) -> Column:
     """Periods of a sport of three: SO is two past regulation, OT n past it."""
     key = F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")
     ot = r"^([0-9]?)OT([0-9]?)$"
@@ -82,6 +82,27 @@ def zero_led(text: Column) -> Column:
     return F.when(t.startswith(":"), F.concat(F.lit("0"), t)).otherwise(text)
 
 
+def period_by(reader: Column, text: Column, regulation: Column) -> Column:
+    """A period as its sport's reader has it: 'inning', 'overtime' (of a sport of ``regulation`` periods), else 'quarter'."""
+    return F.when(reader == "inning", inning(text)).when(reader == "overtime", overtime_period(text, regulation)).otherwise(period(text))
+
+
+def clock_by(led: Column, text: Column) -> Column:
+    """A clock; where ``led``, one that begins with a colon has no minutes."""
+    return clock(F.when(led, zero_led(text)).otherwise(text))
+
+
+def note(text: Column) -> Column:
+    """Text of a field without a reader: trimmed, NULL if empty."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def inning_label(half: Column) -> Column:
+    """'Top 5' of half-inning 9, 'Bot 5' of 10."""
+    side = F.when(half % 2 == 0, "Bot ").otherwise("Top ")
+    return F.when(half.isNull(), "?").otherwise(F.concat(side, F.floor((half + 1) / 2).cast("string")))
+
+
 def iso_clock(text: Column) -> Column:
     """Seconds of PT11M42.00S, m:s, or a number."""
     t = F.trim(text)
@@ -108,9 +129,9 @@ def trusted(text: Column, conf: Column, visible: Column, least: float, value: Co
 
 
 def elapsed(period_: Column, clock_: Column, regulation: int, seconds: float, extra: float) -> Column:
-    """Game seconds played at a period's remaining clock."""
+    """Game seconds played at a period's remaining clock; NULL where either is unknown."""
     done = F.least(period_ - 1, F.lit(regulation)) * seconds + F.greatest(period_ - 1 - regulation, F.lit(0)) * extra
-    return done + F.greatest(F.lit(0.0), F.when(period_ <= regulation, seconds).otherwise(extra) - clock_)
+    return F.when(clock_.isNotNull(), done + F.greatest(F.lit(0.0), F.when(period_ <= regulation, seconds).otherwise(extra) - clock_))
 
 
 def period_label(period_: Column, regulation: int, prefix: str = "Q") -> Column:

@@ -136,6 +136,34 @@ def restarts(df: DataFrame, key: Names, order: Names, value: str, at: str, hold:
     return nxt.filter(ok).select(*key, F.col("_next.at").alias(index), F.col("_next.t").alias("t"), (F.col("t_last") - F.col("t_first")).alias("stopped_for"))
 
 
+def clock_starts(df: DataFrame, key: Names, order: Names, clock: str, other: str, at: str, live: str, step: float, fresh: tuple[float, ...] = ()) -> DataFrame:
+    """Moments ``at`` a stopped clock began to run, ``stopped_for`` seconds after it stopped, by its own first fall and that of ``other``.
+
+    A clock has stopped if it held a value for 2.4 seconds, or 1.4 where the two seconds before weren't
+    seen. The fall shows within 2.5 seconds, so the start lies between a whole step of the clock
+    before it (a second, a tenth under a minute) and it. A second countdown that starts with it and falls
+    within three seconds bounds it again: by the fall, less the second that one of the ``fresh``
+    values stands. The moment is the middle of what both leave (fixed values).
+    """
+    w = over(key, order)
+    known = F.col(live) & F.col(other).isNotNull()
+    later = F.collect_list(F.when(known, F.struct(F.col(at).alias("t"), F.col(other).alias("v")))).over(w.rowsBetween(1, int(3 / step)))
+    tick = F.try_element_at(F.filter(later, lambda x: x["v"] < F.col(other)), F.lit(1))["t"]
+    rows = df.withColumn("_tick", F.when(known, F.struct(F.col(other).alias("v"), tick.alias("t")))).filter(F.col(live) & F.col(clock).isNotNull())
+    new = F.coalesce((F.abs(F.col(clock) - F.lag(clock).over(w)) >= 0.05).cast("int"), F.lit(1))
+    held = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs_ = held.groupBy(*key, "_run").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.min_by(clock, at).alias("first"), F.max_by(clock, at).alias("last"), F.max_by("_tick", at).alias("tick"))
+    by = over(key, ["a"])
+    seen = runs_.withColumn("_next", F.lead(F.struct("first", "a")).over(by)).withColumn("_gap", F.col("a") - F.lag("b").over(by))
+    need = F.when(F.coalesce(F.col("_gap") > 2.0, F.lit(True)), 1.4).otherwise(2.4)
+    went = seen.filter((F.col("b") - F.col("a") >= need) & (F.col("_next.first") < F.col("last")) & (F.col("_next.a") - F.col("b") <= 2.5))
+    stands = F.col("tick.v").isin(*fresh) if fresh else F.lit(False)
+    upper = F.least("_next.a", F.col("tick.t") - F.when(stands, 1.0).otherwise(0.0))
+    lower = F.greatest(F.col("_next.a") - step - F.when(F.col("last") < 60.0, 0.1).otherwise(1.0), F.col("tick.t") - step - 1.0)
+    middle = F.when(lower < upper, (lower + upper) / 2).otherwise(upper - 0.5)
+    return went.select(*key, F.greatest(middle, "b").alias("at"), (F.col("b") - F.col("a")).alias("stopped_for"))
+
+
 def upward_jumps(df: DataFrame, key: Names, order: Names, value: str, at: str, least: float, reach: float) -> DataFrame:
     """Jumps of at least ``least`` over the last known value, with the first later fall within ``reach`` seconds."""
     w = over(key, order)

@@ -6,6 +6,7 @@ operators read them.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clipping, sequence, summaries
 from tidemark.plans import rules
-from tidemark.plans.timeline import KEY, ORDER, Sport
+from tidemark.plans.timeline import KEY, ORDER, Sport, text_changes
 from tidemark.sources.scratch import Scratch
 
 
@@ -51,6 +52,20 @@ def breaks_of(timeline: DataFrame, step: float) -> DataFrame:
     return sequence.widened(timeline.withColumnRenamed("t_video", "t"), KEY, ORDER, F.col("live"), "t", step)
 
 
+#: Samples in a row without a shot clock that show it was switched off, and seconds over its largest value that the game clock may read then (fixed values).
+SWITCHED, ALLOWED = 4, 0.5
+
+
+def switched_off(timeline: DataFrame, sport: Sport, step: float) -> DataFrame:
+    """Where play went on but the shot clock went blank for good: less time is left than it shows. game_id, t."""
+    rows = sequence.nearest_known(timeline.withColumnRenamed("t_video", "t"), KEY, ORDER, "clock", "left", 2)
+    w = sequence.over(KEY, ORDER)
+    rows = rows.withColumn("_on", F.min("live").over(w.rowsBetween(-1, SWITCHED - 1)) & F.min(F.coalesce("bug_visible", F.col("live")) if "bug_visible" in timeline.columns else F.col("live")).over(w.rowsBetween(0, SWITCHED - 1)))
+    most = max(sport.resets, default=sport.shot_max) + ALLOWED
+    gone = sequence.switched_off(rows, KEY, ORDER, "shot_clock", SWITCHED).filter(F.col("_on") & (F.col("left") <= most))
+    return gone.select(*KEY, (F.col("t") - step / 2).alias("t"))
+
+
 def resets_of(timeline: DataFrame, sport: Sport, step: float) -> DataFrame:
     """Shot clock resets: t, and t_start, from where the value counts down (a full second before its first fall)."""
     live = timeline.filter("live AND shot_clock IS NOT NULL").withColumnRenamed("t_video", "t")
@@ -60,9 +75,16 @@ def resets_of(timeline: DataFrame, sport: Sport, step: float) -> DataFrame:
     return found.select(*KEY, at.alias("t"), F.greatest(at, F.coalesce(F.col("fall_at") - step / 2 - 1.0, at)).alias("t_start"))
 
 
-def clock_starts_of(timeline: DataFrame, step: float) -> DataFrame:
-    went = sequence.restarts(timeline.filter("live AND clock IS NOT NULL").withColumnRenamed("t_video", "t"), KEY, ORDER, "clock", "t", 2.4, 2.5)
-    return went.select(*KEY, (F.col("t") - (step + 1.0) / 2).alias("at"))
+def clock_starts_of(timeline: DataFrame, step: float, fresh: tuple[float, ...] = ()) -> DataFrame:
+    """Where the game clock began to run: game_id, at. The shot clock starts with it, so its first fall narrows the moment."""
+    return sequence.clock_starts(timeline.withColumnRenamed("t_video", "t"), KEY, ORDER, "clock", "shot_clock", "t", "live", step, fresh).drop("stopped_for")
+
+
+def counts_of(timeline: DataFrame) -> DataFrame:
+    """Changes of baseball's count: game_id, at. A timeline without texts has none."""
+    if "extra" not in timeline.columns:
+        return timeline.limit(0).select(*KEY, F.lit(None).cast("double").alias("at"))
+    return text_changes(timeline, "count").select(*KEY, F.col("t").alias("at"))
 
 
 def clock_stops_of(timeline: DataFrame) -> DataFrame:
@@ -75,25 +97,26 @@ def starts(changes: DataFrame, all_changes: DataFrame, timeline: DataFrame, brea
     """Changes (t, team, made) with ``start`` and ``cause`` by the rules of the sport.
 
     Football takes the snap (``snap``, the clock at it) where there is one, baseball changes of the
-    count (``counts``: at); basketball the latest of five signs before the make.
+    count (``counts``: at; those of the timeline's texts if not given); basketball the latest of six signs before the make.
     """
-    clock = clock_starts_of(timeline, step)
+    clock = clock_starts_of(timeline, step, sport.resets)
     if sport.name in PLAY_STARTS:
         cause, reach, back, otherwise = PLAY_STARTS[sport.name]
-        signs = clock if sport.name != "baseball" else (counts if counts is not None else clock.limit(0))
+        signs = clock if sport.name != "baseball" else (counts if counts is not None else counts_of(timeline))
         out = rules.last_sign(changes, signs, KEY, reach, back, cause, otherwise)
         if sport.name == "football" and "snap" in changes.columns:
             out = rules.snap_times(out, timeline)
             out = out.withColumn("cause", F.when(F.col("snap_t").isNotNull(), "snap").otherwise(F.col("cause"))).withColumn("start", F.coalesce("snap_t", "start")).drop("snap_t")
         return out
-    roll = sport.rolls[0]
+    roll, off = sport.rolls[0], switched_off(timeline, sport, step)
     signs = [
         all_changes.select(*KEY, F.col("t").alias("at"), (F.col("t") + roll).alias("start"), F.col("team").alias("cause")),
         breaks.select(*KEY, F.col("b").alias("at"), F.when(F.col("b") - F.col("a") >= 4.0, F.col("b") + roll).alias("start"), F.lit("bug_returned").alias("cause")),
         resets.select(*KEY, F.greatest("t", "t_start").alias("at"), F.col("t_start").alias("start"), F.lit("shot_clock").alias("cause")),
+        off.select(*KEY, F.col("t").alias("at"), F.col("t").alias("start"), F.lit("shot_clock").alias("cause")),
         clock.select(*KEY, "at", F.col("at").alias("start"), F.lit("clock_start").alias("cause")),
     ]
-    union = signs[0].unionByName(signs[1]).unionByName(signs[2]).unionByName(signs[3])
+    union = functools.reduce(DataFrame.unionByName, signs)
     # before the make by more than its own timing is sure of, so its own reset isn't a sign
     limited = changes.withColumn("limit", F.coalesce(F.col("made") - 0.75, F.col("t") - 2.5))
     return clipping.last_starts(limited, union, KEY, ["home", "away", "bug_returned", "shot_clock", "clock_start"], sport.max_clip).drop("limit")

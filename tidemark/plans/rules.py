@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse
 from tidemark.operators import review, summaries
-from tidemark.plans.timeline import KEY, Sport
+from tidemark.plans.timeline import KEY, Sport, game_seconds, period_name
 
 
 def kind(sport: str, points: Column, stopped: Column, stopped_for: Column, matched: Column, long_stop: float = 8.0) -> Column:
@@ -62,21 +62,22 @@ def windows(asked: DataFrame, timeline: DataFrame, events: DataFrame, sport: Spo
     if runs is None:
         runs = asked.sparkSession.createDataFrame([], "game_id string, run_period int, run_clock double, run_deficit int, run_t double")
     rows = asked.join(runs, KEY, "left")
-    at = lambda period, clock: parse.elapsed(F.col(period), F.coalesce(F.col(clock), F.when(F.col(period) <= sport.regulation, sport.period_seconds).otherwise(sport.overtime_seconds)), sport.regulation, sport.period_seconds, sport.overtime_seconds)
+    at = lambda period, clock: game_seconds(sport, F.col(period), F.coalesce(F.col(clock), F.when(F.col(period) <= sport.regulation, sport.period_seconds).otherwise(sport.overtime_seconds)))
     wanted = F.array(
         F.struct(F.lit("start").alias("of"), F.when(F.col("start_mode") == "game_time", at("start_period", "start_clock")).alias("target")),
         F.struct(F.lit("run").alias("of"), F.when(F.col("start_mode") == "auto_run", at("run_period", "run_clock")).alias("target")),
         F.struct(F.lit("end").alias("of"), F.when(F.col("end_mode") == "game_time", at("end_period", "end_clock")).alias("target")),
     )
     targets = rows.select(*KEY, F.explode(wanted).alias("x")).select(*KEY, "x.of", (F.col("x.target") - 1e-6).alias("target")).filter("target IS NOT NULL")
-    live = timeline.filter("live AND clock IS NOT NULL AND period IS NOT NULL").select(*KEY, F.col("t_video").alias("t"), parse.elapsed(F.col("period"), F.col("clock"), sport.regulation, sport.period_seconds, sport.overtime_seconds).alias("e"))
+    read = F.col("live") & F.col("period").isNotNull() & (F.col("clock").isNotNull() if sport.clocked else F.lit(True))
+    live = timeline.filter(read).select(*KEY, F.col("t_video").alias("t"), game_seconds(sport, F.col("period"), F.col("clock")).alias("e"))
     reached = review.first_at(live, targets, KEY, "t", "e", "target").groupBy(*KEY).agg(*(F.max(F.when(F.col("of") == n, F.col("found_t"))).alias(f"_{n}") for n in ("start", "run", "end")))
     home = F.col("follow") == "home"
     theirs = events.join(asked.select(*KEY, "follow"), KEY).filter(F.col("team") != F.col("follow"))
     theirs = theirs.withColumn("_own", F.when(home, F.col("score_home")).otherwise(F.col("score_away"))).withColumn("_other", F.when(home, F.col("score_away")).otherwise(F.col("score_home")))
     low = summaries.largest_deficit(theirs, KEY, "_own", "_other", ["t"], ["t", "period", "clock"]).select(*KEY, F.col("t").alias("_low_t"), F.col("period").alias("_low_period"), F.col("clock").alias("_low_clock"), F.col("deficit").alias("_low_deficit"))
     out = rows.join(reached, KEY, "left").join(low, KEY, "left")
-    place = lambda period, clock: F.concat_ws(" ", parse.period_label(period, sport.regulation, sport.prefix), parse.clock_label(clock))
+    place = lambda period, clock: F.trim(F.concat_ws(" ", period_name(sport, period), parse.clock_label(clock)))
     auto, timed, till = F.col("start_mode") == "auto_run", F.col("start_mode") == "game_time", F.col("end_mode") == "game_time"
     by_play = F.coalesce("run_t", "_run")
     anchor, seen = F.coalesce(by_play, F.col("_low_t")), by_play.isNotNull()

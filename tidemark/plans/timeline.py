@@ -35,13 +35,17 @@ class Sport:
     min_clip: float = 3.0
     max_clip: float = 30.0
     prefix: str = "Q"
+    reader: str = "quarter"
+    colon_led: bool = False
+    clocked: bool = True
+    texts: tuple[str, ...] = ()
 
 
 SPORTS = {
     "basketball": Sport("basketball", 4, 720.0, 300.0, 24.0, (24.0, 14.0), 3, (1.0, 1.5)),
-    "football": Sport("football", 4, 900.0, 600.0, 40.0, (40.0, 25.0), 8, (2.0, 2.0)),
-    "hockey": Sport("hockey", 3, 1200.0, 300.0, 24.0, (), 1, (1.0, 2.0), prefix="P"),
-    "baseball": Sport("baseball", 9, 0.0, 0.0, 0.0, (), 4, (3.0, 2.0), max_clip=45.0, prefix=""),
+    "football": Sport("football", 4, 900.0, 600.0, 40.0, (40.0, 25.0), 8, (2.0, 2.0), colon_led=True, texts=("down_distance",)),
+    "hockey": Sport("hockey", 3, 1200.0, 300.0, 24.0, (), 1, (1.0, 2.0), prefix="P", reader="overtime"),
+    "baseball": Sport("baseball", 9, 0.0, 0.0, 0.0, (), 4, (3.0, 2.0), max_clip=45.0, prefix="", reader="inning", clocked=False, texts=("count", "outs")),
 }
 SCORE_CONF, CLOCK_CONF = 0.45, 0.30
 
@@ -51,9 +55,10 @@ def readings(samples: DataFrame, sport: Sport) -> DataFrame:
     text = lambda f: F.coalesce(F.col("fields")[f]["text"], F.lit(""))
     conf = lambda f: F.coalesce(F.col("fields")[f]["conf"], F.lit(0).cast("float"))
     of = lambda f, least, value: parse.trusted(text(f), conf(f), F.col("visible"), least, value)
-    clock = of("clock", CLOCK_CONF, parse.clock(text("clock")))
+    clock = of("clock", CLOCK_CONF, parse.clock_by(F.lit(sport.colon_led), text("clock"))) if sport.clocked else F.lit(None).cast("double")
     shot = of("shot_clock", CLOCK_CONF, parse.shot_clock(text("shot_clock")))
-    period = parse.overtime_period(text("period")) if sport.regulation == 3 else parse.period(text("period"))
+    period = parse.period_by(F.lit(sport.reader), text("period"), F.lit(sport.regulation))
+    sure = [conf(f) for f in ("away_score", "home_score", *(("clock",) if sport.clocked else ()))]
     return samples.select(
         *KEY, "i", "t", "visible",
         of("period", CLOCK_CONF, period).cast("double").alias("period_raw"),
@@ -61,7 +66,8 @@ def readings(samples: DataFrame, sport: Sport) -> DataFrame:
         F.when(shot <= sport.shot_max + 0.5, shot).alias("shot_raw"),
         of("away_score", SCORE_CONF, parse.score(text("away_score"))).cast("double").alias("away_raw"),
         of("home_score", SCORE_CONF, parse.score(text("home_score"))).cast("double").alias("home_raw"),
-        F.least(conf("away_score"), conf("home_score"), conf("clock")).alias("conf_raw"),
+        F.least(*sure).alias("conf_raw"),
+        *(of(f, CLOCK_CONF, parse.note(text(f))).alias(f"text_{f}") for f in sport.texts),
     )
 
 
@@ -124,9 +130,25 @@ def build(samples: DataFrame, sport: Sport, rate: float = 2.0, fill_gap: float =
         F.col("score_home").cast("int").alias("score_home"), F.col("score_away").cast("int").alias("score_away"),
         F.when(F.col("live"), F.col("conf_raw")).otherwise(F.lit(0).cast("float")).alias("confidence"), "live",
         (F.col("clock_running") & F.col("live") & F.col("clock").isNotNull()).alias("clock_running"), F.col("state").cast("tinyint").alias("state"), "clock_read", "home_read", "away_read",
+        *([F.create_map(*(x for f in sport.texts for x in (F.lit(f), F.when(F.col("live"), F.col(f"text_{f}"))))).alias("extra")] if sport.texts else []),
     )
 
 
+def text_changes(timeline: DataFrame, name: str, hold: int = 2) -> DataFrame:
+    """Changes of a field that is kept as text: game_id, i, t, old, new; a text counts once ``hold`` samples in a row show it."""
+    rows = timeline.select(*KEY, "i", F.col("t_video").alias("t"), F.col("extra")[name].alias("text"))
+    return sequence.held_changes(rows, KEY, ORDER, "text", hold)
+
+
+def game_seconds(sport: Sport, period: Column, clock: Column) -> Column:
+    """How far a game has come; without a clock that is its half-inning."""
+    return parse.elapsed(period, clock, sport.regulation, sport.period_seconds, sport.overtime_seconds) if sport.clocked else period.cast("double")
+
+
+def period_name(sport: Sport, period: Column) -> Column:
+    return parse.period_label(period, sport.regulation, sport.prefix) if sport.clocked else parse.inning_label(period)
+
+
 def quality(timeline: DataFrame) -> DataFrame:
     """Counts and shares that tell how well a game could be read."""
     live = F.greatest(F.lit(1), F.count_if(F.col("live")))
@@ -186,7 +208,7 @@ def labelled(clips_: DataFrame, matches: DataFrame, plays: DataFrame) -> DataFra
 
 def title(scorer: Column, points: Column, period: Column, clock: Column, away: Column, home: Column, sport: Sport) -> Column:
     """'Q3 9:40 · J. Brunson +3 · 55-81'."""
-    when = F.trim(F.concat_ws(" ", parse.period_label(period, sport.regulation, sport.prefix), parse.clock_label(clock)))
+    when = F.trim(F.concat_ws(" ", period_name(sport, period), parse.clock_label(clock)))
     play = F.concat_ws(" ", F.nullif(scorer, F.lit("")), F.when(points > 0, F.concat(F.lit("+"), points.cast("string"))))
     score = F.when(away.isNotNull() & home.isNotNull(), F.concat_ws("-", away.cast("string"), home.cast("string")))
     return F.concat_ws(" · ", F.nullif(when, F.lit("")), F.nullif(play, F.lit("")), score)
