@@ -364,6 +364,12 @@ def test_decontaminate_in_blocks_and_shards(spark, sf, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
     monkeypatch.setattr(decontaminate, "SHARD", 5_000)
     assert sorted(map(str, decontaminate.find(spark, docs, bench).collect())) == whole
+    blocks = list(decontaminate.blocks_of(((str(r.item_id), r.text) for r in bench.collect()), 300))
+    assert len(blocks) > 5
+    # however many blocks, the plan has one worker a task, and only the last pass's rows are left
+    found = decontaminate.find(spark, docs, bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and f"pass-{len(blocks) - 2}" in plan
     removed = decontaminate.remove(spark, docs, bench)
     assert decontaminate.find(spark, removed, bench).filter("size(hit_words) > 0").count() == 0
 

@@ -8,8 +8,11 @@ a wavelet tree, and all phrases are searched backwards at once by ranks. Occurre
 by walking to the nearest sampled suffix position. Overlapping occurrences merge to removal spans.
 
 Phrases come from the benchmark as windows of ten consecutive words, or the whole item where it
-has fewer. They are shipped to the tasks in blocks of bounded size, one pass for each block, and a
-long item is split between blocks; all else is one scan without a shuffle.
+has fewer. They are shipped to the tasks in blocks of bounded size; a long item is split between
+blocks. A pass searches one block, and where there are more, its rows are written before the next
+one begins: however large the benchmark, a task has one worker, and a worker one block. With one
+block all is one scan without a shuffle. The driver reads the benchmark a partition at a time and
+holds two blocks.
 
 Defined results. Null text has no words. An item without words has no window; an item with a null
 id marks words, but isn't listed. Repeated rows are judged alike, repeated items count once.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.tables import read, tidied
+from tidemark.llm.tables import Scratch, read, tidied
 
 WINDOW = 10
 #: Symbols of a shard from which the next document starts a new one.
@@ -309,10 +312,13 @@ def find(
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     rows, wide = docs.select(*dict.fromkeys((*keep, text))), list(dict.fromkeys((*keep, text)))
     # one block is held while the next is made, as the last pass has rows of its own form
-    held = Phrases().packed()
+    held, scratch = Phrases().packed(), Scratch(spark, "decontaminate")
     for k, block in enumerate(blocks_of(((r.item_id, r.text) for r in items.toLocalIterator()), BLOCK_WORDS)):
         if k:
-            rows = _mark(rows, spark.sparkContext.broadcast(held), text, wide)
+            sent = spark.sparkContext.broadcast(held)
+            rows = scratch.write(_mark(rows, sent, text, wide), f"pass-{k}")
+            sent.destroy()  # the rows are written
+            scratch.drop(f"pass-{k - 1}")
         held = block
     return _mark(rows, spark.sparkContext.broadcast(held), text, list(keep), finish, schema)
 
