@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import spread
+
 
 def asof(left: DataFrame, right: DataFrame, key: list[str], at: str, take: list[str], forward: bool = False, within: float | None = None, tie: str | None = None) -> DataFrame:
     """Left rows with the last right row at or before them (or the first at or after, if ``forward``).
@@ -115,7 +117,7 @@ def first_come(candidates: DataFrame, key: list[str], order: list[Column], owner
                 gone.update(what)
         return rows.sort_values("_rank")[keep]
 
-    return ranked.groupBy(*key).applyInPandas(run, ranked.schema).drop("_rank")
+    return spread(ranked, key).groupBy(*key).applyInPandas(run, ranked.schema).drop("_rank")
 
 
 def greedy_match(changes: DataFrame, plays: DataFrame, key: list[str], tolerance: float = 3.0, late: float = 30.0) -> DataFrame:

@@ -7,6 +7,8 @@ functions on arrays are small and are tested alone.
 from __future__ import annotations
 
 import bisect
+import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,28 +33,57 @@ def longest_chain(values: np.ndarray) -> np.ndarray:
 
 
 def heaviest_chain(values: list[float], weights: list[float]) -> np.ndarray:
-    """Mask of a heaviest non-decreasing subsequence; of equal ones the earliest predecessor and end."""
-    v, w = np.asarray(values, float), np.asarray(weights, float)
-    best, back = w.copy(), np.full(len(v), -1)
-    for i in range(1, len(v)):
-        reach = np.where(v[:i] <= v[i], best[:i], -np.inf)
-        j = int(reach.argmax())  # the first of equals
-        if reach[j] > 0:
-            best[i], back[i] = reach[j] + w[i], j
+    """Mask of a heaviest non-decreasing subsequence; of equal ones the earliest predecessor and end.
+
+    A tree of prefix maxima over the ranks of values (Fenwick's) gives each element its best predecessor.
+    """
+    v, w = np.asarray(values, float), np.asarray(weights, float).tolist()
     mask = np.zeros(len(v), bool)
-    i = int(best.argmax()) if len(v) else -1
+    if not len(v):
+        return mask
+    rank = (np.unique(v, return_inverse=True)[1] + 1).tolist()
+    size = max(rank)
+    nobody = (0.0, 1)  # weight of a chain and, of equal ones, the earlier end; nobody adds nothing
+    tree, back = [nobody] * (size + 1), [-1] * len(v)
+    top = (-math.inf, 0)
+    for i, r in enumerate(rank):
+        best, k = nobody, r
+        while k:
+            best = max(best, tree[k])
+            k &= k - 1
+        if best[0] > 0:
+            back[i] = -best[1]
+        here = (best[0] + w[i] if best[0] > 0 else w[i], -i)
+        top, k = max(top, here), r
+        while k <= size:
+            tree[k] = max(tree[k], here)
+            k += k & -k
+    i = -top[1]
     while i >= 0:
         mask[i] = True
         i = back[i]
     return mask
 
 
-def runs_of(values: np.ndarray, eligible: np.ndarray) -> pd.DataFrame:
-    """first, last, value and n of equal neighbours among eligible known values."""
+class Runs(NamedTuple):
+    """Equal neighbours among some rows: first and last row, value, number of rows."""
+
+    first: np.ndarray
+    last: np.ndarray
+    value: np.ndarray
+    n: np.ndarray
+
+    def where(self, on: np.ndarray) -> Runs:
+        return Runs(*(x[on] for x in self))
+
+
+def runs_of(values: np.ndarray, eligible: np.ndarray) -> Runs:
+    """Runs of equal neighbours among eligible known values."""
     at = np.flatnonzero(eligible & ~np.isnan(values))
     v = values[at]
-    rows = pd.DataFrame({"at": at, "value": v, "run": np.cumsum(np.concatenate([np.zeros(min(1, len(v)), int), v[1:] != v[:-1]]))})
-    return rows.groupby("run").agg(first=("at", "min"), last=("at", "max"), value=("value", "first"), n=("at", "size"))
+    edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else at
+    ends = np.concatenate([edge[1:], [len(v)]]) if len(v) else at
+    return Runs(at[edge], at[ends - 1], v[edge], ends - edge)
 
 
 def first_after(v: np.ndarray, k: int, above: float, but: float, step: int = 16) -> int:
@@ -67,25 +98,34 @@ def first_after(v: np.ndarray, k: int, above: float, but: float, step: int = 16)
     return len(v)
 
 
-def backing(runs: pd.DataFrame, replay: np.ndarray) -> np.ndarray:
+def backing(runs: Runs, replay: np.ndarray) -> np.ndarray:
     """Rows of later runs that confirm each run's value.
 
     They lie before the run that bounds it: the first of another value that is higher than it, or
     higher than any lasting value (two rows or more) seen before it. A run of one row may be a
     misread, so only runs behind a replay that follows it confirm it.
     """
-    v, n, first, last = (runs[c].to_numpy() for c in ("value", "n", "first", "last"))
-    lasting = np.where(n >= 2, v, -np.inf)
-    seen = np.concatenate([[-np.inf], np.maximum.accumulate(lasting)[:-1]]) if len(v) else v
-    bound = np.array([first_after(v, k, min(v[k], seen[k]), v[k]) for k in range(len(v))], int)
-    # a single row counts from the first run on that a replay separates from it
+    first, last, v, n = runs
+    many = len(v)
+    if not many:
+        return np.zeros(0, int)
+    seen = np.concatenate([[-np.inf], np.maximum.accumulate(np.where(n >= 2, v, -np.inf))[:-1]])
+    bound = np.array([first_after(v, k, min(v[k], seen[k]), v[k]) for k in range(many)], int)
+    # runs sorted by value, then place: one of equal value that lies beyond a mark is found by (value, mark)
+    order = np.argsort(v, kind="stable")
+    same = np.cumsum(np.concatenate([[0], np.diff(v[order]) != 0])).astype(np.int64)
+    of_run = np.empty(many, np.int64)
+    of_run[order] = same
+    place, ends = np.empty(many, np.int64), np.searchsorted(same, of_run, side="right")
+    place[order] = np.arange(many)
     replays = np.concatenate([[0], np.cumsum(replay)])
-    out = np.zeros(len(v), int)
-    for at in runs.reset_index(drop=True).groupby("value").indices.values():
-        rows = np.concatenate([[0], np.cumsum(n[at])])
-        begin = np.where(n[at] >= 2, np.arange(len(at)) + 1, np.maximum(np.arange(len(at)) + 1, np.searchsorted(replays[first[at]], replays[last[at] + 1], side="right")))
-        out[at] = np.maximum(0, rows[np.searchsorted(at, bound[at])] - rows[np.minimum(begin, len(at))])
-    return out
+    wide = max(many, int(replays[-1])) + 2
+    stop = np.searchsorted(same * wide + order, of_run * wide + bound)
+    # a single row counts from the first run on that a replay separates from it
+    apart = np.searchsorted(same * wide + replays[first[order]], of_run * wide + replays[last + 1], side="right")
+    begin = np.where(n >= 2, place + 1, np.maximum(place + 1, apart))
+    rows = np.concatenate([[0], np.cumsum(n[order])])
+    return np.maximum(0, rows[stop] - rows[np.minimum(begin, ends)])
 
 
 def clean_score(values: np.ndarray, eligible: np.ndarray, replay: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,47 +137,66 @@ def clean_score(values: np.ndarray, eligible: np.ndarray, replay: np.ndarray) ->
     """
     runs = runs_of(values, eligible)
     support = backing(runs, replay)
-    believed = (runs["n"] >= 2) | ((support > 0) & (runs["n"] + support >= 3))
-    runs, support = runs[believed], support[believed]
-    on = heaviest_chain(runs["value"].tolist(), (runs["n"] + support).tolist())
-    kept, others = runs[on], runs[~on]
+    believed = (runs.n >= 2) | ((support > 0) & (runs.n + support >= 3))
+    runs, support = runs.where(believed), support[believed]
+    on = heaviest_chain(runs.value.tolist(), (runs.n + support).tolist())
+    kept, others = runs.where(on), runs.where(~on)
     row, none = np.arange(len(values)), np.zeros(len(values), bool)
-    if not len(kept):
+    if not len(kept.first):
         return np.full(len(values), np.nan), none, none
-    starts = kept["first"].to_numpy()
-    now = np.searchsorted(starts, row, side="right") - 1
-    score = kept["value"].to_numpy()[np.maximum(now, 0)]
-    read = eligible & (now >= 0) & (row <= kept["last"].to_numpy()[np.maximum(now, 0)]) & (values == score)
-    before = np.searchsorted(starts, others["first"].to_numpy()) - 1
-    late = others[(others["n"] >= 3) & (before >= 0) & (others["value"] < kept["value"].to_numpy()[np.maximum(before, 0)])]
-    edges = np.bincount(late["first"], minlength=len(values) + 1) - np.bincount(late["last"] + 1, minlength=len(values) + 1)
+    now = np.searchsorted(kept.first, row, side="right") - 1
+    score = kept.value[np.maximum(now, 0)]
+    read = eligible & (now >= 0) & (row <= kept.last[np.maximum(now, 0)]) & (values == score)
+    before = np.searchsorted(kept.first, others.first) - 1
+    late = others.where((others.n >= 3) & (before >= 0) & (others.value < kept.value[np.maximum(before, 0)]))
+    edges = np.bincount(late.first, minlength=len(values) + 1) - np.bincount(late.last + 1, minlength=len(values) + 1)
     return score, read, np.cumsum(edges)[:-1] > 0
 
 
 def plausible(values: np.ndarray, at: np.ndarray, resets: tuple[float, ...], reach: float = 3.0, agree: int = 4, span: float = 1.5) -> np.ndarray:
-    """Mask of readings of a countdown that follow a trusted chain.
+    """Mask of readings of a countdown that belong to its course.
 
-    A reading continues the chain if it fell no faster than time (and a second), or is a reset.
-    Others wait; if ``agree`` of them agree over ``span`` seconds, the chain moves to them and the
-    waiting ones count. A chain not seen for ``reach`` seconds starts anew.
+    Readings fall into stretches: within one, each falls from the one before no faster than time (and
+    a second) and never rises. A stretch joins the course at its first reading that follows the end of the
+    course so far: in the same way, as a reset, or more than ``reach`` seconds later; what it has before
+    that reading is wrong. One that doesn't join by its ``agree``-th reading, if that lies ``span`` seconds
+    in (or by the first that does), is the course from there on, and all of it counts. Others are wrong.
     """
-    keep = ~np.isnan(values)
-    goes_on = lambda i, j: values[i] - (at[j] - at[i]) - 1.0 <= values[j] <= values[i] + 0.01
-    is_reset = lambda i, j: any(abs(values[j] - r) < 0.01 for r in resets) and values[j] >= values[i] - (at[j] - at[i]) - 1.0
-    trusted, waiting = -1, []
-    for j in np.flatnonzero(keep):
-        if trusted < 0 or at[j] - at[trusted] > reach or goes_on(trusted, j) or is_reset(trusted, j):
-            keep[waiting] = False
-            trusted, waiting = j, []
+    mask, known = np.zeros(len(values), bool), np.flatnonzero(~np.isnan(values))
+    v, t = values[known], at[known]
+    if not len(v):
+        return mask
+    falls = (v[1:] >= v[:-1] - np.diff(t) - 1.0) & (v[1:] <= v[:-1] + 0.01)
+    first = np.flatnonzero(np.concatenate([[True], ~falls]))
+    end = np.concatenate([first[1:], [len(v)]])
+    on_target = (np.abs(v[:, None] - np.array(resets, float)) < 0.01).any(1)
+    good, tail = np.zeros(len(v), bool), None
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        lasts = np.flatnonzero(t[a + agree - 1 : b] - t[a] >= span)
+        alone = a + agree - 1 + int(lasts[0]) if len(lasts) else b  # where the stretch stands on its own
+        part = slice(a, min(b, alone + 1))
+        joins = np.ones(1, bool)
+        if tail is not None:
+            age = t[part] - t[tail]
+            low = v[part] >= v[tail] - age - 1.0
+            joins = (age > reach) | (low & ((v[part] <= v[tail] + 0.01) | on_target[part]))
+        if joins.any():
+            good[a + int(joins.argmax()) : b] = True
+        elif alone < b:
+            good[a:b] = True
+        else:
             continue
-        if waiting and not goes_on(waiting[-1], j):
-            keep[waiting] = False
-            waiting = []
-        waiting.append(j)
-        if len(waiting) >= agree and at[j] - at[waiting[0]] >= span:
-            trusted, waiting = j, []
-    keep[waiting] = False
-    return keep
+        tail = b - 1
+    mask[known] = good
+    return mask
+
+
+def neighbours_fill(values: np.ndarray) -> np.ndarray:
+    """Unknown values as the last known one before them; at the head, as the first known one."""
+    known = np.flatnonzero(~np.isnan(values))
+    if not len(known):
+        return values
+    return values[known[np.maximum(np.searchsorted(known, np.arange(len(values)), side="right") - 1, 0)]]
 
 
 def next_top(clock: np.ndarray, rise: float, ahead: int, most: float, step: int = 64) -> int:
@@ -160,9 +219,9 @@ def period_of_clock(clock: np.ndarray, length: float, share: float = 0.4, ahead:
     while len(left):
         tops.append(len(known) - len(left))
         left = left[next_top(left, share * length, ahead, most) :]
-    out = pd.Series(np.nan, index=np.arange(len(clock)))
-    out.iloc[known] = np.searchsorted(tops, np.arange(len(known)), side="right")
-    return out.ffill().bfill().to_numpy()
+    out = np.full(len(clock), np.nan)
+    out[known] = np.searchsorted(tops, np.arange(len(known)), side="right")
+    return neighbours_fill(out)
 
 
 def unchanged_since_call(signature: np.ndarray, visible: np.ndarray, mean: float, most: float) -> np.ndarray:
@@ -180,6 +239,11 @@ def unchanged_since_call(signature: np.ndarray, visible: np.ndarray, mean: float
     return out
 
 
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` dealt by entity to as many tasks as shuffles have: an entity's rows may be few, but the work on each row is not, and adaptive execution looks at bytes only."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def _grouped(df: DataFrame, key: list[str], order: list[str], added: list[tuple[str, T.DataType]], fold) -> DataFrame:  # noqa: ANN001
     """``df`` with columns that ``fold`` (of an entity's ordered rows) gives."""
 
@@ -187,7 +251,7 @@ def _grouped(df: DataFrame, key: list[str], order: list[str], added: list[tuple[
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         return rows.assign(**dict(zip([n for n, _ in added], fold(rows), strict=True)))
 
-    return df.groupBy(*key).applyInPandas(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+    return spread(df, key).groupBy(*key).applyInPandas(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)]))
 
 
 def chain_mask(df: DataFrame, key: list[str], order: list[str], value: str, out: str = "on_chain") -> DataFrame:

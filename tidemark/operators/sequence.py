@@ -112,13 +112,16 @@ def running(df: DataFrame, key: Names, order: Names, value: str, out: str, reach
     return df.withColumn(out, F.coalesce(before > F.col(value) + least, F.lit(False)) | F.coalesce(after < F.col(value) - least, F.lit(False)))
 
 
-def held_for(df: DataFrame, key: Names, order: Names, value: str, at: str, out: str, reach: float) -> DataFrame:
-    """Seconds that the current value has been shown, looking back at most ``reach``."""
+def held_for(df: DataFrame, key: Names, order: Names, value: str, at: str, out: str, reach: float, among: Column | None = None) -> DataFrame:
+    """Seconds that the current value has been shown, looking back at most ``reach``; only rows ``among`` count, others get NULL."""
     w = over(key, order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")
+    own = F.lit(True) if among is None else among
+    before = F.lag(value).over(w) if among is None else F.last(F.when(own, F.col(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = (own & ~F.col(value).eqNullSafe(before)).cast("int")
     run = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    since = lately(f"min({at})", [*key, "_run"], at, reach)
-    return df.withColumn("_new", new).withColumn("_run", run).withColumn(out, F.col(at) - since).drop("_new", "_run")
+    since = lately("min(_own)", [*key, "_run"], at, reach)
+    marked = df.withColumn("_new", new).withColumn("_own", F.when(own, F.col(at))).withColumn("_run", run)
+    return marked.withColumn(out, F.when(own, F.col(at) - since)).drop("_new", "_own", "_run")
 
 
 def longest_hold_before(df: DataFrame, key: Names, at: str, held: str, value: str, reach: float, least: float) -> DataFrame:
@@ -183,8 +186,8 @@ def switched_off(df: DataFrame, key: Names, order: Names, value: str, n: int) ->
     return df.withColumn("_any", ahead).withColumn("_n", size).withColumn("_prev", F.lag(value).over(w)).filter((F.col("_n") == n) & ~F.col("_any") & F.col("_prev").isNotNull()).drop("_any", "_n", "_prev")
 
 
-def score_changes(df: DataFrame, key: Names, order: Names, score: str, read: Column, at: str, hidden: Column, index: str = "i") -> DataFrame:
-    """Increases of a score with the last row that read the old one and the hidden rows in between."""
+def score_changes(df: DataFrame, key: Names, order: Names, score: str, read: Column, at: str, hidden: Column, index: str = "i", keep: Names = ()) -> DataFrame:
+    """Increases of a score with the last row that read the old one and the hidden rows in between; ``keep``: more columns of the row."""
     w = over(key, order)
     marked = df.withColumn("_read", F.when(read, F.struct(F.col(index).alias("i"), F.col(at).alias("t")))).withColumn("_hid", F.sum(hidden.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     last = F.last("_read", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -194,4 +197,4 @@ def score_changes(df: DataFrame, key: Names, order: Names, score: str, read: Col
     # hidden rows strictly between the last read and the change: by running counts looked up at both ends
     reads = F.last(F.when(read, F.col("_hid")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     seen = seen.withColumn("_hid_read", reads).filter(F.col(score) > F.col("before"))
-    return seen.select(*key, F.col(index), F.col(at).alias("t"), F.col("_last.t").alias("t_prev"), "before", F.col(score).alias("after"), (F.col(score) - F.col("before")).alias("points"), F.greatest(F.lit(0), F.col("_hid_before") - F.coalesce("_hid_read", F.lit(0))).alias("hidden_between"))
+    return seen.select(*key, F.col(index), F.col(at).alias("t"), F.col("_last.t").alias("t_prev"), "before", F.col(score).alias("after"), (F.col(score) - F.col("before")).alias("points"), F.greatest(F.lit(0), F.col("_hid_before") - F.coalesce("_hid_read", F.lit(0))).alias("hidden_between"), *keep)

@@ -98,7 +98,7 @@ def clean_game(rows: pd.DataFrame, sport: Sport) -> list[np.ndarray]:
         period = np.full(len(raw), np.nan)
         kept = known[folds.longest_chain(raw[known])]
         period[kept] = raw[kept]
-        period = pd.Series(period).ffill().bfill().to_numpy()
+        period = folds.neighbours_fill(period)
     whole = np.minimum(period - 1, sport.regulation) * sport.period_seconds + np.maximum(period - 1 - sport.regulation, 0) * sport.overtime_seconds
     elapsed = whole + np.maximum(0, np.where(period <= sport.regulation, sport.period_seconds, sport.overtime_seconds) - clock)
     timed = np.flatnonzero(~np.isnan(elapsed))
@@ -163,15 +163,12 @@ def quality(timeline: DataFrame) -> DataFrame:
 def score_events(timeline: DataFrame, sport: Sport) -> DataFrame:
     """Score changes of both sides in order, with clock, stoppage and confidence around them."""
     tl = timeline.withColumnRenamed("t_video", "t")
-    held = sequence.held_for(tl.filter("live AND clock IS NOT NULL"), KEY, ORDER, "clock", "t", "held", 180.0).select(*KEY, "i", "held")
-    near = sequence.nearest_known(tl, KEY, ORDER, "clock", "clock_near", 3)
     w = Window.partitionBy(*KEY).orderBy("i")
-    near = near.withColumn("conf", F.min("confidence").over(w.rowsBetween(0, 1))).join(held, [*KEY, "i"], "left")
-    sides = []
-    for team in ("away", "home"):
-        found = sequence.score_changes(tl.filter(F.col(f"score_{team}").isNotNull()), KEY, ORDER, f"score_{team}", F.col(f"{team}_read"), "t", ~F.col("live"))
-        sides.append(found.withColumn("team", F.lit(team)))
-    both = sides[0].unionByName(sides[1]).join(near.select(*KEY, "i", "period", F.col("clock_near").alias("clock"), "held", "conf", "score_away", "score_home"), [*KEY, "i"])
+    near = sequence.nearest_known(tl, KEY, ORDER, "clock", "clock_near", 3).withColumn("conf", F.min("confidence").over(w.rowsBetween(0, 1)))
+    held = sequence.held_for(near, KEY, ORDER, "clock", "t", "held", 180.0, F.col("live") & F.col("clock").isNotNull())
+    side = lambda team: F.struct(F.lit(team).alias("team"), F.col(f"score_{team}").alias("score"), F.col(f"{team}_read").alias("read"))
+    sides = held.withColumn("clock", F.col("clock_near")).withColumn("_side", F.explode(F.array(side("away"), side("home")))).select("*", "_side.*").filter("score IS NOT NULL")
+    both = sequence.score_changes(sides, [*KEY, "team"], ORDER, "score", F.col("read"), "t", ~F.col("live"), keep=["period", "clock", "held", "conf", "score_away", "score_home"])
     notes = F.filter(
         F.array(
             F.when(F.col("hidden_between") >= 2, F.format_string("score appeared after %.0fs without a readable live bug", F.col("t") - F.col("t_prev"))),
