@@ -10,10 +10,15 @@ a leaf it is, is told by the exact counts of all words over all documents, less
 occurrence, as that is masked; a word that occurs nowhere else gets a small share of its leaf. A
 document's score is the sum of the conditional log-probabilities of its tokens.
 
-The network is trained in numpy on all tokens of all documents: rows are dealt to tasks by a hash
-of id and text, about ``TASK_TOKENS`` tokens a task, so the split does not depend on files or
-partitions. Each task runs Adagrad from the same start; a parameter is then averaged over the tasks
-by how often each used it. Words are counted in a table; only the words with leaves of their own
+The network is trained in numpy on all documents: rows are dealt to tasks by a hash of id and text,
+about ``TASK_TOKENS`` tokens a task, and sorted there. A row that is repeated in full trains it once (counts
+have it as often as it occurs), so no id and text is too much for a task. Each task runs Adagrad
+from the same start; a parameter is then averaged over the tasks by how often each used it.
+
+Results do not hang on files, partitions or batches: what is added up over tasks are whole numbers (parameters
+and log-probabilities in fixed point), and scores multiply hidden values and parameters in fixed
+point of so few bits that their sums are exact in double precision, in whatever order a library adds.
+ Words are counted in a table; only the words with leaves of their own
 and the parameters are collected and broadcast, whose number grows with the square root of the
 vocabulary. Rare words of documents meet their counts in a shuffle join; no rare word is hot, since
 a frequent word is none of them. (They meet by 64-bit hashes.)
@@ -42,11 +47,15 @@ from tidemark.llm.decontaminate import words_of
 from tidemark.llm.tables import Scratch, read, tidied
 
 #: Leaves for each square root of the number of distinct words, and the part of them that rare words share.
-PER_ROOT, SHARED = 4, 0.25
+PER_ROOT, SHARED = 3, 0.25
 ENDING = 3
 SIDES = (-2, -1, 1, 2)
 HIDDEN, BATCH, RATE, SEED = 16, 16_384, 0.2, 20
 TASK_TOKENS = 4_000_000
+#: Fixed point of sums of parameters, of the factors of scores, and of the log-probabilities of rare words, in bits; the largest parameter of a score.
+PARAMETER_BITS, SCORE_BITS, WORD_BITS, LARGEST = 24, 20, 30, 63.0
+#: Repeats of a row from which repeats are dropped before rows are dealt to tasks, and not only after.
+REPEATED = 1000
 #: Occurrences that are added to those of each rare word, and once for all unseen ones.
 ADDED = 0.1
 #: Seed of the 64-bit hashes by which rare words meet their counts (Spark's own).
@@ -167,17 +176,30 @@ class Network:
         """Log-probabilities of leaves y in contexts x."""
         order = np.argsort(y, kind="stable")
         x, y = x[:, order], y[order]
-        h, rows, side = self.hidden(x), np.arange(len(y)), self.tree.side
-        z = _bounded(h @ self.classes.T)
+        h, rows, side = fixed(self.hidden(x)), np.arange(len(y)), self.tree.side
+        classes, inner = (fixed(np.clip(w, -LARGEST, LARGEST)) for w in (self.classes, self.inner))
+        z = _bounded((h @ classes.T).astype(np.float32))
         got = z[rows, y // side] - np.log(np.exp(z).sum(axis=1))
         for k, lo, hi in self.by_class(y):
-            z = _bounded(h[lo:hi] @ self.inner[k * side : (k + 1) * side].T)
+            z = _bounded((h[lo:hi] @ inner[k * side : (k + 1) * side].T).astype(np.float32))
             got[lo:hi] += z[rows[: hi - lo], y[lo:hi] - k * side] - np.log(np.exp(z).sum(axis=1))
         out = np.empty(len(y))
         out[order] = got
         return out
 
 
+def fixed(x: np.ndarray) -> np.ndarray:
+    """Doubles that are whole multiples of 2 ** -SCORE_BITS.
+
+    A product of one below 1 and one below 64 has 46 bits, and the sum of all of a hidden layer less than 53.
+    """
+    out = x.astype(np.float64)
+    out *= 2.0**SCORE_BITS
+    np.rint(out, out=out)
+    out *= 2.0**-SCORE_BITS
+    return out
+
+
 def _bounded(z: np.ndarray) -> np.ndarray:
     """Exponentials of what is bounded stay finite without a shift."""
     return np.clip(z, -60, 60, out=z)
@@ -259,18 +281,33 @@ def fit_network(spark: SparkSession, docs: DataFrame, tree: Tree, tokens: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, leaf_of = Trainer(sent.value), LeafOf(sent.value)
-        own.train(leaf_of.of(words_of(x.as_py())) for b in batches for x in b.column("text").cast(pa.binary()))
+
+        def texts() -> Iterator[np.ndarray]:
+            last = None
+            for b in batches:
+                for row in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary())):
+                    now = row[0], row[1].as_py()
+                    if now != last:  # repeats stand together
+                        yield leaf_of.of(words_of(now[1]))
+                    last = now
+
+        own.train(texts())
         used = np.flatnonzero(own.uses)
         for k in range(0, len(used), 10_000):
             at = used[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.uses[at]), *(pa.array(x) for x in own.table[at].T)], names=["at", "uses", *xs])
-
-    dealt = docs.select("doc_id", "text").filter("text IS NOT NULL").repartition(max(1, -(-tokens // TASK_TOKENS)), "doc_id", "text").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    trained = dealt.mapInArrow(tidied(run), ", ".join(["at long, uses long", *(f"{x} float" for x in xs)]))
+            whole = np.rint(own.table[at].astype(np.float64) * 2**PARAMETER_BITS).astype(np.int64) * own.uses[at][:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.uses[at]), *(pa.array(x) for x in whole.T)], names=["at", "uses", *xs])
+
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    most = rows.groupBy("doc_id", F.xxhash64("text")).count().agg(F.max("count")).first()[0] or 0
+    rows = rows.distinct() if most > REPEATED else rows
+    dealt = rows.repartition(max(1, -(-tokens // TASK_TOKENS)), "doc_id", "text").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    trained = dealt.mapInArrow(tidied(run), ", ".join(["at long, uses long", *(f"{x} long" for x in xs)]))
     # one row for each vector that any task used
-    mean = trained.groupBy("at").agg(*((F.sum(F.col(x) * F.col("uses")) / F.sum("uses")).alias(x) for x in xs)).toArrow()
+    sums = trained.groupBy("at").agg(F.sum("uses").alias("uses"), *(F.sum(F.col(x).cast("decimal(20,0)")).cast("double").alias(x) for x in xs)).toArrow()
     out = Network(tree)
-    out.table[mean.column("at").to_numpy()] = np.stack([mean.column(x).to_numpy() for x in xs], axis=1) if len(mean) else out.table[:0]
+    if len(sums):
+        out.table[sums.column("at").to_numpy()] = np.stack([sums.column(x).to_numpy() for x in xs], axis=1) / sums.column("uses").to_numpy()[:, None] / 2**PARAMETER_BITS
     return out
 
 
@@ -322,12 +359,14 @@ def score_leaves(spark: SparkSession, docs: DataFrame, network: Network) -> Data
             sizes = np.array([len(t) for t in held])
             x, y = np.concatenate([net.contexts(t) for t in held], axis=1), np.concatenate(held)
             each = [net.scores(x[:, k : k + BATCH], y[k : k + BATCH]) for k in range(0, len(y), BATCH)]
-            ends, total = np.cumsum(sizes), np.concatenate([[0.0], np.cumsum(np.concatenate(each) if each else [])])
+            every = np.concatenate([*each, [0.0]])
+            starts = np.cumsum(sizes) - sizes
+            sums = np.where(sizes > 0, np.add.reduceat(every, starts), 0.0)  # each document's own, in its order
             h, leaves, times = (np.concatenate(c) for c in zip(*rare, strict=True))
             structs = pa.StructArray.from_arrays([pa.array(h), pa.array(leaves.astype(np.int32)), pa.array(times.astype(np.int32))], names=["h", "leaf", "times"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rare])]).astype(np.int32)), structs)
             return pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), pa.array(sizes), pa.array(total[ends] - total[ends - sizes]), lists], names=["row", "doc_id", "n_tokens", "of_leaves", "rare"]
+                [rows.column("row"), rows.column("doc_id"), pa.array(sizes), pa.array(sums), lists], names=["row", "doc_id", "n_tokens", "of_leaves", "rare"]
             )
 
         for batch in batches:
@@ -362,7 +401,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> D
     met = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(known, "h", "left")
     if not own:
         met = met.join(shared, "leaf", "left").withColumn("inside", F.coalesce("inside", inside(F.lit(None), F.col("tokens"), F.col("words"), 0)))
-    within = met.groupBy("row").agg(F.sum(F.col("times") * F.col("inside")).alias("of_words"))
+    # whole numbers, whose sum hangs on no order
+    fixed = F.col("times").cast("decimal(10,0)") * F.round(F.col("inside") * 2**WORD_BITS).cast("long").cast("decimal(19,0)")
+    within = met.groupBy("row").agg((F.sum(fixed).cast("double") / 2**WORD_BITS).alias("of_words"))
     log_prob = F.round(F.col("of_leaves") + F.coalesce("of_words", F.lit(0.0)), 6)
     return scored.drop("rare").join(within, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
 

@@ -10,7 +10,9 @@ strings three quarters of a byte a character or more.
 
 A context is sensitive within ``REACH`` characters on both sides of a sensitive word; candidates
 there have ``LEAST_NOVEL`` characters or more. A string that such a word names directly (``is``,
-``=``, ``:``) is a candidate from ``LEAST_NAMED`` characters on, against a higher threshold.
+``=``, ``:``) is a candidate from ``LEAST_NAMED`` characters on, against a higher threshold. Hosts,
+paths, dates and other names made of words and short numbers are none (``is_name``), and
+strings of digits alone are only where they are named.
 
 Defined results. Null or empty text has no spans. Positions are code points, end exclusive.
 A text of any length is searched whole, in time that grows with its length. Repeated rows have the
@@ -44,13 +46,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)  # a shorter maximal run can't hold a match
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Words that make what lies within REACH characters sensitive.
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api.?key|credential|private.?key|bearer|authorization|signature|client.?id|access.?key|auth", re.ASCII | re.IGNORECASE | re.DOTALL)
+#: Words that make what lies within REACH characters sensitive. ``auth`` and the like must end where they end: "author" and "secretary" are other words.
+SENSITIVE = re.compile(
+    r"pass(?:word|wd|phrase)|secrets?(?!(?-i:[a-z]))|tokens?(?!(?-i:[a-z]))|api.?key|credential|private.?key|bearer(?!(?-i:[a-z]))|authorization|signature|client.?id(?!(?-i:[a-z]))|access.?key"
+    r"|(?<![A-Za-z])o?auth(?!(?-i:[a-z]))|(?-i:(?<=[a-z])Auth)(?!(?-i:[a-z]))", re.ASCII | re.IGNORECASE | re.DOTALL,
+)
 REACH = 128
 LEAST_NOVEL, LEAST_NAMED = 16, 8
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_NOVEL},}}", re.ASCII)
 #: What stands between a sensitive word and the string that it names.
 NAMED = re.compile(rf"""["']?\s{{0,4}}(?:is|was|:=|=>|=|:)\s{{0,4}}["']?([A-Za-z0-9+/_.=-]{{{LEAST_NAMED},}})""", re.ASCII)
+#: Parts of hosts, paths, versions, dates and other dotted or hyphened names: a word, a few digits, or a word with a few digits behind it.
+NAME_PART = re.compile(r"[A-Za-z]{0,20}[0-9]{0,4}", re.ASCII)
+SPLIT = re.compile(r"[./=+-]+")
+DIGITS = re.compile(r"[0-9./_=+-]+", re.ASCII)
+#: Words put together by their capitals, as identifiers are.
+CAMEL = re.compile(r"[A-Za-z]?[a-z]+(?:[A-Z][a-z]{2,})+[0-9]{0,4}", re.ASCII)
 #: A candidate's own bytes for each of its characters, from which it counts as incompressible.
 NOVELTY, NAMED_NOVELTY = 0.7, 0.85
 #: Characters on each side that are compressed with a candidate.
@@ -118,6 +129,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def is_name(candidate: str, named: bool) -> bool:
+    """Whether a string is put together of words and short numbers (hosts, paths, versions), or only of digits and nobody named it."""
+    if DIGITS.fullmatch(candidate):
+        return not named
+    if CAMEL.fullmatch(candidate):
+        return True
+    parts = [p for p in SPLIT.split(candidate) if p]
+    # any other string without separators is no name, whatever its letters
+    return len(parts) > 1 and all(NAME_PART.fullmatch(p) and (len(p) < LEAST_NAMED or p.islower() or p.istitle() or p.isupper()) for p in parts)
+
+
 class Places:
     """Disjoint spans in order, asked whether one of them touches a stretch of text."""
 
@@ -139,11 +161,11 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, t
     # contexts may overlap, but their starts and ends are both in order, which is all that is asked of them
     out = {
         m.span() for m in CANDIDATE.finditer(text)
-        if near.touch(*m.span()) and not taken.touch(*m.span()) and len(m[0].strip("._-=/")) >= LEAST_NOVEL and novelty.incompressible(text, *m.span(), threshold)
+        if near.touch(*m.span()) and not taken.touch(*m.span()) and len(m[0].strip("._-=/")) >= LEAST_NOVEL and not is_name(m[0], False) and novelty.incompressible(text, *m.span(), threshold)
     }
     for _, end in words:
         m = NAMED.match(text, end)
-        if m and m.span(1) not in out and not taken.touch(*m.span(1)) and len(m[1].strip("._-=/")) >= LEAST_NAMED and novelty.incompressible(text, *m.span(1), named):
+        if m and m.span(1) not in out and not taken.touch(*m.span(1)) and len(m[1].strip("._-=/")) >= LEAST_NAMED and not is_name(m[1], True) and novelty.incompressible(text, *m.span(1), named):
             out.add(m.span(1))
     return [(a, b, "novel") for a, b in sorted(out)]
 
