@@ -47,11 +47,13 @@ from tidemark.llm.decontaminate import words_of
 from tidemark.llm.tables import Scratch, read, tidied
 
 #: Leaves for each square root of the number of distinct words, and the part of them that rare words share.
-PER_ROOT, SHARED = 3, 0.25
+PER_ROOT, SHARED = 2, 0.25
 ENDING = 3
 SIDES = (-2, -1, 1, 2)
 HIDDEN, BATCH, RATE, SEED = 16, 16_384, 0.2, 20
 TASK_TOKENS = 4_000_000
+#: Tokens whose classes are computed at once: what they need stays in the processor's caches.
+STRETCH = 2048
 #: Fixed point of sums of parameters, of the factors of scores, and of the log-probabilities of rare words, in bits; the largest parameter of a score.
 PARAMETER_BITS, SCORE_BITS, WORD_BITS, LARGEST = 24, 20, 30, 63.0
 #: Repeats of a row from which repeats are dropped before rows are dealt to tasks, and not only after.
@@ -90,23 +92,27 @@ class Tree:
         return len(SIDES) * (self.leaves + 1) + self.side + self.leaves + 1
 
 
-class LeafOf(dict):
-    """Leaves of words; remembered ones are emptied when many, which costs time only."""
+class Endings(dict):
+    """Leaves of endings, which are few."""
 
     def __init__(self, tree: Tree):
-        self.tree = tree
-        self.own = {w: k for k, w in enumerate(tree.words)}
-        super().__init__(self.own)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update(self.own)
-        out = self[word] = self.tree.alone + zlib.crc32(word[-ENDING:]) % self.tree.shared
+        super().__init__()
+        self.first, self.many = tree.alone, tree.shared
+
+    def __missing__(self, ending: bytes) -> int:
+        out = self[ending] = self.first + zlib.crc32(ending) % self.many
         return out
 
+
+class LeafOf:
+    """Leaves of words."""
+
+    def __init__(self, tree: Tree):
+        self.own, self.endings = {w: k for k, w in enumerate(tree.words)}, Endings(tree)
+
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        own, endings = self.own.get, self.endings
+        return np.fromiter((endings[w[-ENDING:]] if (k := own(w)) is None else k for w in words), np.int32, len(words))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -178,11 +184,17 @@ class Network:
         x, y = x[:, order], y[order]
         h, rows, side = fixed(self.hidden(x)), np.arange(len(y)), self.tree.side
         classes, inner = (fixed(np.clip(w, -LARGEST, LARGEST)) for w in (self.classes, self.inner))
-        z = _bounded((h @ classes.T).astype(np.float32))
-        got = z[rows, y // side] - np.log(np.exp(z).sum(axis=1))
+        got = np.empty(len(y), np.float32)
+
+        def settle(lo: int, hi: int, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+            z = _bounded((h[lo:hi] @ w.T).astype(np.float32))
+            chosen = z[rows[: hi - lo], at]
+            return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+
+        for lo in range(0, len(y), STRETCH):
+            got[lo : lo + STRETCH] = settle(lo, min(lo + STRETCH, len(y)), classes, y[lo : lo + STRETCH] // side)
         for k, lo, hi in self.by_class(y):
-            z = _bounded((h[lo:hi] @ inner[k * side : (k + 1) * side].T).astype(np.float32))
-            got[lo:hi] += z[rows[: hi - lo], y[lo:hi] - k * side] - np.log(np.exp(z).sum(axis=1))
+            got[lo:hi] += settle(lo, hi, inner[k * side : (k + 1) * side], y[lo:hi] - k * side)
         out = np.empty(len(y))
         out[order] = got
         return out
@@ -220,16 +232,24 @@ class Trainer(Network):
         """(parameters, squares, rows, gradient) of the summed loss of leaves y, sorted by class, in contexts x; rows are not repeated."""
         side = self.tree.side
         h = self.hidden(x)
-        d = np.exp(_bounded(h @ self.classes.T))
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(y)), y // side] -= 1
-        dh = d @ self.classes
-        found = [(self.classes, self.sq_classes, slice(None), d.T @ h)]
+        rows, dh, of_classes = np.arange(len(y)), np.empty_like(h), np.zeros_like(self.classes)
+
+        def differences(lo: int, hi: int, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+            d = _bounded(h[lo:hi] @ w.T)
+            np.exp(d, out=d)
+            d /= d.sum(axis=1, keepdims=True)
+            d[rows[: hi - lo], at] -= 1
+            return d
+
+        for lo in range(0, len(y), STRETCH):
+            hi = min(lo + STRETCH, len(y))
+            d = differences(lo, hi, self.classes, y[lo:hi] // side)
+            np.matmul(d, self.classes, out=dh[lo:hi])
+            of_classes += d.T @ h[lo:hi]
+        found = [(self.classes, self.sq_classes, slice(None), of_classes)]
         for k, lo, hi in self.by_class(y):
             at = slice(k * side, (k + 1) * side)
-            d = np.exp(_bounded(h[lo:hi] @ self.inner[at].T))
-            d /= d.sum(axis=1, keepdims=True)
-            d[np.arange(hi - lo), y[lo:hi] - k * side] -= 1
+            d = differences(lo, hi, self.inner[at], y[lo:hi] - k * side)
             dh[lo:hi] += d @ self.inner[at]
             found.append((self.inner, self.sq_inner, at, d.T @ h[lo:hi]))
         dh *= 1 - h * h  # zero for the one behind
