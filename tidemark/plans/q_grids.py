@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import arrays, grids
+from tidemark.operators import arrays, fields, grids
 from tidemark.sources.files import table
 
 WIDTH = 8
@@ -198,3 +198,27 @@ QUERIES = {
     f.__name__: f
     for f in (grid_regions, grid_regions_by_sides, grid_labels, grid_growth, shrink_search, field_neighbours, field_padding, field_separation, free_run, masked_decode)
 }
+
+
+def _texts(spark, sf_dir):
+    """Text boxes of labels as sources, ten places each: every place is hit by many vectors, a little off."""
+    e = table(spark, sf_dir, "embeddings")
+    off = lambda i: F.col("embedding")[i].cast("double") / 100
+    place = F.col("vec_id") % 10
+    x, y = place % 5 * 0.2 + 0.02 + off(0), F.floor(place / 5) * 0.4 + 0.1 + off(1)
+    return e.select("label", F.col("vec_id").alias("id"), (F.col("vec_id") % 4 == 0).alias("split"), x.alias("x0"), y.alias("y0"), (x + 0.12 + off(2)).alias("x1"), (y + 0.06 + off(3)).alias("y1"))
+
+
+def field_clusters(spark, sf_dir):
+    out = fields.field_boxes(fields.clusters(_texts(spark, sf_dir), ["label"], 0.25), ["label"])
+    return out.select("label", "field", "n", *(F.round(c, 9).alias(c) for c in out.columns[3:]))
+
+
+# a place's boxes are alike enough to be one field, whose first member is its least exact id
+SQL["field_clusters"] = """WITH e AS (SELECT label, vec_id AS id, vec_id % 4 = 0 AS split, vec_id % 10 AS place, list_transform(embedding, lambda x: x::DOUBLE / 100) AS o FROM embeddings),
+  p AS (SELECT label, id, split, place, place % 5 * 0.2::DOUBLE + 0.02::DOUBLE + o[1] AS x0, place // 5 * 0.4::DOUBLE + 0.1::DOUBLE + o[2] AS y0, o FROM e),
+  b AS (SELECT label, id, split, place, x0, y0, x0 + 0.12::DOUBLE + o[3] AS x1, y0 + 0.06::DOUBLE + o[4] AS y1 FROM p),
+  g AS (SELECT label, coalesce(min(id) FILTER (NOT split), min(id)) AS field, count(*) AS n, list(x0 ORDER BY x0)[count(*) // 2 + 1] AS x0, list(y0 ORDER BY y0)[count(*) // 2 + 1] AS y0, list(x1 ORDER BY x1)[count(*) // 2 + 1] AS x1, list(y1 ORDER BY y1)[count(*) // 2 + 1] AS y1,
+    coalesce(min(x0) FILTER (NOT split), min(x0)) AS union_x0, coalesce(min(y0) FILTER (NOT split), min(y0)) AS union_y0, coalesce(max(x1) FILTER (NOT split), max(x1)) AS union_x1, coalesce(max(y1) FILTER (NOT split), max(y1)) AS union_y1 FROM b GROUP BY label, place)
+  SELECT label, field, n, round(x0, 9) AS x0, round(y0, 9) AS y0, round(x1, 9) AS x1, round(y1, 9) AS y1, round(union_x0, 9) AS union_x0, round(union_y0, 9) AS union_y0, round(union_x1, 9) AS union_x1, round(union_y1, 9) AS union_y1 FROM g"""
+QUERIES["field_clusters"] = field_clusters
