@@ -191,6 +191,25 @@ SQL = {
       full_ AS (SELECT user_id, ids, prev, list_min(list_filter(range(1, n + 1), lambda j: best[j] = list_max(best))) AS last FROM fwd WHERE k = n),
       back AS (SELECT user_id, ids, prev, last AS pos FROM full_ UNION ALL SELECT user_id, ids, prev, prev[pos] FROM back WHERE prev[pos] > 0)
       SELECT e.event_id, b.event_id IS NOT NULL AS on_chain FROM e LEFT JOIN (SELECT ids[pos] AS event_id FROM back) b ON e.event_id = b.event_id""",
+    "clean_scores": f"""WITH RECURSIVE {EV}, x AS (SELECT event_id, user_id, i, floor(i / 6 + value / 400) AS v, event_type <> 'error' AS e FROM ev),
+      known AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY i) AS pv FROM x WHERE e AND v IS NOT NULL),
+      r0 AS (SELECT *, sum((pv IS NULL OR v <> pv)::INT) OVER (PARTITION BY user_id ORDER BY i) AS run FROM known),
+      runs AS (SELECT user_id, run, any_value(v) AS v, min(i) AS f, max(i) AS l, count(*) AS n FROM r0 GROUP BY 1, 2),
+      seen AS (SELECT *, max(CASE WHEN n >= 2 THEN v END) OVER (PARTITION BY user_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM runs),
+      bound AS (SELECT a.user_id, a.run, min(b.run) AS stop FROM seen a JOIN runs b ON a.user_id = b.user_id AND b.run > a.run AND b.v <> a.v AND b.v > least(a.v, coalesce(a.s, -1e18)) GROUP BY 1, 2),
+      backed AS (SELECT a.user_id, a.run, coalesce(sum(b.n), 0) AS support FROM seen a LEFT JOIN bound o ON o.user_id = a.user_id AND o.run = a.run LEFT JOIN runs b ON b.user_id = a.user_id AND b.run > a.run AND b.v = a.v AND a.n >= 2 AND (o.stop IS NULL OR b.run < o.stop) GROUP BY 1, 2),
+      k AS (SELECT r.*, (r.n + support)::DOUBLE AS w, row_number() OVER (PARTITION BY r.user_id ORDER BY r.run) AS k FROM runs r JOIN backed b ON b.user_id = r.user_id AND b.run = r.run WHERE r.n >= 2),
+      g AS (SELECT user_id, list(v ORDER BY k) AS v, list(w ORDER BY k) AS w, count(*) AS n FROM k GROUP BY user_id),
+      fwd AS (SELECT user_id, v, w, n, 0::BIGINT AS k, []::DOUBLE[] AS best, []::BIGINT[] AS prev FROM g
+        UNION ALL SELECT user_id, v, w, n, k + 1, list_append(best, w[k + 1] + m), list_append(prev, CASE WHEN m > 0 THEN list_min(list_filter(range(1, k + 1), lambda j: v[j] <= v[k + 1] AND best[j] = m)) ELSE 0 END)
+        FROM (SELECT *, coalesce(list_max(list_transform(list_filter(range(1, k + 1), lambda j: v[j] <= v[k + 1]), lambda j: best[j])), 0) AS m FROM fwd WHERE k < n)),
+      full_ AS (SELECT user_id, prev, list_min(list_filter(range(1, n + 1), lambda j: best[j] = list_max(best))) AS last FROM fwd WHERE k = n),
+      back AS (SELECT user_id, prev, last AS pos FROM full_ UNION ALL SELECT user_id, prev, prev[pos] FROM back WHERE prev[pos] > 0),
+      kept AS (SELECT k.* FROM k JOIN back ON back.user_id = k.user_id AND back.pos = k.k),
+      gone AS (SELECT o.user_id, o.f, o.l FROM (SELECT k.* FROM k ANTI JOIN kept ON kept.user_id = k.user_id AND kept.k = k.k WHERE k.n >= 3) o ASOF JOIN kept ON kept.user_id = o.user_id AND o.f > kept.f WHERE o.v < kept.v)
+      SELECT x.event_id, coalesce(a.v, (SELECT arg_min(c.v, c.f) FROM kept c WHERE c.user_id = x.user_id)) AS score, coalesce(x.e AND x.i <= a.l AND x.v = a.v, false) AS score_read,
+        EXISTS (SELECT 1 FROM gone WHERE gone.user_id = x.user_id AND x.i BETWEEN gone.f AND gone.l) AS behind
+      FROM x ASOF LEFT JOIN kept a ON a.user_id = x.user_id AND x.i >= a.f""",
     "signature_reuse": f"""WITH RECURSIVE {EV}, f AS (
         SELECT user_id, -1::BIGINT AS i, NULL::BIGINT AS event_id, NULL::DOUBLE AS last, false AS reused FROM (SELECT DISTINCT user_id FROM ev)
         UNION ALL
