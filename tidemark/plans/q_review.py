@@ -139,6 +139,15 @@ SQL = {
       SELECT label, template_id, n_alike, n FROM k WHERE r = 1""",
     "nearest_label": """WITH e AS (SELECT vec_id // 10 AS frame, vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3] > 0 AS num FROM embeddings), p AS (SELECT a.frame, a.id, b.id AS label_id, abs(a.x - b.x) + 2 * abs(a.y - b.y) AS d FROM e a JOIN e b ON a.frame = b.frame AND a.num AND NOT b.num)
       SELECT frame, id, label_id, round(d, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY frame, id ORDER BY d, label_id) AS r FROM p) WHERE r = 1""",
+    "box_clusters": """WITH RECURSIVE b AS (SELECT label, vec_id AS id, vec_id % 3 = 0 AS split, abs(embedding[1]::DOUBLE) AS x0, abs(embedding[2]::DOUBLE) AS y0, abs(embedding[1]::DOUBLE) + abs(embedding[3]::DOUBLE) + 0.2::DOUBLE AS x1, abs(embedding[2]::DOUBLE) + abs(embedding[4]::DOUBLE) + 0.1::DOUBLE AS y1 FROM embeddings),
+      n AS (SELECT label, id, {'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1} AS b, row_number() OVER (PARTITION BY label ORDER BY split, id) AS k FROM b),
+      f AS (SELECT DISTINCT label, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS cluster, []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS heads FROM n
+        UNION ALL SELECT label, k, id, coalesce(hit, len(heads)), CASE WHEN hit IS NULL THEN list_append(heads, b) ELSE heads END FROM (
+          SELECT n.label, n.k, n.id, n.b, f.heads, (SELECT min(j) FROM (SELECT unnest(range(0, len(f.heads))) AS j, unnest(f.heads) AS h) WHERE
+              greatest(least(n.b.x1, h.x1) - greatest(n.b.x0, h.x0), 0) * greatest(least(n.b.y1, h.y1) - greatest(n.b.y0, h.y0), 0)
+              / greatest((n.b.x1 - n.b.x0) * (n.b.y1 - n.b.y0) + (h.x1 - h.x0) * (h.y1 - h.y0) - greatest(least(n.b.x1, h.x1) - greatest(n.b.x0, h.x0), 0) * greatest(least(n.b.y1, h.y1) - greatest(n.b.y0, h.y0), 0), 1e-12) >= 0.3) AS hit
+          FROM f JOIN n ON n.label = f.label AND n.k = f.k + 1))
+      SELECT label, id, cluster FROM f WHERE k > 0""",
     "clip_filter": "SELECT o_custkey::VARCHAR AS game_id, o_orderkey AS clip_order, o_orderkey % 100 / 100.0::DOUBLE AS confidence, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 100, o_orderkey)::INT AS place FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0 AND o_orderkey % 100 / 100.0::DOUBLE < 0.7",
     "caption_text": """WITH o AS (SELECT *, o_orderkey % 25 AS d, CASE WHEN o_custkey % 2 = 0 THEN ' vs ' || o_orderstatus ELSE '' END AS v FROM orders)
       SELECT o_orderkey, CASE WHEN d >= 10 AND o_custkey % 3 = 0 THEN o_orderpriority || ' ' || d || '-point comeback' || v WHEN d >= 10 THEN o_orderpriority || ' run from ' || d || ' down' || v ELSE 'Every ' || o_orderpriority || ' bucket' || v END AS title,
