@@ -278,7 +278,23 @@ CELLS = f"{PX}, cells AS (SELECT vec_id, label, unnest(px) AS x, generate_subscr
 PLAYS = f"""{RUNNING}, ch AS (SELECT user_id, event_id AS change_id, own - 1 - event_id % 2 AS before, own AS after, 1 + event_id % 2 AS points FROM r WHERE event_type = 'purchase'),
   pl AS (SELECT user_id, event_id AS play_id, own AS score FROM r WHERE event_type = 'purchase')"""
 
+#: Candidates in the order of their turns, then the choice of one after the other.
+MATCHED = f"""{EV}, own AS (SELECT user_id, event_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY i) AS own, floor(t / (7 * {DAY}))::BIGINT AS period, t / 3600 AS clock FROM ev WHERE event_type = 'purchase'),
+  c AS (SELECT user_id, event_id AS change_id, own - 1 - event_id % 2 AS before, own AS after, 1 + event_id % 2 AS points, period, clock FROM own), y AS (SELECT user_id, event_id AS play_id, own AS score, period, clock + value / 20 AS clock FROM own),
+  steps AS (SELECT c.user_id, change_id, any_value(points) AS points, count(*) AS worth, list(play_id ORDER BY score) AS ids, max(after) AS after FROM c JOIN y ON y.user_id = c.user_id AND y.score > before AND y.score <= after GROUP BY 1, 2),
+  chain AS (SELECT s.user_id, s.change_id, ids, abs(c.clock - y.clock) AS diff FROM steps s JOIN c ON c.user_id = s.user_id AND c.change_id = s.change_id JOIN y ON y.user_id = s.user_id AND y.play_id = ids[-1] WHERE worth = s.points AND c.period = y.period),
+  cand AS (SELECT user_id, change_id, CASE WHEN diff <= 3 THEN 1 ELSE 3 END AS turn, ids, diff FROM chain WHERE diff <= 30 OR diff IS NULL
+    UNION ALL SELECT c.user_id, change_id, 2, [play_id], abs(c.clock - y.clock) FROM c JOIN y ON y.user_id = c.user_id AND y.period = c.period AND c.points = 1 AND abs(c.clock - y.clock) <= 3.000001::DOUBLE),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn, change_id, diff, ids[1] DESC) AS r FROM cand),
+  f AS (SELECT DISTINCT user_id, 0::BIGINT AS r, []::BIGINT[] AS owners, []::BIGINT[] AS gone, NULL::BIGINT AS change_id, NULL::BIGINT[] AS ids, 0 AS turn, NULL::DOUBLE AS diff, false AS kept FROM ranked
+    UNION ALL SELECT user_id, r, CASE WHEN ok THEN list_append(owners, change_id) ELSE owners END, CASE WHEN ok THEN list_concat(gone, ids) ELSE gone END, change_id, ids, turn, diff, ok FROM (
+      SELECT n.user_id, n.r, f.owners, f.gone, n.change_id, n.ids, n.turn, n.diff, NOT list_contains(f.owners, n.change_id) AND NOT list_has_any(f.gone, n.ids) AS ok FROM f JOIN ranked n ON n.user_id = f.user_id AND n.r = f.r + 1)),
+  matched AS (SELECT user_id, change_id, ids, diff, CASE WHEN len(ids) > 1 THEN 'merged' WHEN turn = 3 THEN 'score' ELSE 'clock' END AS how FROM f WHERE kept)"""
 SQL = {
+    "greedy_match": f"WITH RECURSIVE {MATCHED} SELECT user_id, change_id, array_to_string(ids, ',') AS plays, how, round(diff, 6) AS clock_diff FROM matched",
+    "match_summary": f"""WITH RECURSIVE {MATCHED}, m AS (SELECT user_id, count(*) AS matched, count(*) FILTER (how = 'clock') AS by_clock FROM matched GROUP BY 1),
+      u AS (SELECT user_id, count(*) AS n FROM c ANTI JOIN matched USING (user_id, change_id) GROUP BY 1), v AS (SELECT user_id, count(*) AS n FROM y ANTI JOIN (SELECT user_id, unnest(ids) AS play_id FROM matched) USING (user_id, play_id) GROUP BY 1)
+      SELECT user_id, coalesce(matched, 0) AS matched, coalesce(by_clock, 0) AS by_clock, coalesce(u.n, 0) AS unmatched_changes, coalesce(v.n, 0) AS unmatched_plays FROM m FULL JOIN u USING (user_id) FULL JOIN v USING (user_id)""",
     "largest_deficit": f"WITH {RUNNING}, d AS (SELECT *, opp - own AS deficit FROM r WHERE event_type = 'error' AND opp > own), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY deficit DESC, i DESC) AS rn FROM d) SELECT user_id, event_id, own, opp, deficit FROM k WHERE rn = 1",
     "running_score": f"WITH {RUNNING} SELECT event_id, own, opp FROM r",
     "score_fold_exact": f"""WITH RECURSIVE {EV}, p AS (SELECT user_id, i, floor(i / 2.0::DOUBLE + value / 50)::INT AS h, floor(i / 3.0::DOUBLE + value / 40)::INT AS a FROM ev),
