@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import joblog
 from tidemark.plans.q_sequence import events
 from tidemark.sources.cache import Store
-from tidemark.sources.files import table
+from tidemark.sources.files import micros, table
 from tidemark.sources.scratch import Scratch
 from tidemark.streaming import live, stability
 
@@ -17,11 +17,10 @@ KINDS = {"click": "submit", "purchase": "claim", "error": "recover", "view": "fi
 def cached_totals(spark, sf_dir):
     """Users' totals before the last day's events came, then with them: only users of that day are computed again."""
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    last = ev.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("last"))
-    marked = ev.crossJoin(F.broadcast(last))  # one row
+    last = (ev.agg(F.max(micros(F.col("ts")))).first()[0] or 0) - 86_400_000_000
     store = Store(spark, Scratch(spark, "cached").root, ["user_id"])
     totals = lambda rows: rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("latest"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    store.run(marked.filter("ts <= last").drop("last"), totals).write.format("noop").mode("overwrite").save()
+    store.run(ev.filter(micros(F.col("ts")) <= last), totals).write.format("noop").mode("overwrite").save()
     return store.run(ev, totals)
 
 
