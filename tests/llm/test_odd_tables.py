@@ -101,3 +101,8 @@ def test_urls(spark):
     )
     assert urls.judge(spark, pages.limit(0), labels).count() == 0
     assert urls.judge(spark, pages, labels.limit(0)).count() == 7
+    # names that clash, and a very long URL
+    clash = pages.withColumns({c: F.lit("mine") for c in ("host", "best", "token", "confidence")}).unionByName(spark.createDataFrame([(9, "http://x.example.org/" + "a/b-c_" * 50_000 + "?q=1")], "page_id long, url string"), allowMissingColumns=True)
+    got = urls.judge(spark, clash, labels, keep=("page_id", "host", "best", "url"))
+    assert got.columns == ["page_id", "best", "url", *urls.JUDGED]
+    assert {r.page_id: r.host for r in got.collect() if r.page_id in (4, 9)} == {4: "a.com", 9: "x.example.org"}

@@ -142,8 +142,11 @@ def mine(labelled: DataFrame, scratch: Scratch, support: float = SUPPORT, confid
     return rules.join(stale, "antecedent", "left_anti").select("antecedent", "confidence", "bound"), classes
 
 
+JUDGED = ("host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
 def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("page_id",), rules: tuple[tuple[str, str, str], ...] = LISTED) -> DataFrame:
-    """``keep``, host, path, rule, verdict, and the surest mined rule that fired with its confidence.
+    """``keep``, host, path, rule, verdict, and the surest mined rule that fired with its confidence; these replace kept columns of their names.
 
     ``labels`` names pages by ``doc_id``; quality 0 or toxic 1 make a page one to block.
     """
@@ -171,11 +174,13 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, keep: tuple[
     )
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = listed_rule(host, path, rules)
-    judged = pages.select(*keep, "url").join(fired, "url", "left")
+    best = "_fired"
+    kept = [c for c in keep if c not in JUDGED]
+    judged = pages.select(*dict.fromkeys((*kept, "url"))).join(fired.withColumnRenamed("best", best), "url", "left")
     return judged.select(
-        *keep, host.alias("host"), path.alias("path"), rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("best").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-        F.array_join("best.antecedent", " ").alias("mined_rule"), F.col("best.confidence").alias("confidence"),
+        *kept, host.alias("host"), path.alias("path"), rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col(best).isNotNull(), "block").otherwise("allow")).alias("verdict"),
+        F.array_join(f"{best}.antecedent", " ").alias("mined_rule"), F.col(f"{best}.confidence").alias("confidence"),
     )
 
 
