@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.alignment import asof
+from tidemark.sources.scratch import Scratch
 
 
 def first_at(rows: DataFrame, targets: DataFrame, key: list[str], at: str, reached: str, target: str) -> DataFrame:
@@ -87,13 +90,45 @@ def source_time(cuts: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
     return found.withColumn("source_t", F.least(F.col("match_a") + (F.col("offset") - F.col("match_t")), F.col("match_b"))).drop("match_t", "match_a", "match_b")
 
 
+#: Templates of each entity that are asked first, how many times more in each further pass, and rows that may be broadcast.
+FEW, MORE, SENT = 16, 4, 8192
+
+
 def first_template(frames: DataFrame, templates: DataFrame, key: list[str], alike: Column, least_share: float = 0.2, least: int = 2) -> DataFrame:
-    """The most recent template that is like enough of an entity's frames. Both carry ``shape``; only equal shapes are compared."""
-    pairs = frames.join(templates, "shape").withColumn("_alike", alike.cast("int"))
-    per = pairs.groupBy(*key, "template_id", "made_at").agg(F.sum("_alike").alias("n_alike"), F.count(F.lit(1)).alias("n"))
-    ok = per.filter(F.col("n_alike") >= F.greatest(F.lit(least), F.ceil(F.col("n") * least_share)))
-    r = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("made_at"), "template_id"))
-    return ok.withColumn("_r", r).filter("_r = 1").drop("_r", "made_at")
+    """The most recent template that is like enough of an entity's frames. Both carry ``shape``; only equal shapes are compared.
+
+    Only the most recent counts, so templates are asked from the last one back, in passes that grow, and an
+    entity leaves with the first that fits. A pass compares all frames of the entities still open with a bounded number of
+    templates, which are sent to the frames. All pairs are compared only of an entity that none of its templates fits.
+    """
+    spark, scratch = frames.sparkSession, Scratch(frames.sparkSession, "templates")
+    own = [f"_{k}" for k in key]
+    rank = F.dense_rank().over(Window.partitionBy(*own).orderBy(F.desc("made_at"), "template_id"))
+    asked = templates.join(frames.select(*(F.col(k).alias(o) for k, o in zip(key, own, strict=True)), "shape").distinct(), "shape").withColumn("_r", rank)
+    # few entities may have very many frames: these are dealt row by row
+    seen = scratch.write(frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "frames")
+    same = lambda a, b: functools.reduce(Column.__and__, (a[k].eqNullSafe(b[o]) for k, o in zip(key, own, strict=True)))
+    found, last, n = [], 0, FEW
+    while True:
+        first, last = last + 1, last + n
+        here = scratch.write(asked.filter(F.col("_r").between(first, last)), f"asked{last}")
+        sent = F.broadcast(here) if here.count() <= SENT else here
+        pairs = seen.join(sent, (seen["shape"] == sent["shape"]) & same(seen, sent)).withColumn("_alike", alike.cast("int"))
+        per = pairs.groupBy(*key, "template_id", "made_at").agg(F.sum("_alike").alias("n_alike"), F.count(F.lit(1)).alias("n"))
+        ok = per.filter(F.col("n_alike") >= F.greatest(F.lit(least), F.ceil(F.col("n") * least_share)))
+        r = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("made_at"), "template_id"))
+        found.append(scratch.write(ok.withColumn("_r", r).filter("_r = 1").drop("_r", "made_at"), f"found{last}"))
+        # entities go on that have more templates than were asked, if none of those fits
+        full = here.groupBy(*own).agg(F.max("_r").alias("_last")).filter(F.col("_last") == last).drop("_last")
+        left = scratch.write(full.join(found[-1], same(found[-1], full), "left_anti"), f"left{last}")
+        many = left.count()
+        if not many:
+            return functools.reduce(DataFrame.unionByName, found)
+        goes_on = functools.reduce(Column.__and__, (asked[o].eqNullSafe(left[o]) for o in own))
+        asked = asked.filter(F.col("_r") > last).join(left, goes_on, "left_semi")
+        if first == 1:
+            asked = scratch.write(asked, "asked")  # ranked once
+        n = max(1, min(n * MORE, SENT // many))
 
 
 def nearest_box(numbers: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
