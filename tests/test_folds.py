@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -103,3 +104,37 @@ def test_partitioning_does_not_matter(spark):
     df = spark.createDataFrame(rows, "g int, i int, v double")
     out = [sorted(folds.chain_mask(df.repartition(n), ["g"], ["i"], "v").collect()) for n in (1, 4, 16)]
     assert out[0] == out[1] == out[2]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 1)), max_size=12), st.integers(1, 5))
+def test_entities_are_whole_whatever_the_batches(keys, size):
+    keys = sorted(keys, key=lambda k: (k[0] is not None, k))
+    table = pa.table({"g": pa.array([k[0] for k in keys], pa.string()), "h": pa.array([k[1] for k in keys], pa.int64()), "i": range(len(keys))})
+    got = [t for t in folds.entities(table.to_batches(max_chunksize=size), ["g", "h"])]
+    assert [i for t in got for i in t["i"].to_pylist()] == list(range(len(keys)))
+    each = [list(zip(t["g"].to_pylist(), t["h"].to_pylist(), strict=True)) for t in got]
+    assert all(a[-1] != b[0] for a, b in itertools.pairwise(each))
+    for t, own in zip(got, each, strict=True):
+        assert folds.edges(t, ["g", "h"]) == [k for k in range(1, len(own)) if own[k] != own[k - 1]]
+
+
+def test_entities_share_tables(spark):
+    """Many short entities are folded in few calls, and batches of a few rows change nothing."""
+    rows = [(None if g == 7 else g, i, None if (i * 5 + g) % 4 == 0 else float((i * 7 + g) % 11), float("nan") if i == 2 else 1.0) for g in range(300) for i in range(9)]
+    df = spark.createDataFrame(rows, "g int, i int, v double, w double")
+    calls = spark.sparkContext.accumulator(0)
+
+    def fold(rows, each):
+        calls.add(1)
+        return rows.append_column("n", pa.array([len(e) for e in each for _ in range(len(e))], pa.int32()))
+
+    schema = type(df.schema)([*df.schema.fields, *spark.createDataFrame([], "n int").schema.fields])
+    out = folds.by_entity(df, ["g"], ["i"], schema, fold).collect()
+    assert len(out) == 2700 and {r.n for r in out} == {9} and calls.value <= 2 * 4
+    assert all((r.w is None) == (r.i == 2) for r in out)  # as a table of pandas gives it back
+    whole = sorted(map(str, folds.chain_mask(df, ["g"], ["i"], "v").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(map(str, folds.chain_mask(df, ["g"], ["i"], "v").collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.folds import spread
+from tidemark.operators import folds
 
 
 def asof(left: DataFrame, right: DataFrame, key: list[str], at: str, take: list[str], forward: bool = False, within: float | None = None, tie: str | None = None) -> DataFrame:
@@ -103,21 +103,24 @@ def clock_candidates(changes: DataFrame, plays: DataFrame, key: list[str], toler
 def first_come(candidates: DataFrame, key: list[str], order: list[Column], owner: str, wanted: str) -> DataFrame:
     """Candidates in order within their entity, each taken if its owner has none yet and nothing it wants is taken.
 
-    Whether one is taken hangs on all before it, so an entity's candidates (a few for each owner) are one grouped map.
+    Whether one is taken hangs on all before it, so an entity's candidates (a few for each owner) are gone through in order.
     """
-    ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        owners, gone, keep = set(), set(), []
-        for who, what in zip(*(rows.sort_values("_rank")[c] for c in (owner, wanted)), strict=True):
-            free = who not in owners and gone.isdisjoint(what)
-            keep.append(free)
-            if free:
-                owners.add(who)
-                gone.update(what)
-        return rows.sort_values("_rank")[keep]
-
-    return spread(ranked, key).groupBy(*key).applyInPandas(run, ranked.schema).drop("_rank")
+
+    def run(rows: pa.Table, each: list[folds.Entity]) -> pa.Table:
+        owners_, wanted_ = rows[owner].to_pylist(), rows[wanted].to_pylist()
+        keep, at = [], 0
+        for size in map(len, each):
+            owners, gone = set(), set()
+            for who, what in zip(owners_[at : at + size], wanted_[at : at + size], strict=True):
+                free = who not in owners and gone.isdisjoint(what)
+                keep.append(free)
+                if free:
+                    owners.add(who)
+                    gone.update(what)
+            at += size
+        return rows.filter(pa.array(keep, pa.bool_()))
+
+    return folds.by_entity(candidates, key, order, candidates.schema, run)
 
 
 def greedy_match(changes: DataFrame, plays: DataFrame, key: list[str], tolerance: float = 3.0, late: float = 30.0) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,10 +86,10 @@ def _lasting(mask: np.ndarray, least: int = 3, gap: int = 1) -> np.ndarray:
     return out
 
 
-def clean_game(rows: pd.DataFrame, sport: Sport) -> list[np.ndarray]:
+def clean_game(rows: folds.Entity, sport: Sport) -> list[np.ndarray]:
     """The columns of ``CLEANED`` for one game's ordered readings."""
-    visible, clock = rows["visible"].to_numpy(bool), rows["clock_raw"].to_numpy(float)
-    raw = rows["period_raw"].to_numpy(float)
+    visible, clock = rows["visible"].astype(bool), rows["clock_raw"].astype(float)
+    raw = rows["period_raw"].astype(float)
     if np.isnan(raw).all():
         period = folds.period_of_clock(clock, sport.period_seconds)
     else:
@@ -108,13 +107,13 @@ def clean_game(rows: pd.DataFrame, sport: Sport) -> list[np.ndarray]:
     state = np.where(visible, LIVE, HIDDEN)
     state[_lasting(off) & visible] = REPLAY
     replay = state == REPLAY
-    sides = {s: folds.clean_score(rows[f"{s}_raw"].to_numpy(float), state == LIVE, replay) for s in ("away", "home")}
+    sides = {s: folds.clean_score(rows[f"{s}_raw"].astype(float), state == LIVE, replay) for s in ("away", "home")}
     behind = sides["away"][2] | sides["home"][2]
     if behind.any():
         state[behind & visible] = REPLAY
-        sides = {s: folds.clean_score(rows[f"{s}_raw"].to_numpy(float), state == LIVE, replay) for s in ("away", "home")}
-    shot = np.where(state == LIVE, rows["shot_raw"].to_numpy(float), np.nan)
-    shot[~folds.plausible(shot, rows["t"].to_numpy(float), sport.resets)] = np.nan
+        sides = {s: folds.clean_score(rows[f"{s}_raw"].astype(float), state == LIVE, replay) for s in ("away", "home")}
+    shot = np.where(state == LIVE, rows["shot_raw"].astype(float), np.nan)
+    shot[~folds.plausible(shot, rows["t"].astype(float), sport.resets)] = np.nan
     return [period, on_chain, state, sides["away"][0], sides["home"][0], sides["away"][1], sides["home"][1], shot]
 
 
