@@ -42,3 +42,8 @@ def test_summaries(spark):
     docs = {r.game_id: json.loads(r.document) for r in documents.summaries_of(line, spark.createDataFrame(ROWS, CLIP), quality).collect()}
     assert docs["g"] == {"game_id": "g", "final_score": {"away": 3, "home": 4}, "runtime_seconds": 8.75, "n_clips": 2, "timeline": {"samples": 3, "score_unreadable": 0.5}}
     assert docs["i"]["final_score"] == {} and docs["i"]["n_clips"] == 0
+
+
+def test_clips_are_sorted_before_they_are_copied_for_their_filters(spark):
+    plan = documents.by_filter(spark.createDataFrame(ROWS, CLIP), F.lit("home"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")

@@ -23,11 +23,19 @@ def shown(name: str, follow: Column) -> Column:
 
 
 def by_filter(clips: DataFrame, follow: Column) -> DataFrame:
-    """Clips once for each filter that they pass, as ``filter``, with their places in game order and by confidence: one scan, one exploding."""
-    passed = F.filter(F.array(*(F.when(F.coalesce(shown(n, follow), F.lit(False)), n) for n in FILTERS)), lambda n: n.isNotNull())
-    rows = clips.withColumn("filter", F.explode(passed))
-    w = Window.partitionBy(*KEY, "filter")
-    return rows.withColumn("place", F.row_number().over(w.orderBy("clip"))).withColumn("place_by_confidence", F.row_number().over(w.orderBy("confidence", "clip")))
+    """Clips once for each filter that they pass, as ``filter``, with their places in game order and by confidence.
+
+    A place is the number of clips so far that pass, so clips are sorted as they are, and copied for their filters only then.
+    """
+    rows = clips.withColumn("_in", F.array(*(F.coalesce(shown(n, follow), F.lit(False)) for n in FILTERS)))
+
+    def places(*order: str) -> Column:
+        so_far = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.array(*(F.count_if(F.col("_in")[k]).over(so_far).cast("int") for k in range(len(FILTERS))))
+
+    placed = rows.withColumn("_place", places("clip")).withColumn("_sure", places("confidence", "clip"))
+    each = F.array(*(F.when(F.col("_in")[k], F.struct(F.lit(n).alias("filter"), F.col("_place")[k].alias("place"), F.col("_sure")[k].alias("place_by_confidence"))) for k, n in enumerate(FILTERS)))
+    return placed.withColumn("_f", F.explode(F.filter(each, lambda f: f.isNotNull()))).select(*clips.columns, "_f.*")
 
 
 def cut_rows(clips: DataFrame) -> DataFrame:
