@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import alignment
+from tidemark.plans import catalogue
 
 CHANGES = "g int, change_id long, before int, after int, points int, period int, clock double"
 PLAYS = "g int, play_id long, score int, points int, period int, clock double"
@@ -67,3 +68,9 @@ def test_best_overlap_gives_each_once(spark):
     left = spark.createDataFrame([(1, 1, box(0.0, 0.4)), (1, 2, box(0.1, 0.5)), (1, 3, box(0.9, 1.0))], schema)
     right = spark.createDataFrame([(1, 7, box(0.1, 0.5)), (1, 8, box(0.0, 0.2))], schema)
     assert {(r.id, r.other_id) for r in alignment.best_overlap(left, right, ["g"]).collect()} == {(2, 7), (1, 8)}
+
+
+def test_summary_reads_matches_that_were_made_once(spark, sf):
+    out = catalogue.QUERIES["match_summary"](spark, sf)
+    assert out.inputFiles() and not any("events" in f for f in out.inputFiles())
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -10,6 +10,7 @@ from tidemark.operators import alignment, arrays, sequence, summaries
 from tidemark.plans.q_sequence import DAY, EV, KEY, ORDER, events
 from tidemark.sources import feeds, files
 from tidemark.sources.files import micros, table
+from tidemark.sources.scratch import Scratch
 
 RUNNING = f"""{EV}, r AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i)::BIGINT AS own,
   sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i)::BIGINT AS opp FROM ev)"""
@@ -62,9 +63,10 @@ def median_lag(spark, sf_dir):
 
 
 def _changes_and_plays(spark, sf_dir):
-    ev = _running(spark, sf_dir)
-    changes = ev.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("change_id"), (F.col("own") - 1 - F.col("event_id") % 2).alias("before"), F.col("own").alias("after"), (1 + F.col("event_id") % 2).alias("points"), F.floor(F.col("t") / (7 * DAY)).cast("long").alias("period"), (F.col("t") / 3600).alias("clock"))
-    plays = ev.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("play_id"), F.col("own").alias("score"), F.lit(1).cast("long").alias("points"), F.floor(F.col("t") / (7 * DAY)).cast("long").alias("period"), (F.col("t") / 3600 + F.col("value") / 20).alias("clock"))
+    # both are read several times, the numbering of events is done once
+    ev = Scratch(spark, "matches").write(_running(spark, sf_dir).filter("event_type = 'purchase'"), "purchases")
+    changes = ev.select("user_id", F.col("event_id").alias("change_id"), (F.col("own") - 1 - F.col("event_id") % 2).alias("before"), F.col("own").alias("after"), (1 + F.col("event_id") % 2).alias("points"), F.floor(F.col("t") / (7 * DAY)).cast("long").alias("period"), (F.col("t") / 3600).alias("clock"))
+    plays = ev.select("user_id", F.col("event_id").alias("play_id"), F.col("own").alias("score"), F.lit(1).cast("long").alias("points"), F.floor(F.col("t") / (7 * DAY)).cast("long").alias("period"), (F.col("t") / 3600 + F.col("value") / 20).alias("clock"))
     return changes, plays
 
 
@@ -82,7 +84,8 @@ def greedy_match(spark, sf_dir):
 
 def match_summary(spark, sf_dir):
     changes, plays = _changes_and_plays(spark, sf_dir)
-    return alignment.match_summary(alignment.greedy_match(changes, plays, KEY), changes, plays, KEY)
+    matches = Scratch(spark, "matches").write(alignment.greedy_match(changes, plays, KEY), "matches")  # read three times
+    return alignment.match_summary(matches, changes, plays, KEY)
 
 
 def unmatched_both(spark, sf_dir):
