@@ -41,6 +41,12 @@ def test_states(timeline):
     assert all(r.confidence == 0 for r in rows if not r.live)
 
 
+def test_readers_name_a_text_once(spark):
+    """A text is looked up once for a reader, so the method that Spark generates stays small enough to be compiled."""
+    plan = tl.readings(spark.createDataFrame(script(), files.SAMPLES), SPORT)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[clock].text") <= 2 and plan.count("[period].text") <= 2
+
+
 def test_not_live_is_widened(timeline):
     spans = sequence.widened(timeline, ["game_id"], ["i"], F.col("live"), "t_video", 0.5)
     assert sorted((r.a, r.b) for r in spans.collect()) == [(49.5, 54.0), (79.5, 83.0)]

@@ -20,8 +20,13 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _number(text: Column, pattern: str, group: int) -> Column:
+    """A group as a whole number, NULL without a match."""
+    return F.regexp_extract(text, pattern, group).try_cast("int")
+
+
 def _tenths(text: Column) -> Column:
-    return F.when(text.rlike(TENTHS), _part(text, TENTHS, 1).try_cast("int") + _part(text, TENTHS, 2).try_cast("int") / 10.0)
+    return F.when(text.rlike(TENTHS), _number(text, TENTHS, 1) + _number(text, TENTHS, 2) / 10.0)
 
 
 def score(text: Column, most: int = 250) -> Column:
@@ -34,8 +39,8 @@ def clock(text: Column, most_minutes: int = 20) -> Column:
     """Seconds of M:SS, S.t, or three or four bare digits."""
     t = F.replace(F.trim(text), F.lit(" "), F.lit(""))
     pattern = F.when(t.rlike("^[0-9]{1,2}:[0-9]{2}$"), F.lit(True)).when(t.rlike("^[0-9]{3,4}$"), F.lit(True))
-    minutes = _part(t, "^([0-9]{1,2}):?[0-9]{2}$", 1).try_cast("int")
-    seconds = _part(t, "([0-9]{2})$", 1).try_cast("int")
+    minutes = _number(t, "^([0-9]{1,2}):?[0-9]{2}$", 1)
+    seconds = _number(t, "([0-9]{2})$", 1)
     sexagesimal = F.when(pattern & (seconds < 60) & (minutes <= most_minutes), (minutes * 60 + seconds).cast("double"))
     return F.coalesce(_tenths(t), sexagesimal)
 

@@ -51,22 +51,28 @@ SCORE_CONF, CLOCK_CONF = 0.45, 0.30
 
 def readings(samples: DataFrame, sport: Sport) -> DataFrame:
     """Typed readings of the trusted fields, and the weakest confidence of the ones that matter."""
-    text = lambda f: F.coalesce(F.col("fields")[f]["text"], F.lit(""))
-    conf = lambda f: F.coalesce(F.col("fields")[f]["conf"], F.lit(0).cast("float"))
-    of = lambda f, least, value: parse.trusted(text(f), conf(f), F.col("visible"), least, value)
-    clock = of("clock", CLOCK_CONF, parse.clock_by(F.lit(sport.colon_led), text("clock"))) if sport.clocked else F.lit(None).cast("double")
-    shot = of("shot_clock", CLOCK_CONF, parse.shot_clock(text("shot_clock")))
-    period = parse.period_by(F.lit(sport.reader), text("period"), F.lit(sport.regulation))
+    # columns of their own: readers name a text many times, and each time would look it up in the map again
+    names = ("away_score", "home_score", "period", "shot_clock", *(("clock",) if sport.clocked else ()), *sport.texts)
+    samples = samples.select(
+        *KEY, "i", "t", "visible", *(F.coalesce(F.col("fields")[f]["text"], F.lit("")).alias(f"_text_{f}") for f in names),
+        *(F.coalesce(F.col("fields")[f]["conf"], F.lit(0).cast("float")).alias(f"_conf_{f}") for f in names),
+    )
+    text, conf = (lambda f: F.col(f"_text_{f}")), (lambda f: F.col(f"_conf_{f}"))
+    # a reader in a lambda names its text once and stays out of the generated method, which would grow too large to be compiled
+    read = lambda f, reader: F.get(F.transform(F.array(text(f)), reader), 0)
+    of = lambda f, least, reader: parse.trusted(text(f), conf(f), F.col("visible"), least, read(f, reader))
+    clock = of("clock", CLOCK_CONF, lambda x: parse.clock_by(F.lit(sport.colon_led), x)) if sport.clocked else F.lit(None).cast("double")
+    shot = of("shot_clock", CLOCK_CONF, lambda x: parse.shot_clock(x))
     sure = [conf(f) for f in ("away_score", "home_score", *(("clock",) if sport.clocked else ()))]
     return samples.select(
         *KEY, "i", "t", "visible",
-        of("period", CLOCK_CONF, period).cast("double").alias("period_raw"),
+        of("period", CLOCK_CONF, lambda x: parse.period_by(F.lit(sport.reader), x, F.lit(sport.regulation))).cast("double").alias("period_raw"),
         F.when(clock <= sport.period_seconds + 0.5, clock).alias("clock_raw"),
         F.when(shot <= sport.shot_max + 0.5, shot).alias("shot_raw"),
-        of("away_score", SCORE_CONF, parse.score(text("away_score"))).cast("double").alias("away_raw"),
-        of("home_score", SCORE_CONF, parse.score(text("home_score"))).cast("double").alias("home_raw"),
+        of("away_score", SCORE_CONF, lambda x: parse.score(x)).cast("double").alias("away_raw"),
+        of("home_score", SCORE_CONF, lambda x: parse.score(x)).cast("double").alias("home_raw"),
         F.least(*sure).alias("conf_raw"),
-        *(of(f, CLOCK_CONF, parse.note(text(f))).alias(f"text_{f}") for f in sport.texts),
+        *(of(f, CLOCK_CONF, parse.note).alias(f"text_{f}") for f in sport.texts),
     )
 
 
