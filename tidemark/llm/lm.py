@@ -33,17 +33,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.decontaminate import words_of
+from tidemark.llm.decontaminate import FOLD, words_of
 from tidemark.llm.tables import Scratch, read, tidied
 
 #: Leaves for each square root of the number of distinct words, and the part of them that rare words share.
@@ -52,6 +52,8 @@ ENDING = 3
 SIDES = (-2, -1, 1, 2)
 HIDDEN, BATCH, RATE, SEED = 16, 16_384, 0.2, 20
 TASK_TOKENS = 4_000_000
+#: Bytes of texts that are split into words at once, and words that are counted before they are passed on.
+PIECE, COUNTED = 1_000_000, 4_000_000
 #: Tokens whose classes are computed at once: what they need stays in the processor's caches.
 STRETCH = 2048
 #: Fixed point of sums of parameters, of the factors of scores, and of the log-probabilities of rare words, in bits; the largest parameter of a score.
@@ -60,6 +62,8 @@ PARAMETER_BITS, SCORE_BITS, WORD_BITS, LARGEST = 24, 20, 30, 63.0
 REPEATED = 1000
 #: Occurrences that are added to those of each rare word, and once for all unseen ones.
 ADDED = 0.1
+#: Bytes that stand between words.
+BETWEEN = bytes(b for b in range(256) if FOLD[b] == 32)
 #: Seed of the 64-bit hashes by which rare words meet their counts (Spark's own).
 HASHED = 42
 
@@ -92,46 +96,64 @@ class Tree:
         return len(SIDES) * (self.leaves + 1) + self.side + self.leaves + 1
 
 
-class Endings(dict):
-    """Leaves of endings, which are few."""
-
-    def __init__(self, tree: Tree):
-        super().__init__()
-        self.first, self.many = tree.alone, tree.shared
-
-    def __missing__(self, ending: bytes) -> int:
-        out = self[ending] = self.first + zlib.crc32(ending) % self.many
-        return out
+def split(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as ``words_of`` has them, in one array, and how many each text has."""
+    joined = b" ".join(t or b"" for t in texts)
+    inside = np.frombuffer(joined.translate(FOLD), np.uint8) != 32
+    borders = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = borders[::2], borders[1::2] - borders[::2]
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(FOLD, BETWEEN))])
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def in_pieces(texts: Iterable[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Texts by about ``PIECE`` bytes."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or b"") + 1
+        if size >= PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class LeafOf:
     """Leaves of words."""
 
     def __init__(self, tree: Tree):
-        self.own, self.endings = {w: k for k, w in enumerate(tree.words)}, Endings(tree)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        own, endings = self.own.get, self.endings
-        return np.fromiter((endings[w[-ENDING:]] if (k := own(w)) is None else k for w in words), np.int32, len(words))
+        self.tree, self.own = tree, pa.array(tree.words, pa.large_binary())
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        out = pc.fill_null(pc.index_in(words, value_set=self.own), -1).to_numpy().copy()
+        rare = np.flatnonzero(out < 0)
+        endings = pc.binary_slice(words.take(pa.array(rare)), -ENDING).dictionary_encode()  # few differ
+        leaves = np.array([self.tree.alone + zlib.crc32(e) % self.tree.shared for e in endings.dictionary.to_pylist()], np.int32)
+        out[rare] = leaves[endings.indices.to_numpy()]
+        return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) of all words of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
+            words, n = pc.value_counts(pa.chunked_array(held, pa.large_binary())).flatten()
+            held.clear()
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), n], names=["word", "n"])
 
         for batch in batches:
-            for x in batch.column("text").cast(pa.binary()):
-                counts.update(words_of(x.as_py()))
-                if len(counts) > 300_000:
+            for texts in in_pieces(x.as_py() for x in batch.column("text").cast(pa.binary())):
+                held.append(split(texts)[0])
+                if sum(map(len, held)) > COUNTED:
                     yield rows()
-        if counts:
+        if held:
             yield rows()
 
     return docs.select("text").mapInArrow(tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -173,23 +195,32 @@ class Network:
         h[:, HIDDEN] = 1
         return h
 
+    def sorted(self, y: np.ndarray) -> np.ndarray:
+        """The order of leaves; short numbers are sorted by counting."""
+        return np.argsort(y.astype(np.uint16) if self.tree.leaves < 65_535 else y, kind="stable")
+
     def by_class(self, y: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(class, first, last + 1) of leaves that are sorted by class."""
-        cuts = np.searchsorted(y, np.arange(self.tree.side + 1) * self.tree.side)
-        return ((k, int(cuts[k]), int(cuts[k + 1])) for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist())
+        """(class, first, last + 1) of leaves that are sorted by class, a large class in several stretches."""
+        cuts = np.searchsorted(y, np.arange(self.tree.side + 1) * self.tree.side).tolist()
+        return ((k, lo, min(lo + STRETCH, cuts[k + 1])) for k in range(self.tree.side) for lo in range(cuts[k], cuts[k + 1], STRETCH))
 
     def scores(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log-probabilities of leaves y in contexts x."""
-        order = np.argsort(y, kind="stable")
+        order = self.sorted(y)
         x, y = x[:, order], y[order]
-        h, rows, side = fixed(self.hidden(x)), np.arange(len(y)), self.tree.side
+        h, rows, side = fixed(self.hidden(x).T), np.arange(len(y)), self.tree.side
         classes, inner = (fixed(np.clip(w, -LARGEST, LARGEST)) for w in (self.classes, self.inner))
-        got = np.empty(len(y), np.float32)
+        got, far = np.empty(len(y), np.float32), _far(classes, inner)
 
         def settle(lo: int, hi: int, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-            z = _bounded((h[lo:hi] @ w.T).astype(np.float32))
-            chosen = z[rows[: hi - lo], at]
-            return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+            z = (w @ h[:, lo:hi]).astype(np.float32)
+            if far:
+                _bounded(z)
+            chosen = z.ravel().take(at * (hi - lo) + rows[: hi - lo])
+            np.exp(z, out=z)
+            if hi - lo == 1:  # a single column would be added in pairs, and not in its order as in any wider table
+                z = np.repeat(z, 2, axis=1)
+            return chosen - np.log(z.sum(axis=0)[: hi - lo])
 
         for lo in range(0, len(y), STRETCH):
             got[lo : lo + STRETCH] = settle(lo, min(lo + STRETCH, len(y)), classes, y[lo : lo + STRETCH] // side)
@@ -205,7 +236,7 @@ def fixed(x: np.ndarray) -> np.ndarray:
 
     A product of one below 1 and one below 64 has 46 bits, and the sum of all of a hidden layer less than 53.
     """
-    out = x.astype(np.float64)
+    out = x.astype(np.float64, order="C")
     out *= 2.0**SCORE_BITS
     np.rint(out, out=out)
     out *= 2.0**-SCORE_BITS
@@ -217,6 +248,11 @@ def _bounded(z: np.ndarray) -> np.ndarray:
     return np.clip(z, -60, 60, out=z)
 
 
+def _far(*parts: np.ndarray) -> bool:
+    """Whether products of these vectors and a hidden layer, which is nowhere over 1, may need bounds."""
+    return max(float(np.abs(w).sum(axis=1).max()) for w in parts) >= 60
+
+
 class Trainer(Network):
     """Adagrad on the parameters, of which a step touches only those that its tokens use."""
 
@@ -230,40 +266,51 @@ class Trainer(Network):
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | slice, np.ndarray]]:
         """(parameters, squares, rows, gradient) of the summed loss of leaves y, sorted by class, in contexts x; rows are not repeated."""
-        side = self.tree.side
+        side, n = self.tree.side, self.tree.leaves + 1
         h = self.hidden(x)
-        rows, dh, of_classes = np.arange(len(y)), np.empty_like(h), np.zeros_like(self.classes)
-
-        def differences(lo: int, hi: int, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-            d = _bounded(h[lo:hi] @ w.T)
-            np.exp(d, out=d)
-            d /= d.sum(axis=1, keepdims=True)
-            d[rows[: hi - lo], at] -= 1
-            return d
+        dh, of_classes, of_inner = np.empty_like(h), np.zeros_like(self.classes), np.zeros_like(self.inner)
+        starts, far = np.arange(len(y)) * side, _far(self.classes, self.inner)
+        # with ones in place of the biases, whose part of dh is not needed, one product has the sums of exponentials, too
+        classes, inner = self.classes.copy(), self.inner.copy()
+        classes[:, HIDDEN] = inner[:, HIDDEN] = 1
+
+        def differences(lo: int, hi: int, w: np.ndarray, ones: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Gradients of the hidden layer and of w."""
+            z = h[lo:hi] @ w.T
+            if far:
+                _bounded(z)
+            np.exp(z, out=z)
+            d = z @ ones
+            total = d[:, HIDDEN].copy()
+            z.ravel()[starts[: hi - lo] + at] -= total
+            total = np.reciprocal(total, out=total)[:, None]
+            d *= total
+            d -= w.take(at, axis=0)
+            return d, z.T @ (h[lo:hi] * total)
 
         for lo in range(0, len(y), STRETCH):
             hi = min(lo + STRETCH, len(y))
-            d = differences(lo, hi, self.classes, y[lo:hi] // side)
-            np.matmul(d, self.classes, out=dh[lo:hi])
-            of_classes += d.T @ h[lo:hi]
-        found = [(self.classes, self.sq_classes, slice(None), of_classes)]
+            dh[lo:hi], g = differences(lo, hi, self.classes, classes, y[lo:hi] // side)
+            of_classes += g
         for k, lo, hi in self.by_class(y):
             at = slice(k * side, (k + 1) * side)
-            d = differences(lo, hi, self.inner[at], y[lo:hi] - k * side)
-            dh[lo:hi] += d @ self.inner[at]
-            found.append((self.inner, self.sq_inner, at, d.T @ h[lo:hi]))
+            d, g = differences(lo, hi, self.inner[at], inner[at], y[lo:hi] - k * side)
+            dh[lo:hi] += d
+            of_inner[at] += g
         dh *= 1 - h * h  # zero for the one behind
-        small = np.uint16 if self.tree.leaves < 65_535 else np.int32  # sorted by counting
+        found = [(self.classes, self.sq_classes, slice(None), of_classes), (self.inner, self.sq_inner, slice(None), of_inner)]
+        columns = dh.T[:HIDDEN].astype(np.float64, order="C")
         for k in range(len(SIDES)):
-            order = np.argsort(x[k].astype(small), kind="stable")
-            ids = x[k][order]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            found.append((self.sides[k], self.sq_sides[k], ids[first], np.add.reduceat(dh[order], first, axis=0)))
+            ids = np.flatnonzero(np.bincount(x[k], minlength=n))
+            g = np.zeros((len(ids), HIDDEN + 1), np.float32)
+            for c, column in enumerate(columns):
+                g[:, c] = np.bincount(x[k], column, n)[ids]
+            found.append((self.sides[k], self.sq_sides[k], ids, g))
         found.append((self.bias, self.sq_bias, slice(None), dh.sum(axis=0)))
         return iter(found)
 
     def learn(self, x: np.ndarray, y: np.ndarray) -> None:
-        order = np.argsort(y, kind="stable")
+        order = self.sorted(y)
         for p, squares, rows, g in self.gradients(x[:, order], y[order]):
             squares[rows] += g * g
             p[rows] -= np.float32(RATE) * g / np.sqrt(squares[rows])
@@ -302,16 +349,21 @@ def fit_network(spark: SparkSession, docs: DataFrame, tree: Tree, tokens: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, leaf_of = Trainer(sent.value), LeafOf(sent.value)
 
-        def texts() -> Iterator[np.ndarray]:
+        def texts() -> Iterator[bytes]:
             last = None
             for b in batches:
                 for row in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary())):
                     now = row[0], row[1].as_py()
                     if now != last:  # repeats stand together
-                        yield leaf_of.of(words_of(now[1]))
+                        yield now[1]
                     last = now
 
-        own.train(texts())
+        def leaves() -> Iterator[np.ndarray]:
+            for piece in in_pieces(texts()):
+                words, sizes = split(piece)
+                yield from np.split(leaf_of.of(words), np.cumsum(sizes)[:-1])
+
+        own.train(leaves())
         used = np.flatnonzero(own.uses)
         for k in range(0, len(used), 10_000):
             at = used[k : k + 10_000]
@@ -374,37 +426,31 @@ def score_leaves(spark: SparkSession, docs: DataFrame, network: Network) -> Data
         net, leaf = Network(*sent.value), LeafOf(sent.value[0])
         alone = net.tree.alone
 
-        def settle(rows: pa.RecordBatch, held: list[np.ndarray], rare: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            """Score the held documents together, each with its own borders."""
-            sizes = np.array([len(t) for t in held])
-            x, y = np.concatenate([net.contexts(t) for t in held], axis=1), np.concatenate(held)
+        def settle(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            """Score texts together, each with its own borders."""
+            words, sizes = split(texts)
+            y = leaf.of(words)
+            ends = np.cumsum(sizes)
+            x = np.concatenate([net.contexts(t) for t in np.split(y, ends[:-1])], axis=1)
             each = [net.scores(x[:, k : k + BATCH], y[k : k + BATCH]) for k in range(0, len(y), BATCH)]
             every = np.concatenate([*each, [0.0]])
-            starts = np.cumsum(sizes) - sizes
-            sums = np.where(sizes > 0, np.add.reduceat(every, starts), 0.0)  # each document's own, in its order
-            h, leaves, times = (np.concatenate(c) for c in zip(*rare, strict=True))
-            structs = pa.StructArray.from_arrays([pa.array(h), pa.array(leaves.astype(np.int32)), pa.array(times.astype(np.int32))], names=["h", "leaf", "times"])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rare])]).astype(np.int32)), structs)
+            sums = np.where(sizes > 0, np.add.reduceat(every, ends - sizes), 0.0)  # each document's own, in its order
+            at = np.flatnonzero(y >= alone)
+            known = words.take(pa.array(at)).dictionary_encode()
+            # a document's words lie together: number of the document, then of the word
+            pairs, first, times = np.unique(np.repeat(np.arange(len(texts)), sizes)[at] << 32 | known.indices.to_numpy(), return_index=True, return_counts=True)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, HASHED) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary)).view(np.int64)
+            parts = [pa.array(hashes[pairs & 0xFFFFFFFF]), pa.array(y[at[first]]), pa.array(times.astype(np.int32))]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(parts, names=["h", "leaf", "times"]))
             return pa.RecordBatch.from_arrays(
                 [rows.column("row"), rows.column("doc_id"), pa.array(sizes), pa.array(sums), lists], names=["row", "doc_id", "n_tokens", "of_leaves", "rare"]
             )
 
         for batch in batches:
-            held, rare, start, waiting = [], [], 0, 0
-            for text in batch.column("text").cast(pa.binary()):
-                words = words_of(text.as_py())
-                y = leaf.of(words)
-                at = np.flatnonzero(y >= alone)
-                h = np.fromiter((xxhash.xxh64_intdigest(words[i], HASHED) for i in at.tolist()), np.uint64, len(at)).view(np.int64)
-                h, first, times = np.unique(h, return_index=True, return_counts=True)
-                held.append(y)
-                rare.append((h, y[at[first]], times))
-                waiting += len(y)
-                if waiting >= 4 * BATCH:
-                    yield settle(batch.slice(start, len(held)), held, rare)
-                    held, rare, start, waiting = [], [], start + len(held), 0
-            if held:
-                yield settle(batch.slice(start, len(held)), held, rare)
+            start = 0
+            for texts in in_pieces(x.as_py() for x in batch.column("text").cast(pa.binary())):
+                yield settle(batch.slice(start, len(texts)), texts)
+                start += len(texts)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return rows.mapInArrow(tidied(run), SCORED.format(id=f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
