@@ -52,8 +52,8 @@ ENDING = 3
 SIDES = (-2, -1, 1, 2)
 HIDDEN, BATCH, RATE, SEED = 16, 16_384, 0.2, 20
 TASK_TOKENS = 4_000_000
-#: Bytes of texts that are split into words at once, and words that are counted before they are passed on.
-PIECE, COUNTED = 1_000_000, 4_000_000
+#: Bytes of texts that are split into words at once, and bytes of words that are held until they are counted and passed on.
+PIECE, COUNTED = 1_000_000, 64_000_000
 #: Tokens whose classes are computed at once: what they need stays in the processor's caches.
 STRETCH = 2048
 #: Fixed point of sums of parameters, of the factors of scores, and of the log-probabilities of rare words, in bits; the largest parameter of a score.
@@ -151,7 +151,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for texts in in_pieces(x.as_py() for x in batch.column("text").cast(pa.binary())):
                 held.append(split(texts)[0])
-                if sum(map(len, held)) > COUNTED:
+                if sum(w.nbytes for w in held) > COUNTED:
                     yield rows()
         if held:
             yield rows()
